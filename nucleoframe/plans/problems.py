@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nucleoframe.model import known_coord
+from nucleoframe.operators.badrows import rejects
+from nucleoframe.operators.drift import changes
 from nucleoframe.operators.spatial import near_or_inside
+from nucleoframe.operators.units import decode_units
 from nucleoframe.session import table
 
 NEAR_RADIUS = 0.0505
@@ -35,5 +38,22 @@ SELECT 'body', s.row_id, b.body_id FROM s JOIN bodies b
 ON s.x BETWEEN b.x_lo AND b.x_hi AND s.y BETWEEN b.y_lo AND b.y_hi AND s.z BETWEEN b.z_lo AND b.z_hi
 """
 
-QUERIES = {"p1_found": p1_found}
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Broken data lines of FOF-CT files with the first reason that holds."""
+    return rejects(table(spark, sf_dir, "fofct_lines")).select("line_id", "reason")
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes of Spot_ID, Intensity and Cell_ID from file to file of a series."""
+    return changes(table(spark, sf_dir, "fofct_files"), table(spark, sf_dir, "fofct_lines"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coordinates of valid data lines whose unit isn't micrometre."""
+    units = decode_units(table(spark, sf_dir, "fofct_lines"), table(spark, sf_dir, "fofct_files"))
+    return units.where("unit_code <> 'um'").select("line_id", "axis", "unit_code")
+
+
+QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p6_found": p6_found, "p7_found": p7_found}
 ORACLES = {"p1_found": P1_SQL}
