@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from nucleoframe.model import known_coord
+from nucleoframe.model import clean_spots, known_coord
 from nucleoframe.operators.badrows import rejects
+from nucleoframe.operators.donors import apply_fills, fill_missing
 from nucleoframe.operators.drift import changes
 from nucleoframe.operators.spatial import near_or_inside
 from nucleoframe.operators.units import decode_units
@@ -39,6 +40,49 @@ ON s.x BETWEEN b.x_lo AND b.x_hi AND s.y BETWEEN b.y_lo AND b.y_hi AND s.z BETWE
 """
 
 
+FILL_TARGETS = {"x": ["y", "z", "start_bp"], "start_bp": ["x", "y", "z"], "chrom": ["y", "z"]}
+
+
+FILL_CODES = {"chrom": "chrom_code"}
+
+
+def _fillable(spots: DataFrame, genome: DataFrame) -> DataFrame:
+    """Spots with placeholders nulled; a chromosome's place in the genome stands for it in the model."""
+    ranks = genome.select(F.col("chrom"), F.row_number().over(Window.orderBy(F.desc("length_bp"), "chrom")).alias("chrom_code"))
+    return clean_spots(spots, genome).join(ranks, "chrom", "left").select("row_id", "cell_id", "trace_id", "chrom", "x", "y", "z", "start_bp", "chrom_code")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Missing x, start_bp and chrom of spots that other spots of the trace fill."""
+    rows = _fillable(table(spark, sf_dir, "spots"), table(spark, sf_dir, "genome"))
+    fills = fill_missing(rows, ["cell_id", "trace_id"], "row_id", FILL_TARGETS, FILL_CODES)
+    return fills.select(F.col("id").alias("row_id"), "field_name")
+
+
+def p2_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All spots with x, start_bp and chrom filled where possible, marked, with their donors."""
+    rows = _fillable(table(spark, sf_dir, "spots"), table(spark, sf_dir, "genome"))
+    fills = fill_missing(rows, ["cell_id", "trace_id"], "row_id", FILL_TARGETS, FILL_CODES)
+    return apply_fills(rows, fills, "row_id", {"x": "double", "start_bp": "bigint", "chrom": "string"})
+
+
+P2_SQL = """
+WITH s AS (
+  SELECT row_id, cell_id, trace_id,
+    CASE WHEN x > 0 AND x < 200000 THEN x END AS x,
+    CASE WHEN start_bp > 0 AND start_bp < 400000000 THEN start_bp END AS start_bp,
+    (SELECT max(g.chrom) FROM genome g WHERE g.chrom = spots.chrom) AS chrom
+  FROM spots
+), n AS (
+  SELECT *, count(x) OVER w AS nx, count(start_bp) OVER w AS ns, count(chrom) OVER w AS nc
+  FROM s WINDOW w AS (PARTITION BY cell_id, trace_id)
+)
+SELECT row_id, 'x' AS field_name FROM n WHERE x IS NULL AND nx > 0
+UNION ALL SELECT row_id, 'start_bp' FROM n WHERE start_bp IS NULL AND ns > 0
+UNION ALL SELECT row_id, 'chrom' FROM n WHERE chrom IS NULL AND nc > 0
+"""
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Broken data lines of FOF-CT files with the first reason that holds."""
     return rejects(table(spark, sf_dir, "fofct_lines")).select("line_id", "reason")
@@ -55,5 +99,5 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return units.where("unit_code <> 'um'").select("line_id", "axis", "unit_code")
 
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p6_found": p6_found, "p7_found": p7_found}
-ORACLES = {"p1_found": P1_SQL}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_filled": p2_filled, "p4_found": p4_found, "p6_found": p6_found, "p7_found": p7_found}
+ORACLES = {"p1_found": P1_SQL, "p2_found": P2_SQL}

@@ -8,7 +8,7 @@ from collections import defaultdict
 
 REQUIRED = ("Trace_ID", "X", "Y", "Z", "Chrom", "Chrom_Start", "Chrom_End")
 EDGES = '#" ,()[]{}\n\t'
-NUMBER = re.compile(r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?", re.A)
+NUMBER = re.compile(r"[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?")
 WORDS = {}
 for code, words in {
     "nm": "nm nanometer nanometers nanometre nanometres",
@@ -77,7 +77,7 @@ def fields_of(line):
 
 
 def coordinate(text):
-    m = re.fullmatch(rf"({NUMBER.pattern})\s*{UNIT}?", text, re.I | re.A)
+    m = re.fullmatch(rf"({NUMBER.pattern})\s*{UNIT}?", text, re.I)
     if not m or not math.isfinite(float(m[1])):
         return None
     return float(m[1]), WORDS[m[4].lower()] if m[4] else None
