@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nucleoframe.llm import density, splits, tokens
+from nucleoframe.llm import density, packing, pieces, splits, tokens
 from nucleoframe.model import known_coord
 from nucleoframe.session import table
 
@@ -93,5 +93,20 @@ def p8_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.select("doc_id", F.size("ids").alias("n_ids"), same.alias("same_bytes"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_splits": p3_splits, "p5_found": p5_found, "p5_clusters": p5_clusters, "p8_ids": p8_ids, "p8_roundtrip": p8_roundtrip}
+CAPACITY = 2048
+PIECE_LIMIT, PIECE_OVERLAP = 1024, 64
+
+
+def p9_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The container of every speech, or of its pieces if it exceeds the capacity."""
+    sizes = tokens.token_counts(table(spark, sf_dir, "documents"), "text", ["doc_id"])
+    return packing.pack(sizes, "doc_id", "n_tokens", CAPACITY).withColumnRenamed("id", "doc_id")
+
+
+def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of the speeches that are longer than the limit."""
+    return pieces.cut_texts(table(spark, sf_dir, "documents"), "doc_id", "text", PIECE_LIMIT, PIECE_OVERLAP)
+
+
+QUERIES = {"p3_found": p3_found, "p3_splits": p3_splits, "p5_found": p5_found, "p5_clusters": p5_clusters, "p8_ids": p8_ids, "p8_roundtrip": p8_roundtrip, "p9_packed": p9_packed, "p10_pieces": p10_pieces}
 ORACLES = {"p3_found": P3_SQL, "p5_found": P5_SQL}
