@@ -24,7 +24,8 @@ KINDS = "PISWcb"
 #: Behind these a full stop ends no sentence (fixed values).
 ABBREVIATIONS = "Mr Mrs Ms Dr Prof St Nr No Abs Art Vol vol p pp M Mme Sr Sra Hr Fr Frau Doc ca bzw Av Exmo Exma art nr no"
 _ABBREVIATED = frozenset(ABBREVIATIONS.split())
-_SENTENCE = re.compile(r"(\w*)([.!?…])[\"'»”’)\]]*(?=\s)|[。！？][」』”）]*")
+_SENTENCE = re.compile(r"([.!?…])[\"'»”’)\]]*(?=\s)|[。！？][」』”）]*")
+_LAST_WORD = re.compile(r"\w+\Z")
 _INTERRUPTION = re.compile(r"[)\]](?=\s)|）")
 _PARAGRAPH = re.compile(r"\n\s*")
 _WORD = re.compile(r"(?<=\S)(?= \S)|(?<=\n)(?=\S)")
@@ -37,11 +38,18 @@ def _token_lengths(vocabulary: str, cache: dict = {}) -> np.ndarray:  # noqa: B0
     return cache[vocabulary]
 
 
+def _abbreviated(before: str) -> bool:
+    """Whether the word at the end is one behind which a full stop ends no sentence."""
+    found = _LAST_WORD.search(before)
+    word = found[0] if found else ""
+    return word in _ABBREVIATED or word.isdigit() or len(word) == 1
+
+
 def boundary_kinds(text: str) -> np.ndarray:
     """For each place in a text, 0 to its length, the rank of the boundary there in KINDS."""
     kind = np.full(len(text) + 1, KINDS.index("c"), np.int8)
     kind[[m.start() for m in _WORD.finditer(text)]] = KINDS.index("W")
-    kind[[m.end() for m in _SENTENCE.finditer(text) if m[2] != "." or not (m[1] in _ABBREVIATED or m[1].isdigit() or len(m[1]) == 1)]] = KINDS.index("S")
+    kind[[m.end() for m in _SENTENCE.finditer(text) if m[1] != "." or not _abbreviated(text[max(0, m.start() - 16) : m.start()])]] = KINDS.index("S")
     kind[[m.end() for m in _INTERRUPTION.finditer(text)]] = KINDS.index("I")
     kind[[m.end() for m in _PARAGRAPH.finditer(text)]] = KINDS.index("P")
     kind[len(text)] = KINDS.index("P")
