@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nucleoframe.sources.fofct_lines import coordinate_value, data_lines
+from nucleoframe.sources.fofct_lines import coordinate, data_lines
 
 
 def rejects(lines: DataFrame) -> DataFrame:
@@ -23,5 +23,5 @@ def valid_rows(lines: DataFrame) -> DataFrame:
     """Data lines without errors, typed. Y and Z that are no coordinates are null."""
     good = data_lines(lines).where("kind = 'data' AND size(errors) = 0")
     return good.select(
-        "line_id", "file_id", "line_no", F.col("trace_text").alias("trace_id"), F.col("chrom_text").alias("chrom"), F.col("start_text").cast("bigint").alias("start_bp"), *[coordinate_value(F.col(f"{a}_text")).alias(a) for a in "xyz"]
+        "line_id", "file_id", "line_no", F.col("trace_text").alias("trace_id"), F.col("chrom_text").alias("chrom"), F.col("start_text").cast("bigint").alias("start_bp"), F.col("x.value").alias("x"), *[coordinate(F.col(f"{a}_text"))["value"].alias(a) for a in "yz"]
     )

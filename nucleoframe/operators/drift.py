@@ -32,10 +32,11 @@ def footers(lines: DataFrame) -> DataFrame:
     heads = layouts(lines).select("file_id", *[_in_role("names", f).alias(f"{f}_name") for f in FIELDS])
     good = data_lines(lines).where("kind = 'data' AND size(errors) = 0")
     good = with_once(good, **{f"{f}_text": _value(f) for f in FIELDS})
+    rank = lambda t: F.when(t.isNull() | t.rlike("^[0-9]+$"), 0).when(t.rlike(f"^{NUMBER}$"), 1).otherwise(2)
+    good = good.select("file_id", *[rank(F.col(f"{f}_text")).alias(f"{f}_kind") for f in FIELDS])
     flags = []
     for f in FIELDS:
-        some = F.col(f"{f}_text").isNotNull()
-        flags += [F.max(some & ~F.col(f"{f}_text").rlike("^[0-9]+$")).alias(f"{f}_no_int"), F.max(some & ~F.col(f"{f}_text").rlike(f"^{NUMBER}$")).alias(f"{f}_no_dec")]
+        flags.append(F.max(F.col(f"{f}_kind")).alias(f"{f}_kind"))
     seen = good.groupBy("file_id").agg(*flags)
     return heads.join(seen, "file_id", "left")
 
@@ -48,7 +49,7 @@ def catalogue(files: DataFrame, lines: DataFrame) -> DataFrame:
     """
     foot = footers(lines)
     wide = files.select("file_id", "series", "released_at").join(foot, "file_id", "left")
-    kind = lambda f: F.when(F.col(f"{f}_name").isNotNull(), F.when(F.coalesce(f"{f}_no_dec", F.lit(False)), "text").when(F.coalesce(f"{f}_no_int", F.lit(False)), "decimal").otherwise("integer"))
+    kind = lambda f: F.when(F.col(f"{f}_name").isNotNull(), F.element_at(F.array(*[F.lit(k) for k in ("integer", "decimal", "text")]), F.coalesce(f"{f}_kind", F.lit(0)) + 1))
     fields = F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f"{f}_name").alias("column_name"), kind(f).alias("column_type")) for f in FIELDS]))
     long = wide.select("series", "file_id", "released_at", fields.alias("f")).select("series", "file_id", "released_at", "f.*")
     order = Window.partitionBy("series", "field_name").orderBy("released_at", "file_id")

@@ -38,7 +38,6 @@ PIXEL = {"x": 0.108, "y": 0.108, "z": 0.2}
 
 NUMBER = r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?"
 UNITS = "|".join(sorted((w for ws in UNIT_WORDS.values() for w in ws), key=lambda w: (-len(w), w)))
-COORDINATE = f"^({NUMBER})[ \\t]*({UNITS})?$"
 _FIELD = r'[ \t]*+"(?:[^"]++|"")*+"[ \t]*+|[^",]*+'
 _SOUND = f"^(?:{_FIELD})(?:,(?:{_FIELD}))*+$"
 _EDGES = '#" ,()[]{}\t\r\n'
@@ -103,24 +102,23 @@ def _at(name: str) -> Column:
     return plain_value(F.get(F.col("fields"), (place - 1).cast("int")))
 
 
-def plain_value(value: Column) -> Column:
-    """A field's value without blanks around it, and without the quotes of a sound quoted field."""
-    value = F.btrim(value, F.lit(" \t\r\n"))
-    quoted = value.startswith('"')
-    return F.when(quoted, F.btrim(F.replace(F.substr(value, F.lit(2), F.length(value) - 2), F.lit('""'), F.lit('"')), F.lit(" \t\r\n"))).otherwise(value)
+def _trimmed(text: Column) -> Column:
+    """Without blanks around it; the common case has no blanks but spaces."""
+    return F.when(text.rlike("[\\t\\r\\n]"), F.btrim(text, F.lit(" \t\r\n"))).otherwise(F.trim(text))
 
 
-def finite_number(text: Column) -> Column:
-    """The value of a finite decimal number, else null."""
-    value = F.when(text.rlike(f"^{NUMBER}$"), text.try_cast("double"))
-    return F.when(F.abs(value) < float("inf"), value)
+def plain_value(value: Column) -> Column:
+    """A field's value without blanks around it, and without the quotes of a sound quoted field."""
+    plain = _trimmed(value)
+    unquoted = _trimmed(F.replace(F.substr(plain, F.lit(2), F.length(plain) - 2), F.lit('""'), F.lit('"')))
+    return F.when(value.contains('"'), unquoted).otherwise(plain)
 
 
 def data_lines(lines: DataFrame, extra: DataFrame | None = None) -> DataFrame:
     """Data lines as nullable text columns with an array of errors.
 
-    Adds kind (``header``, ``blank``, ``comment``, ``data``), the text of each required column,
-    ``fields`` and ``names``, and ``errors``: reasons in the order of their precedence, null for
+    Adds kind (``header``, ``blank``, ``comment``, ``data``), the text of each required column, ``x``
+    as value and unit, ``fields`` and ``names``, and ``errors``: reasons in the order of their precedence, null for
     lines that aren't data. Null lines count as blank. Lines delivered twice count one by one.
     """
     joined = with_layout(lines, extra)
@@ -139,6 +137,7 @@ def data_lines(lines: DataFrame, extra: DataFrame | None = None) -> DataFrame:
     out = with_once(out, fields=F.when(F.col("kind") == "data", fields))
     names = {"Trace_ID": "trace_text", "Chrom": "chrom_text", "Chrom_Start": "start_text", "X": "x_text", "Y": "y_text", "Z": "z_text"}
     out = with_once(out, **{alias: _at(name) for name, alias in names.items()})
+    out = with_once(out, x=coordinate(F.col("x_text")))
     whole = F.size("fields") == F.size("names")
     start = F.col("start_text")
     rules = [
@@ -147,30 +146,23 @@ def data_lines(lines: DataFrame, extra: DataFrame | None = None) -> DataFrame:
         ("trace_id", whole & (F.coalesce("trace_text", F.lit("")) == "")),
         ("chrom", whole & ~F.coalesce(F.col("chrom_text").startswith("chr"), F.lit(False))),
         ("chrom_start", whole & ~F.coalesce(start.rlike("^[0-9]+$") & start.try_cast("bigint").isNotNull(), F.lit(False))),
-        ("x", whole & ~is_coordinate(F.col("x_text"))),
+        ("x", whole & F.col("x.value").isNull()),
     ]
     errors = F.array_compact(F.array(*[F.when(bad, F.lit(reason)) for reason, bad in rules]))
     return with_once(out, errors=F.when(F.col("kind") == "data", errors))
 
 
-def is_coordinate(text: Column) -> Column:
-    """A finite decimal number with or without a unit behind it."""
-    low = F.lower(text)
-    number = F.regexp_extract(low, COORDINATE, 1).try_cast("double")
-    return F.coalesce(low.rlike(COORDINATE) & (F.abs(number) < float("inf")), F.lit(False))
-
-
-def coordinate_value(text: Column) -> Column:
-    value = F.regexp_extract(F.lower(text), COORDINATE, 1).try_cast("double")
-    return F.when(F.abs(value) < float("inf"), value)
+def coordinate(text: Column) -> Column:
+    """(value, word) of a finite decimal number with or without a unit behind it; null values for
+    anything else. The word is the unit as written, in lower case, or empty."""
+    number = F.regexp_extract(text, f"^{NUMBER}", 0)
+    word = F.lower(F.ltrim(F.substr(text, F.length(number) + 1)))
+    value = F.when((word == "") | unit_code(word).isNotNull(), number.try_cast("double"))
+    return F.struct(F.when(F.abs(value) < float("inf"), value).alias("value"), word.alias("word"))
 
 
 def unit_code(word: Column, codes: list[str] | None = None) -> Column:
-    """nm, um, mm, angstrom or px for a unit's symbol or word (its place in ``codes``, if given);
+    """nm, um, mm, angstrom or px for a unit's symbol or word in lower case (its place in ``codes``, if given);
     null for anything else."""
     pairs = [F.lit(v) for code, words in UNIT_WORDS.items() for w in dict.fromkeys(w.lower() for w in words) for v in (w, code if codes is None else codes.index(code))]
-    return F.try_element_at(F.create_map(*pairs), F.lower(word))
-
-
-def written_unit(text: Column, codes: list[str] | None = None) -> Column:
-    return unit_code(F.regexp_extract(F.lower(text), COORDINATE, 2), codes)
+    return F.try_element_at(F.create_map(*pairs), word)
