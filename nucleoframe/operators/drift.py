@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nucleoframe.session import with_once
-from nucleoframe.sources.fofct_lines import ALIASES, NUMBER, data_lines, layouts, plain_value
+from nucleoframe.sources.fofct_lines import ALIASES, NUMBER, data_lines, layouts, plain_values
 
 FIELDS = list(ALIASES)
 
@@ -18,9 +17,10 @@ def _in_role(values: str, field: str) -> Column:
     return F.when(at > 0, F.get(F.col(values), (at - 1).cast("int")))
 
 
-def _value(field: str) -> Column:
-    text = plain_value(_in_role("fields", field))
-    return F.when(text != "", text)
+def _field_texts(good: DataFrame) -> DataFrame:
+    """Add the text of each field, null where it is blank or the file lacks it."""
+    out = plain_values(good, {f"{f}_text": _in_role("fields", f) for f in FIELDS})
+    return out.withColumns({f"{f}_text": F.nullif(F.col(f"{f}_text"), F.lit("")) for f in FIELDS})
 
 
 def footers(lines: DataFrame) -> DataFrame:
@@ -31,7 +31,7 @@ def footers(lines: DataFrame) -> DataFrame:
     """
     heads = layouts(lines).select("file_id", *[_in_role("names", f).alias(f"{f}_name") for f in FIELDS])
     good = data_lines(lines).where("kind = 'data' AND size(errors) = 0")
-    good = with_once(good, **{f"{f}_text": _value(f) for f in FIELDS})
+    good = _field_texts(good)
     rank = lambda t: F.when(t.isNull() | t.rlike("^[0-9]+$"), 0).when(t.rlike(f"^{NUMBER}$"), 1).otherwise(2)
     good = good.select("file_id", *[rank(F.col(f"{f}_text")).alias(f"{f}_kind") for f in FIELDS])
     flags = []
@@ -96,6 +96,7 @@ def consistent_rows(lines: DataFrame) -> DataFrame:
     the one column; values that are no finite number leave Intensity null.
     """
     good = data_lines(lines).where("kind = 'data' AND size(errors) = 0")
-    value = {f: _value(f) for f in FIELDS}
+    good = _field_texts(good)
+    value = {f: F.col(f"{f}_text") for f in FIELDS}
     number = value["Intensity"].try_cast("double")
     return good.select("line_id", "file_id", "line_no", value["Spot_ID"].alias("spot_id"), F.when(F.abs(number) < float("inf"), number).alias("intensity"), value["Cell_ID"].alias("cell_id"))

@@ -40,6 +40,7 @@ NUMBER = r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?"
 UNITS = "|".join(sorted((w for ws in UNIT_WORDS.values() for w in ws), key=lambda w: (-len(w), w)))
 _FIELD = r'[ \t]*+"(?:[^"]++|"")*+"[ \t]*+|[^",]*+'
 _SOUND = f"^(?:{_FIELD})(?:,(?:{_FIELD}))*+$"
+_TEXTS = {"Trace_ID": "trace_text", "Chrom": "chrom_text", "Chrom_Start": "start_text", "X": "x_text", "Y": "y_text", "Z": "z_text"}
 _EDGES = '#" ,()[]{}\t\r\n'
 
 
@@ -83,6 +84,7 @@ def layouts(lines: DataFrame) -> DataFrame:
         .select("file_id", F.col("head.line_no").alias("columns_line"), layout_names(F.col("head.raw_line")).alias("names"))
     )
     heads = heads.withColumn("roles", F.transform("names", lambda n: F.coalesce(field_of(n), F.lit(""))))
+    heads = heads.select("*", *[(F.array_position("names", n) - 1).cast("int").alias(f"at_{n}") for n in _TEXTS])
     sizes = lines.groupBy("file_id").agg(F.max("line_no").alias("last_line"))
     return sizes.join(heads, "file_id", "left")
 
@@ -96,22 +98,17 @@ def with_layout(lines: DataFrame, extra: DataFrame | None = None) -> DataFrame:
     return lines.withColumn("block", block_of(F.col("line_no"))).join(per_block, ["file_id", "block"])
 
 
-def _at(name: str) -> Column:
-    """The value of a named column, without blanks and quotes around it; null where there is none."""
-    place = F.array_position("names", name)
-    return plain_value(F.get(F.col("fields"), (place - 1).cast("int")))
-
-
 def _trimmed(text: Column) -> Column:
     """Without blanks around it; the common case has no blanks but spaces."""
     return F.when(text.rlike("[\\t\\r\\n]"), F.btrim(text, F.lit(" \t\r\n"))).otherwise(F.trim(text))
 
 
-def plain_value(value: Column) -> Column:
-    """A field's value without blanks around it, and without the quotes of a sound quoted field."""
-    plain = _trimmed(value)
-    unquoted = _trimmed(F.replace(F.substr(plain, F.lit(2), F.length(plain) - 2), F.lit('""'), F.lit('"')))
-    return F.when(value.contains('"'), unquoted).otherwise(plain)
+def plain_values(df: DataFrame, values: dict[str, Column]) -> DataFrame:
+    """Add field values without blanks around them, and without the quotes of sound quoted fields."""
+    out = with_once(df, **values)
+    out = with_once(out, **{f"{n}__t": _trimmed(F.col(n)) for n in values}).drop(*values)
+    inner = lambda t: _trimmed(F.replace(F.substr(t, F.lit(2), F.length(t) - 2), F.lit('""'), F.lit('"')))
+    return with_once(out, **{n: F.when(F.col(f"{n}__t").startswith('"'), inner(F.col(f"{n}__t"))).otherwise(F.col(f"{n}__t")) for n in values}).drop(*[f"{n}__t" for n in values])
 
 
 def data_lines(lines: DataFrame, extra: DataFrame | None = None) -> DataFrame:
@@ -135,8 +132,7 @@ def data_lines(lines: DataFrame, extra: DataFrame | None = None) -> DataFrame:
     fields = F.when(~quotes, F.split(raw, ",", -1)).when(sound, F.regexp_extract_all(F.concat(F.lit(","), raw), F.lit(f",({_FIELD})"), 1))
     out = with_once(joined, kind=kind)
     out = with_once(out, fields=F.when(F.col("kind") == "data", fields))
-    names = {"Trace_ID": "trace_text", "Chrom": "chrom_text", "Chrom_Start": "start_text", "X": "x_text", "Y": "y_text", "Z": "z_text"}
-    out = with_once(out, **{alias: _at(name) for name, alias in names.items()})
+    out = plain_values(out, {alias: F.get("fields", F.col(f"at_{name}")) for name, alias in _TEXTS.items()}).drop(*[f"at_{n}" for n in _TEXTS])
     out = with_once(out, x=coordinate(F.col("x_text")))
     whole = F.size("fields") == F.size("names")
     start = F.col("start_text")
