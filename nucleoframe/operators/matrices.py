@@ -67,9 +67,9 @@ def interpolated(cube: DataFrame) -> DataFrame:
 
 
 def sorted_cells(cube: DataFrame) -> DataFrame:
-    """The order of cells by their mean, nulls last, ties by id. Only one row per cell is put in order."""
+    """The order of cells by their mean to nine decimals, nulls last, ties by id. Only one row per cell is put in order."""
     means = cube.groupBy("cell_id").agg(F.avg("value").alias("mean"))
-    return means.select("cell_id", "mean", F.row_number().over(Window.orderBy(F.asc_nulls_last("mean"), "cell_id")).alias("place"))
+    return means.select("cell_id", "mean", F.row_number().over(Window.orderBy(F.round("mean", 9).asc_nulls_last(), "cell_id")).alias("place"))
 
 
 def effective_radius(volume: Column) -> Column:
