@@ -79,3 +79,29 @@ def sphere(spots: DataFrame, radius: float, far: int) -> DataFrame:
     )
     volume = 4 / 3 * math.pi * radius**3
     return spots.select("row_id").join(counts, "row_id", "left").select("row_id", F.coalesce("n", F.lit(0)).alias("n_contacts"), "inter", "trans", "long_intra", "mean_dist", (F.coalesce("n_apart", F.lit(0)) / volume).alias("density"), F.coalesce("kernel", F.lit(0.0)).alias("kernel"))
+
+
+def of_spots(spots: DataFrame, loci: DataFrame, cube: DataFrame) -> DataFrame:
+    """Spots with the value that a feature table has at their cell, locus and copy; null where it has none."""
+    values = cube.select("cell_id", "locus", F.col("copy_no").alias("copy"), "value")
+    return placed(spots, loci).join(values, ["cell_id", "locus", "copy"], "left")
+
+
+def smoothed_in_space(valued: DataFrame, radius: float) -> DataFrame:
+    """Per spot the mean value of the spots of its cell closer than the radius, itself included."""
+    own = valued.select("row_id", F.col("value"))
+    near = grid_pairs(valued, radius, ["cell_id"]).where(F.col("dist") < radius).select(F.col("a.row_id").alias("row_id"), F.col("b.value").alias("value"))
+    return own.unionByName(near).groupBy("row_id").agg(F.avg("value").alias("value"))
+
+
+def body_distance(spots: DataFrame, bodies: DataFrame, delta: float) -> DataFrame:
+    """Per spot the distance to the nearest body of its cell (0 inside) and the mean of
+    exp(-distance / delta) over them. Bodies with a missing bound don't count; spots of cells
+    without bodies have no row."""
+    whole = bodies
+    for c in ("x_lo", "x_hi", "y_lo", "y_hi", "z_lo", "z_hi"):
+        whole = whole.where(F.col(c).isNotNull() & ~F.isnan(c))
+    gap = [F.greatest(F.col(f"{c}_lo") - F.col(c), F.col(c) - F.col(f"{c}_hi"), F.lit(0.0)) for c in "xyz"]
+    dist = F.sqrt(gap[0] * gap[0] + gap[1] * gap[1] + gap[2] * gap[2])
+    boxes = whole.select("cell_id", *[f"{c}_{s}" for c in "xyz" for s in ("lo", "hi")])
+    return spots.select("row_id", "cell_id", "x", "y", "z").join(boxes, "cell_id").groupBy("row_id").agg(F.min(dist).alias("closest"), F.avg(F.exp(-dist / delta)).alias("tsa"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from nucleoframe.session import ranked
+
 
 def coarse_grain(cube: DataFrame, factor: int, method: str = "average") -> DataFrame:
     """Per cell, coarse locus and copy the average, the sum (0 of nothing) or the consensus (1 if
@@ -21,12 +23,16 @@ def quantised(cube: DataFrame, n: int) -> DataFrame:
 
 
 def z_scores(cube: DataFrame, by: list[str]) -> DataFrame:
-    w = Window.partitionBy(*by)
-    return cube.withColumn("zscore", F.try_divide(F.col("value") - F.avg("value").over(w), F.stddev_pop("value").over(w)))
+    """Values less their group's mean, in population deviations; null where that is 0. Groups are
+    aggregated first, so that a hot one isn't sorted in one task."""
+    stats = cube.groupBy(*[F.col(c).alias(f"_{c}") for c in by]).agg(F.avg("value").alias("_mean"), F.stddev_pop("value").alias("_sd"))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
+    return cube.join(stats, same).select(*cube.columns, F.try_divide(F.col("value") - F.col("_mean"), F.col("_sd")).alias("zscore"))
 
 
 def normalised_by_cell(cube: DataFrame) -> DataFrame:
-    return cube.withColumn("norm", F.try_divide(F.col("value"), F.avg("value").over(Window.partitionBy("cell_id"))))
+    mean = cube.groupBy(F.col("cell_id").alias("_cell")).agg(F.avg("value").alias("_mean"))
+    return cube.join(mean, F.col("cell_id").eqNullSafe(F.col("_cell"))).select(*cube.columns, F.try_divide("value", "_mean").alias("norm"))
 
 
 def sliding(cube: DataFrame, window: int, method: str = "mean") -> DataFrame:
@@ -67,9 +73,9 @@ def interpolated(cube: DataFrame) -> DataFrame:
 
 
 def sorted_cells(cube: DataFrame) -> DataFrame:
-    """The order of cells by their mean to nine decimals, nulls last, ties by id. Only one row per cell is put in order."""
+    """The order of cells by their mean to nine decimals, nulls last, ties by id."""
     means = cube.groupBy("cell_id").agg(F.avg("value").alias("mean"))
-    return means.select("cell_id", "mean", F.row_number().over(Window.orderBy(F.round("mean", 9).asc_nulls_last(), "cell_id")).alias("place"))
+    return ranked(means, [F.round("mean", 9).asc_nulls_last(), F.col("cell_id").asc()]).select("cell_id", "mean", "place")
 
 
 def effective_radius(volume: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from nucleoframe.model import TRACE_KEY
-from nucleoframe.operators.traces import distance
+from nucleoframe.operators.traces import distance, grid_pairs
 
 
 def intra_contacts(spots: DataFrame, states: DataFrame, resolution: int, threshold: float) -> DataFrame:
@@ -69,3 +69,73 @@ def significance(contacts: DataFrame, alpha: float = 0.05, effect: float = 0.584
     out = rejected(tested, "p", ["state"], alpha)
     strong: Column = F.coalesce(F.log2(F.try_divide(F.col("f"), F.col("control"))) > effect, F.lit(False))
     return out.withColumn("significant", F.col("significant") & strong)
+
+
+def inter_contacts(spots: DataFrame, states: DataFrame, resolution: int, threshold: float) -> DataFrame:
+    """Per state (and ``all``) and bins of two chromosomes: spot pairs n, contacts c and frequency.
+
+    Pairs that are only present together are products of the bins' counts in a cell; only pairs
+    within the threshold are joined, over a grid.
+    """
+    s = spots.select("row_id", "cell_id", "chrom", "x", "y", "z", F.floor(F.col("start_bp") / resolution).cast("int").alias("bin"))
+    bins = s.groupBy("cell_id", "chrom", "bin").agg(F.count(F.lit(1)).alias("k"))
+    a, b = bins.alias("a"), bins.alias("b")
+    both = a.join(b, [F.col("a.cell_id") == F.col("b.cell_id"), F.col("a.chrom") < F.col("b.chrom")]).select(F.col("a.cell_id").alias("cell_id"), *_ends(), (F.col("a.k") * F.col("b.k")).alias("n"), F.lit(0).cast("bigint").alias("c"))
+    near = grid_pairs(s, threshold, ["cell_id"]).where(F.col("a.chrom") < F.col("b.chrom")).select(F.col("a.cell_id").alias("cell_id"), *_ends(), F.lit(0).cast("bigint").alias("n"), F.lit(1).cast("bigint").alias("c"))
+    known = both.unionByName(near).groupBy("cell_id", "chrom1", "bin1", "chrom2", "bin2").agg(F.sum("n").alias("n"), F.sum("c").alias("c")).join(states, "cell_id")
+    each = known.select("*", F.explode(F.array("state", F.lit("all"))).alias("group")).where("group IS NOT NULL")
+    out = each.groupBy("group", "chrom1", "bin1", "chrom2", "bin2").agg(F.sum("n").alias("n"), F.sum("c").alias("c"))
+    return out.select(F.col("group").alias("state"), "chrom1", "bin1", "chrom2", "bin2", "n", "c", (F.col("c") / F.col("n")).alias("f"))
+
+
+def _ends() -> list[Column]:
+    return [F.col(f"{s}.{c}").alias(f"{c}{i}") for i, s in ((1, "a"), (2, "b")) for c in ("chrom", "bin")]
+
+
+def rescaled(contacts: DataFrame) -> DataFrame:
+    """Maps of all states brought to the mean frequency of ``all``: f by the ratio, f_var by its square."""
+    mean = contacts.groupBy("state").agg(F.avg("f").alias("mean"))
+    ratio = mean.join(mean.where("state = 'all'").select(F.col("mean").alias("goal"))).select("state", F.try_divide("goal", "mean").alias("ratio"))
+    return contacts.join(ratio, "state").select(*[c for c in contacts.columns if c not in ("f", "f_var")], (F.col("f") * F.col("ratio")).alias("f"), (F.col("f_var") * F.col("ratio") * F.col("ratio")).alias("f_var"))
+
+
+def adjusted_correlation(contacts: DataFrame, one: str, other: str, least: int) -> DataFrame:
+    """The mean, over genomic distances with at least ``least`` bins, of the correlation of two states' maps (one row)."""
+    a, b = (contacts.where(F.col("state") == s).select("chrom", "bin1", "bin2", F.col("f").alias(n)) for s, n in ((one, "fa"), (other, "fb")))
+    far = a.join(b, ["chrom", "bin1", "bin2"]).where("fa IS NOT NULL AND fb IS NOT NULL").groupBy((F.col("bin2") - F.col("bin1")).alias("far")).agg(F.count(F.lit(1)).alias("n"), F.corr("fa", "fb").alias("r"))
+    return far.where((F.col("n") >= least) & F.col("r").isNotNull() & ~F.isnan("r")).agg(F.avg("r").alias("r"), F.count(F.lit(1)).alias("n_distances"))
+
+
+def compartments(contacts: DataFrame, density: DataFrame) -> DataFrame:
+    """Per state and chromosome the eigenvector of the correlated, distance-corrected map that
+    follows the density (chrom, bin, density) best, turned its way and of length 1.
+
+    A group holds one chromosome's aggregated map, so its size is bounded by the genome.
+    """
+    import numpy as np
+    import pandas as pd
+
+    def one(maps: pd.DataFrame) -> pd.DataFrame:
+        bins = np.unique(np.concatenate([maps["bin1"], maps["bin2"]]))
+        at1, at2, n = np.searchsorted(bins, maps["bin1"]), np.searchsorted(bins, maps["bin2"]), len(bins)
+        m = np.zeros((n, n))
+        m[at1, at2] = m[at2, at1] = maps["f"].fillna(0.0)
+        gap = np.abs(np.subtract.outer(np.arange(n), np.arange(n)))
+        expected = np.array([m[gap == k].mean() for k in range(n)])[gap]
+        ratio = m / (expected + 1e-10)
+        centred = ratio - ratio.mean(axis=1, keepdims=True)
+        with np.errstate(all="ignore"):
+            score = np.nan_to_num(centred / ratio.std(axis=1, keepdims=True), nan=0.0, posinf=0.0, neginf=0.0)
+            c = np.nan_to_num(np.corrcoef(score))
+        genes = np.zeros(n)
+        genes[at1], genes[at2] = maps["d1"].fillna(0.0), maps["d2"].fillna(0.0)
+        vectors = np.linalg.eigh(c)[1][:, ::-1][:, :5] if n > 1 else np.ones((1, 1))
+        with np.errstate(all="ignore"):
+            fit = np.nan_to_num([np.corrcoef(v, genes)[0, 1] for v in vectors.T]) if n > 1 else np.zeros(1)
+        best = int(np.argmax(np.abs(fit)))
+        turned = vectors[:, best] * (-1.0 if fit[best] < 0 else 1.0)
+        return pd.DataFrame({"state": maps["state"].iloc[0], "chrom": maps["chrom"].iloc[0], "bin": bins, "compartment": turned})
+
+    side = lambda k: density.select("chrom", F.col("bin").alias(f"bin{k}"), F.col("density").cast("double").alias(f"d{k}"))
+    maps = contacts.select("state", "chrom", "bin1", "bin2", "f").join(side(1), ["chrom", "bin1"], "left").join(side(2), ["chrom", "bin2"], "left")
+    return maps.groupBy("state", "chrom").applyInPandas(one, "state string, chrom string, bin int, compartment double")

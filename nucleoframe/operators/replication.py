@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from nucleoframe.session import ranked
+
 
 def moments(counts: DataFrame, by: list[str]) -> DataFrame:
     """Per group of (…, value = spots at a locus and copy): samples, mean n, its variance, share f of zeros, its variance, and their covariance."""
@@ -69,12 +71,16 @@ def simulated_timing(counts: DataFrame) -> DataFrame:
     return counts.groupBy("chrom", "locus").agg(F.try_divide(s, g).alias("rt"))
 
 
-def states_by_volume(cells: DataFrame, g1_share: float, g2_share: float) -> DataFrame:
-    """The smallest cells are G1, the largest G2, the rest S; one row per cell is ranked."""
+def by_volume(cells: DataFrame) -> DataFrame:
+    """Cells with a known volume, their place r by volume (ties by id), and how many n there are."""
     known = cells.where(F.col("volume").isNotNull() & ~F.isnan("volume"))
-    ranked = known.select("cell_id", "volume", F.row_number().over(Window.orderBy("volume", "cell_id")).alias("r"), F.count(F.lit(1)).over(Window.partitionBy()).alias("n"))
+    return ranked(known, [F.col("volume").asc(), F.col("cell_id").asc()], "r").crossJoin(F.broadcast(known.agg(F.count(F.lit(1)).alias("n"))))
+
+
+def states_by_volume(cells: DataFrame, g1_share: float, g2_share: float) -> DataFrame:
+    """The smallest cells are G1, the largest G2, the rest S."""
     state = F.when(F.col("r") <= F.floor(F.col("n") * g1_share), "G1").when(F.col("r") > F.col("n") - F.floor(F.col("n") * g2_share), "G2").otherwise("S")
-    return ranked.select("cell_id", state.alias("state"))
+    return by_volume(cells).select("cell_id", state.alias("state"))
 
 
 def welch(cube: DataFrame, group_col: str, a: str, b: str, by: list[str]) -> DataFrame:
