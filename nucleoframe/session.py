@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -38,6 +39,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back, for loops of many joins.
+
+    A checkpoint keeps the estimated size of its plan, and estimates multiply with each join, so
+    that after a few rounds the planner works on numbers of millions of digits. A written table
+    has its real size.
+    """
+    path = f"{shared_checkpoint_dir(df.sparkSession)}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ranked(df: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
     """Add the place of each row, from 1, in the order given, without one task for all rows.
 
