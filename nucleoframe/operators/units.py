@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nucleoframe.session import cut_lineage, with_once
@@ -252,6 +252,17 @@ _ENDS = "file_id bigint, block int, " + ", ".join(f"enter{a} tinyint, leave{a} t
 _GAINS = "file_id bigint, block int, " + ", ".join(f"g{a} array<double>, r{a} tinyint" for a in AXES)
 
 
+def _whole_blocks(rows: DataFrame) -> DataFrame:
+    """Rows sorted by file, block and line, each block in one partition.
+
+    The window demands this of the planner. A repartition doesn't: it is dropped on top of a join
+    by the same keys, and adaptive execution may then broadcast the other side and read the rows' shuffle
+    locally, where blocks lie in parts.
+    """
+    by_line = Window.partitionBy("file_id", "block").orderBy("line_no")
+    return rows.withColumn("place", F.row_number().over(by_line)).sortWithinPartitions("file_id", "block", "line_no")
+
+
 def decode_units(lines: DataFrame, files: DataFrame, evidence: Evidence | None = None) -> DataFrame:
     """The unit of each X, Y and Z of the valid data lines, and its value in micrometres.
 
@@ -264,13 +275,12 @@ def decode_units(lines: DataFrame, files: DataFrame, evidence: Evidence | None =
     """
     e = evidence or Evidence()
     seen = observations(lines, files)
-    by_line = ["file_id", "block", "line_no"]
-    out = seen.where("block_count = 1").sortWithinPartitions(*by_line).mapInArrow(_decode(e, False), _DECODED)
+    out = _whole_blocks(seen.where("block_count = 1")).mapInArrow(_decode(e, False), _DECODED)
     if lines.where(F.col("line_no") >= BLOCK).limit(1).count():
         long = cut_lineage(seen.where("block_count > 1"))
-        gains = long.repartition("file_id", "block").sortWithinPartitions(*by_line).mapInArrow(_block_gains(e), _GAINS)
+        gains = _whole_blocks(long).mapInArrow(_block_gains(e), _GAINS)
         ends = gains.groupBy("file_id").applyInArrow(_scan, _ENDS)
-        out = out.unionByName(long.join(ends, ["file_id", "block"]).repartition("file_id", "block").sortWithinPartitions(*by_line).mapInArrow(_decode(e, True), _DECODED))
+        out = out.unionByName(_whole_blocks(long.join(ends, ["file_id", "block"])).mapInArrow(_decode(e, True), _DECODED))
     factor = F.when(F.col("unit_code") == "px", F.when(F.col("axis") == "z", F.lit(PIXEL["z"])).otherwise(F.lit(PIXEL["x"])))
     for code, scale in UNIT_SCALE.items():
         factor = factor.when(F.col("unit_code") == code, F.lit(scale))

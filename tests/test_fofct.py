@@ -1,4 +1,5 @@
 import datetime
+import random
 
 from nucleoframe.operators.badrows import rejects, valid_rows
 from nucleoframe.operators.drift import changes, consistent_rows, lifespans
@@ -78,3 +79,27 @@ def test_drift_table_and_lifespans(spark):
     assert {tuple(r) for r in changes(fl, ln).collect()} == {(2, "Spot_ID", "renamed"), (2, "Spot_ID", "retyped"), (2, "Intensity", "added")}
     assert {(r["spot_id"], r["intensity"]) for r in consistent_rows(ln).collect()} == {("1", None), ("x1", 2.5)}
     assert {(r["field_name"], r["column_name"], r["n_files"]) for r in lifespans(fl, ln).collect()} == {("Spot_ID", "Spot_ID", 1), ("Spot_ID", "SpotID", 1), ("Intensity", "Lum", 1)}
+
+
+def test_units_of_files_spread_over_parts(spark, tmp_path):
+    # One statement in the middle of each file; a part of a file by itself would start from the remark.
+    rows, want = [], {}
+    for f in range(1, 201):
+        data = [f"{k},{'7' * 200},1.5,2.5,3.5,chr1,5,6" for k in range(20)]
+        raw = [HEAD, *data, f"#positions: {('nm', 'mm')[f % 2]}", *data]
+        rows += [(f * 1000 + n, f, n, r) for n, r in enumerate(raw, 1)]
+        want |= {(f * 1000 + n, a): ("px" if n < 22 else ("nm", "mm")[f % 2]) for n in range(2, 43) if n != 22 for a in "xyz"}
+    random.Random(5).shuffle(rows)
+    spark.createDataFrame(rows, LINES).repartition(8).write.parquet(f"{tmp_path}/lines")
+    fl = spark.createDataFrame([(f, "s", datetime.datetime(2024, 1, 1), "Exported with coordinates in pixels.") for f in range(1, 201)], FILES)
+    # Lines are too large to broadcast and layouts are not: known only at run time, the join reads the lines' shuffle locally.
+    named = {"spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.localShuffleReader.enabled": "true", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "512k", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in named}
+    for k, v in named.items():
+        spark.conf.set(k, v)
+    try:
+        got = {(r["line_id"], r["axis"]): r["unit_code"] for r in decode_units(spark.read.parquet(f"{tmp_path}/lines"), fl).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert got == want
