@@ -99,6 +99,8 @@ _add("l13_volume_splits", lambda k, d: cycle.volume_splits(_counts(k, d), _cells
      f"WITH {_N}, {_C}, v AS (SELECT cell_id, CAST((row_number() OVER (ORDER BY volume, cell_id) - 1) * 10 // count(*) OVER () AS INTEGER) AS part FROM c WHERE volume IS NOT NULL), u AS (SELECT chrom, locus, part, sum(value) AS s, count(value) AS k FROM n JOIN v USING (cell_id) GROUP BY 1, 2, 3), g AS (SELECT a.range AS g1, b.range AS g2 FROM range(1, 5) a, range(1, 5) b), t AS (SELECT g1, g2, chrom, locus, sum(s) FILTER (part >= g1 AND part < 10 - g2) AS ss, sum(k) FILTER (part >= g1 AND part < 10 - g2) AS sk, sum(s) FILTER (part < g1 OR part >= 10 - g2) AS gs, sum(k) FILTER (part < g1 OR part >= 10 - g2) AS gk FROM u, g GROUP BY 1, 2, 3, 4), m AS (SELECT g1, g2, chrom, locus, CASE WHEN sk <> 0 AND gk <> 0 AND gs <> 0 THEN (ss / sk) / (gs / gk) END AS sim FROM t), p AS (SELECT chrom, locus, avg(CASE WHEN CAST(rt AS VARCHAR) <> 'nan' THEN rt END) AS rt FROM sc_repliseq GROUP BY 1, 2) SELECT CAST(g1 AS INTEGER) AS g1, CAST(g2 AS INTEGER) AS g2, count(*) AS n, round(corr(sim, rt), 6) AS r FROM m JOIN p USING (chrom, locus) WHERE sim IS NOT NULL AND rt IS NOT NULL GROUP BY 1, 2")
 _add("l22_position_sensitivity", lambda k, d: cycle.position_sensitivity(table(k, d, "sc_repliseq").where("locale_no >= 0").select("chrom", F.floor(F.col("locus") / BLOCK).cast("int").alias("locus"), F.col("locale_no").alias("locale"), "t", F.col("rt").alias("y"))).select("chrom", "locus", "n", "n_locales", F.round("sensitivity", 5).alias("sensitivity"), F.round("f_stat", 4).alias("f_stat")),
      "WITH q AS (SELECT chrom, locus // 20 AS b, locale_no AS l, t, rt AS y FROM sc_repliseq WHERE locale_no >= 0 AND t IS NOT NULL AND rt IS NOT NULL AND CAST(t AS VARCHAR) <> 'nan' AND CAST(rt AS VARCHAR) <> 'nan'), i AS (SELECT chrom, b, l, var_pop(t) * count(*) AS tt, var_pop(y) * count(*) AS yy, covar_pop(t, y) * count(*) AS ty FROM q GROUP BY 1, 2, 3), w AS (SELECT chrom, b, count(*) AS k, sum(yy) - sum(ty) * sum(ty) / sum(tt) AS f FROM i GROUP BY 1, 2), r AS (SELECT chrom, b, count(*) AS n, var_pop(y) * count(*) - covar_pop(t, y) * count(*) * covar_pop(t, y) * count(*) / (var_pop(t) * count(*)) AS r FROM q GROUP BY 1, 2) SELECT chrom, CAST(b AS INTEGER) AS locus, n, k AS n_locales, round(sqrt((r - f) / r), 5) AS sensitivity, round(((r - f) / (k - 1)) / (f / (n - k - 1)), 4) AS f_stat FROM r JOIN w USING (chrom, b) WHERE n >= 10 AND k >= 3 AND n - k - 1 > 0")
+_add("l22_loci", lambda k, d: cycle.position_sensitivity(table(k, d, "sc_repliseq").where("locale_no >= 0").select("chrom", "locus", F.col("locale_no").alias("locale"), "t", F.col("rt").alias("y"))).select("chrom", "locus", "n", "n_locales", F.round("sensitivity", 5).alias("sensitivity"), F.round("f_stat", 4).alias("f_stat")),
+     ORACLES["l22_position_sensitivity"].replace("locus // 20 AS b", "locus AS b"))
 _add("l25g_threshold_sweep", lambda k, d: cycle.threshold_sweep(table(k, d, "sc_repliseq").select((F.col("rt") < 0).alias("early"), F.when(~F.isnan("rt"), F.col("rt")).alias("rt"), (1 - F.col("t")).alias("score")).where("rt IS NOT NULL"), "early", "score", THRESHOLDS).select("threshold", "tp", "fp", "tn", "fn", *_r("accuracy", "ppv", "npv", "tpr", "tnr")),
      f"WITH q AS (SELECT rt < 0 AS e, 1 - t AS s FROM sc_repliseq WHERE CAST(rt AS VARCHAR) <> 'nan' AND CAST(t AS VARCHAR) <> 'nan'), h AS (SELECT CAST(unnest({THRESHOLDS}) AS DOUBLE) AS th), c AS (SELECT th, count_if(s > th AND e) AS tp, count_if(s > th AND NOT e) AS fp, count_if(s <= th AND NOT e) AS tn, count_if(s <= th AND e) AS fn FROM q, h GROUP BY 1) SELECT th AS threshold, tp, fp, tn, fn, round(100.0 * (tp + tn) / (tp + tn + fp + fn), 6) AS accuracy, " + ", ".join(f"round(CASE WHEN {a} + {b} <> 0 THEN CAST(100 AS DOUBLE) * {a} / ({a} + {b}) END, 6) AS {n}" for n, a, b in (("ppv", "tp", "fp"), ("npv", "tn", "fn"), ("tpr", "tp", "fn"), ("tnr", "tn", "fp"))) + " FROM c")
 _add("l25f_yields", lambda k, d: cycle.yields(table(k, d, "sc_repliseq").where("t IS NOT NULL AND NOT isnan(t)").select("chrom", "locus", cycle.replication_states(F.col("t"), 0.2, 0.8).alias("rep_state")), ["chrom", "locus"]).select("chrom", "locus", "n", *_r("rep", "nonrep", "determined")),

@@ -153,6 +153,8 @@ _add("l3_population", f"WITH {_N}, a AS (SELECT state, {_MOM} FROM n WHERE state
      lambda k, d: replication.population(_counts(k, d).where("state IS NOT NULL")).select("state", "nsamples", *_r("n", "f", "p", "eps", "beta")))
 _add("l5_locus_run", f"WITH {_N}, a AS (SELECT chrom, locus // 20 AS blk, state, {_MOM} FROM n WHERE state IS NOT NULL GROUP BY ALL), e AS (SELECT chrom, blk, avg(CASE WHEN state = 'G1' THEN 1 - f WHEN state = 'G2' THEN 1 - sqrt(f) END) AS es FROM a GROUP BY ALL) SELECT chrom, CAST(blk AS INTEGER) AS blk, round(n, 6) AS n, round(f, 6) AS f, round(es, 6) AS eps, round(greatest(0.0, least(1.0, CASE WHEN es * (1 - es) <> 0 THEN (1 - es - f) / (es * (1 - es)) END)), 6) AS p FROM a JOIN e USING (chrom, blk) WHERE state = 'S'",
      lambda k, d: replication.by_group(_counts(k, d).where("state IS NOT NULL").withColumn("blk", F.floor(F.col("locus") / 20).cast("int")), ["chrom", "blk"]).select("chrom", "blk", *_r("n", "f", "eps", "p")))
+_add("l5_loci", ORACLES["l5_locus_run"].replace("locus // 20 AS blk", "locus AS blk").replace("CAST(blk AS INTEGER) AS blk", "CAST(blk AS INTEGER) AS locus"),
+     lambda k, d: replication.by_group(_counts(k, d).where("state IS NOT NULL"), ["chrom", "locus"]).select("chrom", "locus", *_r("n", "f", "eps", "p")))
 _add("l9_simulated_timing", f"WITH {_N} SELECT chrom, locus, round(CASE WHEN avg(CASE WHEN state IN ('G1', 'G2') THEN value END) <> 0 THEN avg(CASE WHEN state = 'S' THEN value END) / avg(CASE WHEN state IN ('G1', 'G2') THEN value END) END, 6) AS rt FROM n GROUP BY 1, 2", lambda k, d: replication.simulated_timing(_counts(k, d)).select("chrom", "locus", *_r("rt")))
 _add("l14_states_by_volume", f"WITH {_C}, r AS (SELECT cell_id, row_number() OVER (ORDER BY volume, cell_id) AS r, count(*) OVER () AS n FROM c WHERE volume IS NOT NULL) SELECT cell_id, CASE WHEN r <= floor(n * 0.4) THEN 'G1' WHEN r > n - floor(n * 0.2) THEN 'G2' ELSE 'S' END AS state FROM r", lambda k, d: replication.states_by_volume(_cells(k, d), 0.4, 0.2))
 _add("l23_welch", f"WITH {_M}, w AS (SELECT chrom, locus // 20 AS blk, avg(CASE WHEN state = 'G1' THEN value END) ma, var_samp(CASE WHEN state = 'G1' THEN value END) va, count(CASE WHEN state = 'G1' THEN value END) na, avg(CASE WHEN state = 'S' THEN value END) mb, var_samp(CASE WHEN state = 'S' THEN value END) vb, count(CASE WHEN state = 'S' THEN value END) nb FROM m GROUP BY ALL) SELECT chrom, CAST(blk AS INTEGER) AS blk, round((ma - mb) / sqrt(va / na + vb / nb), 5) AS t FROM w",

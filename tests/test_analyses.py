@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from nucleoframe.operators import cycle, features, matrices, nearest, pairwise, replication
+from nucleoframe.plans import analyses, reference
 from nucleoframe.session import ranked
 from nucleoframe.sources import markers
 from nucleoframe.streaming import ingest
@@ -147,3 +148,13 @@ def test_streams(spark, tmp_path):
     assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "a")).collect()} == {tuple(r) for r in want.collect()}
     ingest.run_available(ingest.deduplicated(got(), ["id"], "ts", "30 days"), str(tmp_path / "b"), str(tmp_path / "sb"))
     assert spark.read.parquet(str(tmp_path / "b")).count() == 90
+
+
+def test_loci_are_fitted_one_by_one(spark, tmp_path):
+    # Two loci of one block of 20: only the first is sensitive to position.
+    rows = [("c", ("G1", "G2", "S")[i % 3], "chr1", locus, i % 4, i / 24, i / 24 + (i % 4 if locus == 0 else 0) + (i * 7 % 5) / 50) for locus in (0, 1) for i in range(24)]
+    spark.createDataFrame(rows, "cellids string, states string, chrom string, locus int, locale_no int, t double, rt double").write.parquet(f"{tmp_path}/sc_repliseq.parquet")
+    got = {r["locus"]: r for r in analyses.QUERIES["l22_loci"](spark, str(tmp_path)).collect()}
+    assert set(got) == {0, 1} and all(r["n"] == 24 and r["n_locales"] == 4 for r in got.values())
+    assert got[0]["sensitivity"] > 0.9 > got[1]["sensitivity"] and got[0]["f_stat"] > 100 > got[1]["f_stat"]
+    assert {r["locus"] for r in reference.QUERIES["l5_loci"](spark, str(tmp_path)).collect()} == {0, 1}
