@@ -43,6 +43,9 @@ _add("k15_composition", lambda k, d: nearest.composition(_spots(k, d), _tracks(k
  n AS (SELECT a.row_id, unnest(min(struct_pack(d := {_D2}, near_id := b.row_id), 25)) AS e, unnest(range(1, 26)) AS r FROM s a JOIN s b ON a.cell_id = b.cell_id AND a.row_id <> b.row_id GROUP BY 1), k AS (SELECT unnest([5, 25]) AS k),
  h AS (SELECT n.row_id, a.track, b.track AS near_track, k.k, count(*) AS raw, count(DISTINCT (b.chrom, b.trace_id)) AS copies FROM n JOIN q a ON a.row_id = n.row_id JOIN q b ON b.row_id = n.e.near_id JOIN k ON n.r <= k.k WHERE a.chrom <> b.chrom OR a.trace_id <> b.trace_id GROUP BY ALL), z AS (SELECT track, count(*) AS n_spots FROM q GROUP BY 1)
  SELECT h.track, near_track, CAST(k AS INTEGER) AS k, n_spots, round(sum(raw) / n_spots, 6) AS raw, round(sum(copies) / n_spots, 6) AS copies FROM h JOIN z ON h.track = z.track GROUP BY h.track, near_track, k, n_spots""")
+SWEEP = [25, 50, 100, 250, 500]
+_add("k15_sweep", lambda k, d: nearest.composition(_spots(k, d), _tracks(k, d), SWEEP).select("track", "near_track", "k", "n_spots", *_r("raw", "copies")),
+     ORACLES["k15_composition"].replace("[5, 25]", str(SWEEP)).replace("row_id), 25)", "row_id), 500)").replace("range(1, 26)", "range(1, 501)"))
 _add("j5_bodies", lambda k, d: features.body_distance(_spots(k, d), table(k, d, "bodies"), 1.0).select("row_id", *_r("closest", "tsa")),
      f"WITH {_S}, q AS (SELECT row_id, sqrt(power(greatest(x_lo - x, x - x_hi, 0), 2) + power(greatest(y_lo - y, y - y_hi, 0), 2) + power(greatest(z_lo - z, z - z_hi, 0), 2)) AS d FROM s JOIN bodies USING (cell_id) WHERE x_lo IS NOT NULL AND x_hi IS NOT NULL AND y_lo IS NOT NULL AND y_hi IS NOT NULL AND z_lo IS NOT NULL AND z_hi IS NOT NULL) SELECT row_id, round(min(d), 6) AS closest, round(avg(exp(-d)), 6) AS tsa FROM q GROUP BY 1")
 _V = f"{_PLACED}, {_M}, v AS (SELECT p.row_id, p.cell_id, p.x, p.y, p.z, m.value FROM p LEFT JOIN m ON m.cell_id = p.cell_id AND m.locus = p.locus AND m.copy_no = p.copy)"
@@ -73,9 +76,9 @@ _add("l6_per_cell", lambda k, d: cycle.per_cell(_counts(k, d).drop("state"), _ce
      f"WITH {_E6}, a AS (SELECT avg({_OWN}) FILTER (state = 'G1') AS e1, avg({_OWN}) FILTER (state = 'G2') AS e2, avg(volume) FILTER (state = 'G1') AS v1, avg(volume) FILTER (state = 'G2') AS v2 FROM pm WHERE volume > 400), e AS (SELECT pm.*, coalesce({_OWN}, e1 + (e2 - e1) * greatest(0.0, least(1.0, (volume - v1) / (v2 - v1)))) AS eps FROM pm, a), p AS (SELECT *, CASE WHEN eps * (1 - eps) <> 0 THEN (1 - eps - f) / (eps * (1 - eps)) END AS p FROM e) SELECT cell_id, state, nsamples, round(n, 6) AS n, round(f, 6) AS f, round(eps, 6) AS eps, round({_CLIP.format('p')}, 6) AS p, round(CASE WHEN (1 + p) * eps <> 0 THEN n / ((1 + p) * eps) END, 6) AS beta FROM p")
 
 
-def _z_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _z_counts(spark: SparkSession, sf_dir: str, quantiles: int = 4) -> DataFrame:
     m = table(spark, sf_dir, "sc_repliseq").select(F.col("cellids").alias("cell_id"), "chrom", "locus", "copy_no", F.col("z").alias("value"), "states", "locale_no")
-    q = matrices.quantised(m.where("NOT isnan(value) AND trim(cell_id) <> ''"), 4)
+    q = matrices.quantised(m.where("NOT isnan(value) AND trim(cell_id) <> ''"), quantiles)
     return q.select("q", "chrom", clean_state(F.col("states")).alias("state"), F.when(F.col("locale_no") >= 0, F.col("locale_no")).cast("double").alias("value"))
 
 
@@ -84,6 +87,8 @@ _MOM = "avg(value) AS n, avg(CASE WHEN value IS NULL THEN NULL WHEN value = 0 TH
 _STATES = _N.split("locus, ")[1].split(" AS state")[0]
 _add("l4_by_quantile", lambda k, d: cycle.by_quantile(cycle.without_sex_chromosomes(_z_counts(k, d)).where("state IS NOT NULL"), "q").select("q", *_r("n", "f", "eps", "p")),
      f"WITH {_ZQ.replace('STATE AS', _STATES + ' AS')}, a AS (SELECT q, state, {_MOM} FROM n WHERE state IS NOT NULL GROUP BY 1, 2), g AS (SELECT q, avg({_OWN}) AS es FROM a GROUP BY 1), w AS (SELECT state, {_MOM} FROM n WHERE state IS NOT NULL GROUP BY 1), ws AS (SELECT avg({_OWN}) AS es FROM w), ps AS (SELECT greatest(0.0, least(1.0, (1 - es - f) / (es * (1 - es)))) AS p FROM w, ws WHERE state = 'S'), r AS (SELECT q, n, f, es, greatest(0.0, least(1.0, (1 - es - f) / (es * (1 - es)))) AS p FROM a JOIN g USING (q) WHERE state = 'S') SELECT q, round(n, 6) AS n, round(f, 6) AS f, round(es, 6) AS eps, round(r.p + ps.p - (SELECT avg(p) FROM r), 6) AS p FROM r, ps")
+_add("l4_by_twentieth", lambda k, d: cycle.by_quantile(cycle.without_sex_chromosomes(_z_counts(k, d, 20)).where("state IS NOT NULL"), "q").select("q", *_r("n", "f", "eps", "p")),
+     ORACLES["l4_by_quantile"].replace("[0.25, 0.5, 0.75]", str([q / 20 for q in range(1, 20)])).replace("CAST(z >= e[1] AS INTEGER) + CAST(z >= e[2] AS INTEGER) + CAST(z >= e[3] AS INTEGER)", " + ".join(f"CAST(z >= e[{q}] AS INTEGER)" for q in range(1, 20))))
 _add("l7_masked", lambda k, d: cycle.masked(_counts(k, d), (F.col("chrom") == "chr1") & (F.col("state").isNotNull())).select("state", "nsamples", *_r("n", "n_var", "f")),
      f"WITH {_N} SELECT state, count(value) AS nsamples, round(avg(value), 6) AS n, round(var_samp(value) / count(value), 6) AS n_var, round(avg(CASE WHEN value = 0 THEN 1.0 WHEN value IS NOT NULL THEN 0.0 END), 6) AS f FROM n WHERE chrom = 'chr1' AND state IS NOT NULL GROUP BY 1")
 _add("l10_biased_timing", lambda k, d: cycle.biased_timing(_counts(k, d)).select("chrom", "locus", *_r("rt")), f"WITH {_N} SELECT chrom, locus, round(CASE WHEN avg(value) <> 0 THEN sum(CASE WHEN state = 'S' THEN value END) / avg(value) END, 6) AS rt FROM n GROUP BY 1, 2")

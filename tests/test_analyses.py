@@ -158,3 +158,18 @@ def test_loci_are_fitted_one_by_one(spark, tmp_path):
     assert set(got) == {0, 1} and all(r["n"] == 24 and r["n_locales"] == 4 for r in got.values())
     assert got[0]["sensitivity"] > 0.9 > got[1]["sensitivity"] and got[0]["f_stat"] > 100 > got[1]["f_stat"]
     assert {r["locus"] for r in reference.QUERIES["l5_loci"](spark, str(tmp_path)).collect()} == {0, 1}
+
+
+def test_sweep_and_twentieths(spark, tmp_path):
+    rnd = random.Random(4)
+    spots = [(i, "c", "chr1", "1" if i % 2 else "2", str(i), *[rnd.uniform(1, 3) for _ in range(3)], 100_000 * (1 + i % 30), 100_000 * (2 + i % 30), 1.0) for i in range(520)]
+    spark.createDataFrame(spots, "row_id bigint, cell_id string, chrom string, trace_id string, spot_id string, x double, y double, z double, start_bp bigint, end_bp bigint, lum double").write.parquet(f"{tmp_path}/spots.parquet")
+    spark.createDataFrame([("chr1", 8_000_000)], "chrom string, length_bp bigint").write.parquet(f"{tmp_path}/genome.parquet")
+    got = {r["k"]: r for r in analyses.QUERIES["k15_sweep"](spark, str(tmp_path)).collect()}
+    near = {a[0]: sorted((sum((a[c] - b[c]) ** 2 for c in (5, 6, 7)), b[0]) for b in spots if b[0] != a[0]) for a in spots}
+    assert set(got) == {25, 50, 100, 250, 500}
+    for k, r in got.items():
+        assert math.isclose(r["raw"], sum((a - b) % 2 for a in near for _, b in near[a][:k]) / 520, abs_tol=1e-6) and r["copies"] == 1.0
+    cells = [("c", ("G1", "G2", "S")[i // 3 % 3], "chr1", 0, 0, i % 4, float(i)) for i in range(720)]
+    spark.createDataFrame(cells, "cellids string, states string, chrom string, locus int, copy_no int, locale_no int, z double").write.parquet(f"{tmp_path}/sc_repliseq.parquet")
+    assert {r["q"] for r in analyses.QUERIES["l4_by_twentieth"](spark, str(tmp_path)).collect()} == set(range(20))
