@@ -57,7 +57,8 @@ def known_coord(c: Column) -> Column:
 
 
 def known_bp(c: Column) -> Column:
-    return F.coalesce((c > 0) & (c < BP_LIMIT), F.lit(False))
+    """True for a position from 0, the first of a chromosome, to the limit; never null."""
+    return F.coalesce((c >= 0) & (c <= BP_LIMIT), F.lit(False))
 
 
 def clean_spots(spots: DataFrame, genome: DataFrame | None = None) -> DataFrame:

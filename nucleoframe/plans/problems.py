@@ -70,7 +70,7 @@ P2_SQL = """
 WITH s AS (
   SELECT row_id, cell_id, trace_id,
     CASE WHEN x > 0 AND x < 200000 THEN x END AS x,
-    CASE WHEN start_bp > 0 AND start_bp < 400000000 THEN start_bp END AS start_bp,
+    CASE WHEN start_bp BETWEEN 0 AND 400000000 THEN start_bp END AS start_bp,
     (SELECT max(g.chrom) FROM genome g WHERE g.chrom = spots.chrom) AS chrom
   FROM spots
 ), n AS (

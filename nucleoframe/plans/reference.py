@@ -17,7 +17,7 @@ K = ["cell_id", "chrom", "trace_id"]
 RESOLUTION, WINDOW, COARSE, RADIUS = 100_000, 1_000_000, 1_000_000, 0.6
 
 _S = """s AS (SELECT row_id, cell_id, chrom, trace_id, spot_id, x, y, z, start_bp, end_bp, CASE WHEN CAST(lum AS VARCHAR) <> 'nan' THEN lum END AS lum
-  FROM spots WHERE x > 0 AND x < 200000 AND y > 0 AND y < 200000 AND z > 0 AND z < 200000 AND start_bp > 0 AND start_bp < 400000000
+  FROM spots WHERE x > 0 AND x < 200000 AND y > 0 AND y < 200000 AND z > 0 AND z < 200000 AND start_bp BETWEEN 0 AND 400000000
   AND chrom IN (SELECT chrom FROM genome))"""
 _STATE = """regexp_replace(upper(coalesce({0}, '')), '[^A-Z0-9]', '', 'g')"""
 _STATE = f"CASE WHEN {_STATE} LIKE 'G1%' THEN 'G1' WHEN {_STATE} LIKE 'G2%' THEN 'G2' WHEN {_STATE} LIKE 'S%' THEN 'S' END"
