@@ -7,9 +7,9 @@ the group is small.
 
 Groups of usual size are shuffled once; moments and nearest donors are windows over the group.
 Groups of more than ``HOT_ROWS`` records take another way to the same result: their moments are
-folded before the shuffle, and the search runs inside (group, bin), where a bin holds about
-``BIN_ROWS`` records; the nearest donors before and behind a bin come from a second pass over
-bins. So a group of any size is spread over many tasks.
+folded before the shuffle, and their records are spread in ranges of the prediction, which are
+equally full however the predictions lie and tie; the nearest donors before and behind a range come
+from one row per range. So a group of any size is spread over many tasks.
 """
 
 from __future__ import annotations
@@ -20,9 +20,12 @@ from pyspark.sql import functions as F
 from nucleoframe.session import cut_lineage
 
 HOT_ROWS = 50_000
-BIN_ROWS = 8_192
+#: Ways in which the records of a large group are spread when they meet its moments.
+SALTS = 64
 #: Records at which a group's own slopes have half their weight.
 SHRINK = 20.0
+#: Predictions are compared in steps of this, so that the order of summation doesn't decide between donors.
+STEP = 1e-6
 
 
 def _pair(code: str, predictor: str) -> tuple[Column, Column]:
@@ -44,7 +47,7 @@ def _moments(targets: dict[str, list[str]], codes: dict[str, str]) -> dict[str,
 
 
 def _prediction(target: str, predictors: list[str]) -> Column:
-    """The group's mean plus the shrunken marginal slopes, each divided by the number of predictors.
+    """The group's mean plus the shrunken marginal slopes, each divided by the number of predictors, in steps.
 
     A null predictor counts as its group's mean; a target that no record of the group has predicts 0.
     """
@@ -53,60 +56,61 @@ def _prediction(target: str, predictors: list[str]) -> Column:
         k = f"{target}__{p}"
         slope = F.coalesce(F.try_divide(F.col(f"{k}__cov"), F.col(f"{k}__var")), F.lit(0.0)) * F.col(f"{k}__n") / (F.col(f"{k}__n") + SHRINK)
         out = out + slope * F.coalesce(F.col(p).cast("double") - F.col(f"{p}__avg"), F.lit(0.0)) / len(predictors)
-    return out
+    return F.rint(out / STEP) + F.lit(0.0)
+
 
+def _ordered(within: list[str], pred: str, lacking: Column) -> tuple[Window, Window]:
+    """Up and down the predictions. Behind a record in either order come the donors nearest to it,
+    the one with the smallest id last among equals; donors of the same prediction lie below."""
+    up = Window.partitionBy(*within).orderBy(F.col(pred).asc(), lacking.asc(), F.col("_id").desc())
+    down = Window.partitionBy(*within).orderBy(F.col(pred).desc(), lacking.desc(), F.col("_id").desc())
+    return up.rowsBetween(Window.unboundedPreceding, Window.currentRow), down.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
-def _usual(rows: DataFrame, group: list[str], id_col: str, targets: dict[str, list[str]], codes: dict[str, str]) -> DataFrame:
+
+def _usual(rows: DataFrame, group: list[str], targets: dict[str, list[str]], codes: dict[str, str]) -> DataFrame:
     whole = Window.partitionBy(*group)
     m = rows.select("*", *[c.over(whole).alias(n) for n, c in _moments(targets, codes).items()])
-    seen = m.select(*group, id_col, *targets, *[_prediction(t, ps).alias(f"{t}__pred") for t, ps in targets.items()])
-    for t in targets:
-        order = Window.partitionBy(*group).orderBy(f"{t}__pred", F.col(t).isNull(), id_col)
-        donor = F.when(F.col(t).isNotNull(), F.struct(F.col(f"{t}__pred").alias("pred"), F.col(id_col).alias("id"), F.col(t).alias("value")))
-        below = F.last(donor, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        above = F.first(donor, ignorenulls=True).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-        seen = seen.withColumn(f"{t}__below", below).withColumn(f"{t}__above", above)
-    asked = []
+    seen = m.select(*group, "_id", *targets, *[_prediction(t, ps).alias(f"{t}__pred") for t, ps in targets.items()])
     for t in targets:
-        text = lambda side, t=t: F.when(F.col(f"{t}__{side}").isNotNull(), F.struct(F.col(f"{t}__{side}.pred"), F.col(f"{t}__{side}.id"), F.col(f"{t}__{side}.value").cast("string").alias("value")))
-        asked.append(F.when(F.col(t).isNull(), F.struct(F.lit(t).alias("field_name"), F.col(f"{t}__pred").alias("pred"), text("below").alias("below"), text("above").alias("above"))))
-    missing = seen.where(" OR ".join(f"{t} IS NULL" for t in targets))
-    return _choose(missing.select(F.col(id_col).alias("id"), F.explode(F.array_compact(F.array(*asked))).alias("f")).select("id", "f.*"))
-
-
-def _hot(rows: DataFrame, group: list[str], id_col: str, targets: dict[str, list[str]], codes: dict[str, str]) -> DataFrame:
-    per_group = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n_rows"), *[c.alias(n) for n, c in _moments(targets, codes).items()])
-    m = rows.join(per_group, group)
+        lacking = F.col(t).isNull()
+        donor = F.when(~lacking, F.struct(F.col(f"{t}__pred").alias("pred"), F.col("_id").alias("id"), F.col(t).cast("string").alias("value")))
+        for side, order in zip(("below", "above"), _ordered(group, f"{t}__pred", lacking)):
+            seen = seen.withColumn(f"{t}__{side}", F.when(lacking, F.last(donor, ignorenulls=True).over(order)))
+    asked = [F.when(F.col(t).isNull(), F.struct(F.lit(t).alias("field_name"), F.col(f"{t}__pred").alias("pred"), F.col(f"{t}__below").alias("below"), F.col(f"{t}__above").alias("above"))) for t in targets]
+    missing = seen.where(" OR ".join(f"`{t}` IS NULL" for t in targets))
+    return _choose(missing.select("_id", F.explode(F.array_compact(F.array(*asked))).alias("f")).select("_id", "f.*"))
+
+
+def _hot(rows: DataFrame, group: list[str], targets: dict[str, list[str]], codes: dict[str, str]) -> DataFrame:
+    per_group = rows.groupBy(*group).agg(*[c.alias(n) for n, c in _moments(targets, codes).items()])
+    spread = per_group.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    m = rows.withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("int")).join(spread, [*group, "_salt"])
     asked = F.array(*[F.struct(F.lit(t).alias("field_name"), _prediction(t, ps).alias("pred"), F.col(t).cast("string").alias("value")) for t, ps in targets.items()])
-    long = m.select(*group, F.col(id_col).alias("id"), F.ceil(F.col("n_rows") / BIN_ROWS).alias("bins"), F.explode(asked).alias("f")).select(*group, "id", "bins", "f.*")
     key = [*group, "field_name"]
-    spans = long.groupBy(*key).agg(F.min("pred").alias("lo"), F.max("pred").alias("hi"))
-    place = F.least(F.col("bins") - 1, F.coalesce(F.floor(F.try_divide(F.col("pred") - F.col("lo"), F.col("hi") - F.col("lo")) * F.col("bins")), F.lit(0)))
-    placed = long.join(spans, key).withColumn("bin", place.cast("bigint")).drop("lo", "hi")
-    # Records of one prediction stand for each other: one donor and one question for each.
-    unique = placed.groupBy(*key, "bin", "pred").agg(F.min(F.when(F.col("value").isNotNull(), F.struct("id", "value"))).alias("d"), F.count_if(F.col("value").isNull()).alias("n_missing"))
-    answers = _match(unique.select(*key, "bin", "pred", F.when(F.col("d").isNotNull(), F.struct("pred", "d.id", "d.value")).alias("donor"), "n_missing"), key)
-    return placed.where("value IS NULL").join(answers, [*key, "bin", "pred"]).select("id", "field_name", "donor_id", F.col("donor_value").alias("value"))
-
-
-def _match(unique: DataFrame, key: list[str]) -> DataFrame:
-    inside = Window.partitionBy(*key, "bin").orderBy("pred")
-    back, ahead = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow), inside.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    seen = unique.select("*", F.last("donor", ignorenulls=True).over(back).alias("below"), F.first("donor", ignorenulls=True).over(ahead).alias("above")).where("n_missing > 0")
-    ends = unique.groupBy(*key, "bin").agg(F.max(F.when(F.col("donor").isNotNull(), F.col("donor"))).alias("hi_donor"), F.min(F.when(F.col("donor").isNotNull(), F.col("donor"))).alias("lo_donor"))
-    order = Window.partitionBy(*key).orderBy("bin")
-    carried = ends.select(*key, "bin", F.last("hi_donor", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("before"), F.first("lo_donor", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("behind"))
-    joined = seen.join(carried, [*key, "bin"]).withColumn("below", F.coalesce("below", "before")).withColumn("above", F.coalesce("above", "behind"))
-    return joined.select(*key, "bin", "pred", _nearer().alias("d")).where("d IS NOT NULL").select(*key, "bin", "pred", F.col("d.id").alias("donor_id"), F.col("d.value").alias("donor_value"))
-
-
-def _nearer() -> Column:
-    lower = F.col("above").isNull() | (F.col("pred") - F.col("below.pred") <= F.col("above.pred") - F.col("pred"))
-    return F.when(F.col("below").isNotNull() & lower, F.col("below")).otherwise(F.col("above"))
+    lacking = F.col("value").isNull()
+    # Ranges of (group, field, prediction): balanced by sampling, and an id ends every tie.
+    ranges = m.select(*group, "_id", F.inline(asked)).repartitionByRange(*key, "pred", lacking, "_id")
+    placed = cut_lineage(ranges.withColumn("part", F.spark_partition_id()))
+    donor = F.when(~lacking, F.struct("pred", F.col("_id").alias("id"), "value"))
+    up, down = _ordered([*key, "part"], "pred", lacking)
+    seen = placed.select(*key, "part", "_id", "pred", lacking.alias("lacking"), F.last(donor, ignorenulls=True).over(up).alias("below"), F.last(donor, ignorenulls=True).over(down).alias("above")).where("lacking")
+    # The best donors of each range: one row per range, and per group and field in it.
+    falling = F.when(~lacking, F.struct((-F.col("pred")).alias("fall"), F.col("_id").alias("id"), "value"))
+    ends = placed.groupBy(*key, "part").agg(F.min(falling).alias("top"), F.min(donor).alias("low"))
+    earlier = Window.partitionBy(*key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    later = Window.partitionBy(*key).orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(*key, "part", F.min("top").over(earlier).alias("before"), F.min("low").over(later).alias("behind"))
+    before = F.when(F.col("before").isNotNull(), F.struct((-F.col("before.fall")).alias("pred"), F.col("before.id").alias("id"), F.col("before.value").alias("value")))
+    joined = seen.join(carried, [*key, "part"]).select("_id", "field_name", "pred", "below", "above", before.alias("before"), "behind")
+    # Among equal predictions an earlier range has the smaller ids.
+    below = F.when(F.col("below").isNull() | (F.col("before.pred") >= F.col("below.pred")), F.col("before")).otherwise(F.col("below"))
+    return _choose(joined.select("_id", "field_name", "pred", below.alias("below"), F.coalesce("above", "behind").alias("above")))
 
 
 def _choose(seen: DataFrame) -> DataFrame:
-    return seen.select("id", "field_name", _nearer().alias("d")).where("d IS NOT NULL").select("id", "field_name", F.col("d.id").alias("donor_id"), F.col("d.value").alias("value"))
+    lower = F.col("above").isNull() | (F.col("pred") - F.col("below.pred") <= F.col("above.pred") - F.col("pred"))
+    nearer = F.when(F.col("below").isNotNull() & lower, F.col("below")).otherwise(F.col("above"))
+    return seen.select("_id", "field_name", nearer.alias("d")).where("d IS NOT NULL").select(F.col("_id").alias("id"), "field_name", F.col("d.id").alias("donor_id"), F.col("d.value").alias("value"))
 
 
 def fill_missing(rows: DataFrame, group: list[str], id_col: str, targets: dict[str, list[str]], codes: dict[str, str] | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -115,14 +119,17 @@ def fill_missing(rows: DataFrame, group: list[str], id_col: str, targets: dict[s
     ``targets`` names for each field the numeric columns that predict it, ``codes`` the numeric
     column that stands for a categorical field in the model; missing values are null. A missing value whose group has no record with the field stays unfilled and has no
     row. Null group keys form no group. Of donors equally near the one with the smaller
-    prediction is taken. Repeated rows are donors like others. An empty table gives an empty result.
+    prediction is taken, of those with the same prediction the one with the smallest id, in groups of any size. Repeated rows are
+    donors like others. Other columns of the table don't matter. An empty table gives an empty result.
     """
     codes = codes or {}
-    whole = rows.dropna(subset=group)
-    hot = cut_lineage(whole.groupBy(*group).count().where(F.col("count") > hot_rows).select(*group))
+    used = dict.fromkeys([*targets, *(p for ps in targets.values() for p in ps), *codes.values()])
+    keys = [f"_g{k}" for k in range(len(group))]
+    whole = rows.dropna(subset=group).select(*[F.col(g).alias(k) for g, k in zip(group, keys)], F.col(id_col).alias("_id"), *used)
+    hot = cut_lineage(whole.groupBy(*keys).count().where(F.col("count") > hot_rows).select(*keys))
     if hot.isEmpty():
-        return _usual(whole, group, id_col, targets, codes)
-    return _usual(whole.join(hot, group, "left_anti"), group, id_col, targets, codes).unionByName(_hot(whole.join(hot, group, "left_semi"), group, id_col, targets, codes))
+        return _usual(whole, keys, targets, codes)
+    return _usual(whole.join(hot, keys, "left_anti"), keys, targets, codes).unionByName(_hot(whole.join(hot, keys, "left_semi"), keys, targets, codes))
 
 
 def apply_fills(rows: DataFrame, fills: DataFrame, id_col: str, targets: dict[str, str]) -> DataFrame:
