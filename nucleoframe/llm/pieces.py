@@ -7,16 +7,16 @@ boundary first, consume as many tokens as the limit allows, and fall back to any
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from nucleoframe.llm.tokens import VOCABULARY, encode, encoding
+from nucleoframe.session import with_once
 
 #: Boundary kinds, strongest first: paragraph, interruption, sentence, word; c between
 #: characters of a word, b inside a character, where no cut may fall.
@@ -24,11 +24,11 @@ KINDS = "PISWcb"
 #: Behind these a full stop ends no sentence (fixed values).
 ABBREVIATIONS = "Mr Mrs Ms Dr Prof St Nr No Abs Art Vol vol p pp M Mme Sr Sra Hr Fr Frau Doc ca bzw Av Exmo Exma art nr no"
 _ABBREVIATED = frozenset(ABBREVIATIONS.split())
-_SENTENCE = re.compile(r"([.!?…])[\"'»”’)\]]*(?=\s)|[。！？][」』”）]*")
-_LAST_WORD = re.compile(r"\w+\Z")
-_INTERRUPTION = re.compile(r"[)\]](?=\s)|）")
-_PARAGRAPH = re.compile(r"\n\s*")
-_WORD = re.compile(r"(?<=\S)(?= \S)|(?<=\n)(?=\S)")
+_LONGEST = max(map(len, _ABBREVIATED))
+#: Characters that may stand between a full stop and the end of a sentence (fixed values).
+_CLOSERS, _CJK_CLOSERS = "\"'»”’)]", "」』”）"
+_ENDS, _CJK_ENDS = ".!?…", "。！？"
+_BREAKS, _CJK_BREAKS = ")]", "）"
 
 
 def _token_lengths(vocabulary: str, cache: dict = {}) -> np.ndarray:  # noqa: B006
@@ -38,21 +38,64 @@ def _token_lengths(vocabulary: str, cache: dict = {}) -> np.ndarray:  # noqa: B0
     return cache[vocabulary]
 
 
-def _abbreviated(before: str) -> bool:
-    """Whether the word at the end is one behind which a full stop ends no sentence."""
-    found = _LAST_WORD.search(before)
-    word = found[0] if found else ""
-    return word in _ABBREVIATED or word.isdigit() or len(word) == 1
+def _classes(cache: dict = {}) -> dict[str, np.ndarray]:  # noqa: B006
+    """Which code points are white space, part of a word, or closing; once per Python worker."""
+    if not cache:
+        every = [chr(c) for c in range(0x110000)]
+        cache["space"] = np.array([c.isspace() for c in every])
+        cache["word"] = np.array([c.isalnum() or c == "_" for c in every])
+        for name, chars in (("closer", _CLOSERS), ("cjk_closer", _CJK_CLOSERS), ("end", _ENDS), ("cjk_end", _CJK_ENDS), ("break", _BREAKS), ("cjk_break", _CJK_BREAKS)):
+            cache[name] = np.zeros(0x110000, bool)
+            cache[name][[ord(c) for c in chars]] = True
+    return cache
+
+
+def _next_without(mask: np.ndarray) -> np.ndarray:
+    """For each place up to the end the first place from it on where the mask doesn't hold."""
+    at = np.append(np.where(mask, len(mask), np.arange(len(mask))), len(mask))
+    return np.minimum.accumulate(at[::-1])[::-1]
+
+
+def _abbreviated(text: str, stop: int, begin: int) -> bool:
+    """Whether the word before a full stop is one behind which no sentence ends."""
+    word = text[begin:stop]
+    return len(word) == 1 or word in _ABBREVIATED or word.isdigit()
 
 
 def boundary_kinds(text: str) -> np.ndarray:
     """For each place in a text, 0 to its length, the rank of the boundary there in KINDS."""
-    kind = np.full(len(text) + 1, KINDS.index("c"), np.int8)
-    kind[[m.start() for m in _WORD.finditer(text)]] = KINDS.index("W")
-    kind[[m.end() for m in _SENTENCE.finditer(text) if m[1] != "." or not _abbreviated(text[max(0, m.start() - 16) : m.start()])]] = KINDS.index("S")
-    kind[[m.end() for m in _INTERRUPTION.finditer(text)]] = KINDS.index("I")
-    kind[[m.end() for m in _PARAGRAPH.finditer(text)]] = KINDS.index("P")
-    kind[len(text)] = KINDS.index("P")
+    classes = _classes()
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    n = len(code)
+    kind = np.full(n + 1, KINDS.index("c"), np.int8)
+    if n:
+        space = classes["space"][code]
+        blank_at = np.append(space, False)
+        # A word ends before a blank between two visible characters, and begins behind a line's end.
+        here = np.nonzero((code[1:-1] == 32) & ~space[:-2] & ~space[2:])[0] + 1
+        line = np.nonzero((code[:-1] == 10) & ~space[1:])[0] + 1
+        kind[here] = kind[line] = KINDS.index("W")
+        # A sentence ends behind its last sign and what closes it, if a blank follows.
+        stop = np.nonzero(classes["end"][code])[0]
+        end = _next_without(classes["closer"][code])[stop + 1]
+        kept = blank_at[end]
+        stop, end = stop[kept], end[kept]
+        letters = classes["word"][code]
+        begin = np.maximum.accumulate(np.where(letters, 0, np.arange(1, n + 1)))
+        begin = np.concatenate([[0], begin])[stop]
+        # Only short words and words that end in a digit can be abbreviations or numbers.
+        digit = (stop > 0) & (code[np.maximum(stop - 1, 0)] - 48 < 10)
+        doubt = np.nonzero((code[stop] == 46) & (begin < stop) & ((stop - begin <= _LONGEST) | digit))[0]
+        sure = np.ones(len(stop), bool)
+        sure[doubt] = [not _abbreviated(text, s, b) for s, b in zip(stop[doubt].tolist(), begin[doubt].tolist())]
+        kind[end[sure]] = KINDS.index("S")
+        wide = np.nonzero(classes["cjk_end"][code])[0]
+        kind[_next_without(classes["cjk_closer"][code])[wide + 1]] = KINDS.index("S")
+        shut = np.nonzero(classes["break"][code])[0] + 1
+        kind[shut[blank_at[shut]]] = KINDS.index("I")
+        kind[np.nonzero(classes["cjk_break"][code])[0] + 1] = KINDS.index("I")
+        kind[_next_without(space)[np.nonzero(code == 10)[0]]] = KINDS.index("P")
+    kind[n] = KINDS.index("P")
     return kind
 
 
@@ -62,25 +105,25 @@ def _marked(limit: int, vocabulary: str, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lengths = _token_lengths(vocabulary)
         for batch in batches:
-            rows, marks, ends, texts = [], [], [], []
+            rows, marks, ends, raws = [], [], [], []
             for k, text in enumerate(batch.column("text").to_pylist()):
                 ids = encode(text, vocabulary)
                 if len(ids) <= limit:
                     continue
-                raw = np.frombuffer(text.encode("utf-8"), np.uint8)
-                lead = (raw & 0xC0) != 0x80
+                raw = text.encode("utf-8")
+                lead = (np.frombuffer(raw, np.uint8) & 0xC0) != 0x80
                 at = np.cumsum(lengths[ids])
                 place = np.concatenate([[0], np.cumsum(lead)])[at]
                 whole = np.append(lead, True)[at]
                 kind = np.where(whole, boundary_kinds(text)[place], KINDS.index("b"))
                 rows.append(k)
                 marks.append(letters[kind].tobytes().decode())
-                ends.append(place.astype(np.int32))
-                texts.append(text)
+                ends.append(at.astype(np.int32))
+                raws.append(raw)
             if rows:
                 split = np.concatenate([[0], np.cumsum([len(e) for e in ends])]).astype(np.int32)
                 part = batch.take(pa.array(rows))
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], pa.array(texts, pa.string()), pa.array(marks), pa.ListArray.from_arrays(pa.array(split), pa.array(np.concatenate(ends)))], names=[*keep, "text", "marks", "ends"])
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], pa.array(raws, pa.binary()), pa.array(marks), pa.ListArray.from_arrays(pa.array(split), pa.array(np.concatenate(ends)))], names=[*keep, "raw", "marks", "ends"])
 
     return run
 
@@ -99,21 +142,30 @@ def cut_texts(docs: DataFrame, id_col: str, text_col: str, limit: int, overlap:
         raise ValueError("overlap must be less than half the limit")
     most, half = limit - overlap, max(1, (limit - overlap) // 2)
     long = docs.where(F.octet_length(text_col) > limit).select(id_col, F.col(text_col).alias("text"))
-    schema = T.StructType([docs.schema[id_col], T.StructField("text", T.StringType()), T.StructField("marks", T.StringType()), T.StructField("ends", T.ArrayType(T.IntegerType()))])
+    schema = T.StructType([docs.schema[id_col], T.StructField("raw", T.BinaryType()), T.StructField("marks", T.StringType()), T.StructField("ends", T.ArrayType(T.IntegerType()))])
     marked = long.mapInArrow(_marked(limit, vocabulary, [id_col]), schema)
     steps = [f"[A-Za-z]{{1,{most}}}$"] + [f"[A-Za-z]{{{half - 1},{most - 1}}}{k}" for k in "PISW"] + [f"[A-Za-z]{{0,{most - 1}}}[PISWc]", f"[A-Za-z]{{1,{most}}}"]
-    runs = marked.withColumn("runs", F.regexp_extract_all("marks", F.lit("|".join(steps)), F.lit(0)))
+    runs = with_once(marked, runs=F.regexp_extract_all("marks", F.lit("|".join(steps)), F.lit(0)))
     grown = F.aggregate("runs", F.array(F.lit(0)), lambda acc, r: F.array_append(acc, F.element_at(acc, -1) + F.length(r)))
-    cuts = runs.select(id_col, "text", "marks", "ends", grown.alias("cuts"))
-    each = cuts.select(id_col, "text", "marks", "ends", "cuts", F.explode(F.sequence(F.lit(1), F.size("cuts") - 1)).alias("k"))
-    placed = each.select(id_col, "text", "marks", "ends", (F.col("k") - 1).alias("piece_no"), F.element_at("cuts", F.col("k")).alias("new_start"), F.element_at("cuts", F.col("k") + 1).alias("token_end"))
-    # Look back: the first whole-word boundary at most ``overlap`` tokens before the new part.
-    far = F.greatest(F.col("new_start") - overlap, F.lit(0))
-    window = F.substring("marks", F.greatest(far, F.lit(1)), F.col("new_start") - far + F.when(far > 0, 1).otherwise(0))
-    word, char = F.regexp_instr(window, F.lit("[PISW]")), F.regexp_instr(window, F.lit("[PISWc]"))
-    hit = F.when(word > 0, word).otherwise(char)
-    begin = F.when((F.col("new_start") == 0) | (F.lit(overlap) == 0), F.col("new_start")).when(far == 0, F.lit(0)).otherwise(F.least(far + hit - 1, F.col("new_start")))
-    out = placed.withColumn("token_start", begin)
-    char_at = lambda t: F.when(t > 0, F.element_at("ends", F.greatest(t, F.lit(1)))).otherwise(0)
-    lo, hi = char_at(F.col("token_start")), char_at(F.col("token_end"))
-    return out.select(id_col, "piece_no", "token_start", "token_end", "new_start", F.substring("marks", F.col("token_end"), F.lit(1)).alias("cut"), F.substring("text", lo + 1, hi - lo).alias("text"))
+    cuts = with_once(runs, cuts=grown)
+
+    def placed(k: Column) -> Column:
+        start, run = F.element_at("cuts", k), F.element_at("runs", k)
+        # Look back: the first whole-word boundary at most ``overlap`` tokens before the new part. The
+        # marks there end the run before; only after a run shorter than the overlap all marks are asked.
+        far = F.greatest(start - overlap, F.lit(0))
+        before = F.get("runs", k - 2)
+        window = F.when(F.length(before) > overlap, F.right(before, F.lit(overlap + 1))).otherwise(F.substring("marks", F.greatest(far, F.lit(1)), start - far + F.when(far > 0, 1).otherwise(0)))
+        word, char = F.regexp_instr(window, F.lit("[PISW]")), F.regexp_instr(window, F.lit("[PISWc]"))
+        begin = F.when((start == 0) | (F.lit(overlap) == 0), start).when(far == 0, F.lit(0)).otherwise(F.least(far + F.when(word > 0, word).otherwise(char) - 1, start))
+        return F.struct((k - 1).alias("piece_no"), begin.alias("token_start"), F.element_at("cuts", k + 1).alias("token_end"), start.alias("new_start"), F.right(run, F.lit(1)).alias("cut"))
+
+    each = with_once(cuts, pieces=F.transform(F.sequence(F.lit(1), F.size("runs")), placed))
+
+    def sliced(p: Column) -> Column:
+        byte_at = lambda t: F.when(t > 0, F.element_at("ends", F.greatest(t, F.lit(1)))).otherwise(0)
+        lo, hi = byte_at(p["token_start"]), byte_at(p["token_end"])
+        return F.struct(*[p[c].alias(c) for c in ("piece_no", "token_start", "token_end", "new_start", "cut")], F.substring("raw", lo + 1, hi - lo).cast("string").alias("text"))
+
+    # Bytes are sliced where they lie; only the pieces are exploded, so work grows with the text.
+    return each.select(id_col, F.inline(F.transform("pieces", sliced)))

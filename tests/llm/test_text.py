@@ -88,3 +88,51 @@ def test_pieces_prefer_the_strongest_boundary(spark):
     assert "".join(mine) == text and mine[0].endswith("\n\n") and mine[1].endswith("(Applause)")
     assert "".join(r["text"] for r in rows if r["d"] == 4) == "日" * 100
     assert {r["d"] for r in rows} == {1, 4}
+
+
+def test_boundaries_by_plain_rules():
+    import re
+    import random
+
+    from nucleoframe.llm.pieces import ABBREVIATIONS, KINDS, boundary_kinds
+
+    def plain(text):
+        """Each place by itself."""
+        kinds = []
+        for i in range(len(text) + 1):
+            before, after = text[:i], text[i:]
+            if not after or re.search(r"\n\s*\Z", before) and not re.match(r"\s", after):
+                kinds.append("P")
+                continue
+            sentence = re.search(r"([.!?…])[\"'»”’)\]]*\Z", before)
+            ends = False
+            if sentence and re.match(r"\s", after):
+                word = re.search(r"\w*\Z", before[: sentence.start()])[0]
+                ends = not (sentence[1] == "." and (len(word) == 1 or word in ABBREVIATIONS.split() or word.isdigit()))
+            if re.search(r"[)\]]\Z", before) and re.match(r"\s", after) or before.endswith("）"):
+                kinds.append("I")
+            elif ends or re.search(r"[。！？][」』”）]*\Z", before) and not re.match(r"[」』”）]", after):
+                kinds.append("S")
+            elif re.search(r"\S\Z", before) and re.match(r" \S", after) or before.endswith("\n") and re.match(r"\S", after):
+                kinds.append("W")
+            else:
+                kinds.append("c")
+        return "".join(kinds)
+
+    rnd = random.Random(2)
+    texts = ["", "Mr. X. said (so.) Now\n\n then.", "Art. 12. no. 5", "。」）x"] + ["".join(rnd.choice("aZ1٣ .!?…。」）)]\"'»\n\tMr9²") for _ in range(rnd.randrange(30))) for _ in range(1500)]
+    for t in texts:
+        assert "".join(KINDS[k] for k in boundary_kinds(t)) == plain(t), repr(t)
+
+
+def test_long_texts_take_time_in_proportion(spark):
+    import time
+
+    seconds = []
+    for n in (50_000, 400_000):
+        df = spark.createDataFrame([(1, "Words go on. " * n)], "doc_id bigint, text string")
+        began = time.time()
+        rows = cut_texts(df, "doc_id", "text", 1024, 64).select("piece_no", "token_end", "new_start").collect()
+        seconds.append(time.time() - began)
+        assert len(rows) > n // 300 and all(r["token_end"] > r["new_start"] for r in rows)
+    assert seconds[1] < 16 * max(seconds[0], 1.0)
