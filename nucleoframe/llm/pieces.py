@@ -29,6 +29,8 @@ _LONGEST = max(map(len, _ABBREVIATED))
 _CLOSERS, _CJK_CLOSERS = "\"'»”’)]", "」』”）"
 _ENDS, _CJK_ENDS = ".!?…", "。！？"
 _BREAKS, _CJK_BREAKS = ")]", "）"
+#: Bytes of a text that lie together; a piece is taken from the chunks it lies in.
+CHUNK = 16_384
 
 
 def _token_lengths(vocabulary: str, cache: dict = {}) -> np.ndarray:  # noqa: B006
@@ -119,11 +121,11 @@ def _marked(limit: int, vocabulary: str, keep: list[str]):
                 rows.append(k)
                 marks.append(letters[kind].tobytes().decode())
                 ends.append(at.astype(np.int32))
-                raws.append(raw)
+                raws.append([raw[a : a + CHUNK] for a in range(0, len(raw), CHUNK)])
             if rows:
                 split = np.concatenate([[0], np.cumsum([len(e) for e in ends])]).astype(np.int32)
                 part = batch.take(pa.array(rows))
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], pa.array(raws, pa.binary()), pa.array(marks), pa.ListArray.from_arrays(pa.array(split), pa.array(np.concatenate(ends)))], names=[*keep, "raw", "marks", "ends"])
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], pa.array(raws, pa.list_(pa.binary())), pa.array(marks), pa.ListArray.from_arrays(pa.array(split), pa.array(np.concatenate(ends)))], names=[*keep, "chunks", "marks", "ends"])
 
     return run
 
@@ -142,7 +144,7 @@ def cut_texts(docs: DataFrame, id_col: str, text_col: str, limit: int, overlap:
         raise ValueError("overlap must be less than half the limit")
     most, half = limit - overlap, max(1, (limit - overlap) // 2)
     long = docs.where(F.octet_length(text_col) > limit).select(id_col, F.col(text_col).alias("text"))
-    schema = T.StructType([docs.schema[id_col], T.StructField("raw", T.BinaryType()), T.StructField("marks", T.StringType()), T.StructField("ends", T.ArrayType(T.IntegerType()))])
+    schema = T.StructType([docs.schema[id_col], T.StructField("chunks", T.ArrayType(T.BinaryType())), T.StructField("marks", T.StringType()), T.StructField("ends", T.ArrayType(T.IntegerType()))])
     marked = long.mapInArrow(_marked(limit, vocabulary, [id_col]), schema)
     steps = [f"[A-Za-z]{{1,{most}}}$"] + [f"[A-Za-z]{{{half - 1},{most - 1}}}{k}" for k in "PISW"] + [f"[A-Za-z]{{0,{most - 1}}}[PISWc]", f"[A-Za-z]{{1,{most}}}"]
     runs = with_once(marked, runs=F.regexp_extract_all("marks", F.lit("|".join(steps)), F.lit(0)))
@@ -165,7 +167,9 @@ def cut_texts(docs: DataFrame, id_col: str, text_col: str, limit: int, overlap:
     def sliced(p: Column) -> Column:
         byte_at = lambda t: F.when(t > 0, F.element_at("ends", F.greatest(t, F.lit(1)))).otherwise(0)
         lo, hi = byte_at(p["token_start"]), byte_at(p["token_end"])
-        return F.struct(*[p[c].alias(c) for c in ("piece_no", "token_start", "token_end", "new_start", "cut")], F.substring("raw", lo + 1, hi - lo).cast("string").alias("text"))
+        part = lambda c: F.substring(F.element_at("chunks", c + 1), F.greatest(lo - c * CHUNK, F.lit(0)) + 1, F.least(hi, (c + 1) * CHUNK) - F.greatest(lo, c * CHUNK)).cast("string")
+        text = F.array_join(F.transform(F.sequence(F.floor(lo / CHUNK).cast("int"), F.floor((hi - 1) / CHUNK).cast("int")), part), "")
+        return F.struct(*[p[c].alias(c) for c in ("piece_no", "token_start", "token_end", "new_start", "cut")], text.alias("text"))
 
     # Bytes are sliced where they lie; only the pieces are exploded, so work grows with the text.
     return each.select(id_col, F.inline(F.transform("pieces", sliced)))
