@@ -2,10 +2,12 @@
 
 The hidden state is the unit in which the recording device writes. Evidence comes from what is
 said (statements in header, comments and remark) and from the values themselves: in one unit
-their logarithm follows a smooth level, so a switch of units shows as a jump of the size of the
-ratio of both units. A file of one block of lines is decoded in one pass. In longer files,
-Viterbi's recursion is a product of max-plus matrices: blocks are multiplied out on their own, a
-short scan joins the blocks of a file, and each block is then decoded from its known ends.
+their logarithm follows a smooth level, the mean of the last values, so a switch of units shows as
+a jump off it of the size of the ratio of both units. Where a file states the unit of an axis, as the
+format demands, statements decide; where it states none, jumps do. A file of one block of lines is
+decoded in one pass. In longer files, Viterbi's recursion is a product of max-plus matrices: blocks
+are multiplied out on their own from the level they begin with, a short scan joins the blocks of a
+file, and each block is then decoded from its known ends.
 """
 
 from __future__ import annotations
@@ -29,14 +31,28 @@ _NEVER = -1e9
 
 @dataclass(frozen=True)
 class Evidence:
-    """Weights in nats. ``switch`` is the price of a switch that nobody announced; as the format
-    rules those out, its default outweighs whatever the values of a file can say. Lower it (to 12,
-    say) for devices that switch without a note; then jumps of the log-values decide. A jump off
-    the smooth level by ``sigma`` decades costs half a nat, and ``jump_most`` at most."""
+    """Weights in nats, distances in decades.
 
-    switch: float = 1e8
+    ``switch`` is the price of a switch of units that nobody announced, ``stated`` the same in a file that
+    states the unit of the axis. A value that lies off the level by ``sigma`` costs half a nat; up to
+    ``reach``, as far as places in one unit may lie apart, it costs ``tail`` at most, so that
+    no such jump pays for a switch; beyond that ``steep`` more per decade, and ``jump_most`` in all. The level is
+    the mean of up to ``span`` values, not further back than a step of more than ``reach``.
+    """
+
+    switch: float = 12.0
+    stated: float = 1e6
     sigma: float = 0.15
+    tail: float = 4.0
+    reach: float = 2.0
+    steep: float = 40.0
     jump_most: float = 30.0
+    span: int = 8
+
+    def weight(self, off: np.ndarray) -> np.ndarray:
+        far = np.abs(off)
+        near = np.minimum(0.5 * (far / self.sigma) ** 2, self.tail)
+        return -np.minimum(near + np.maximum(far - self.reach, 0) * self.steep, self.jump_most)
 
 
 def with_statements(df: DataFrame, text: Column, names: dict[str, str]) -> DataFrame:
@@ -70,13 +86,13 @@ def _log_scale(axis: int) -> np.ndarray:
 
 def observations(lines: DataFrame, files: DataFrame) -> DataFrame:
     """One row per line that states a unit or holds a coordinate, spread over (file_id, block):
-    for each axis the unit stated (s), the value (v), the unit written on it (w) and the remark's (r)."""
+    for each axis the unit stated (s), the value (v), the unit written on it (w) and the remark's (r), as places in CODES or -1."""
     remarks = with_statements(files.groupBy("file_id").agg(F.max("remark").alias("remark")), F.col("remark"), {a: f"r{a}" for a in AXES})
-    extra = remarks.select("file_id", *[F.coalesce(f"r{a}", F.lit(0)).cast("tinyint").alias(f"r{a}") for a in AXES])
+    extra = remarks.select("file_id", *[F.coalesce(f"r{a}", F.lit(-1)).cast("tinyint").alias(f"r{a}") for a in AXES])
     typed = data_lines(lines, extra)
     good = (F.col("kind") == "data") & (F.size("errors") == 0)
-    none, default = F.lit(-1), F.lit(0).cast("tinyint")
-    kept = typed.select("file_id", "block", "block_count", "line_no", "line_id", "raw_line", "kind", "errors", "x", "y_text", "z_text", *[F.coalesce(f"r{a}", default).alias(f"r{a}") for a in AXES])
+    none = F.lit(-1)
+    kept = typed.select("file_id", "block", "block_count", "line_no", "line_id", "raw_line", "kind", "errors", "x", "y_text", "z_text", *[F.coalesce(f"r{a}", none).cast("tinyint").alias(f"r{a}") for a in AXES])
     kept = with_once(kept, y=F.when(good, coordinate(F.col("y_text"))), z=F.when(good, coordinate(F.col("z_text"))))
     kept = with_statements(kept, F.when(F.col("kind") != "data", F.col("raw_line")), {a: f"said_{a}" for a in AXES})
     said = {f"s{a}": F.coalesce(f"said_{a}", none).cast("tinyint") for a in AXES}
@@ -121,25 +137,60 @@ def _arrays(batches: list[pa.RecordBatch]) -> dict[str, np.ndarray]:
     return out
 
 
+def _jumps(log: np.ndarray, first: np.ndarray, lead: list[np.ndarray] | None, e: Evidence) -> np.ndarray:
+    """How far each known value lies off the level of the values before it in its sequence; NaN for the first.
+
+    ``first`` has the number of each row's sequence, ``lead`` the last values before each sequence.
+    """
+    at = np.nonzero(~np.isnan(log))[0]
+    who, value = first[at], log[at]
+    ahead = 0
+    if lead is not None:
+        before = np.concatenate([*lead, np.zeros(0)])
+        ahead = len(before)
+        who, value = np.concatenate([np.repeat(np.arange(len(lead)), [len(v) for v in lead]), who]), np.concatenate([before, value])
+    order = np.argsort(who, kind="stable")
+    who, value = who[order], value[order]
+    n = len(value)
+    new = np.ones(n, bool)
+    new[1:] = who[1:] != who[:-1]
+    broken = new.copy()
+    broken[1:] |= np.abs(np.diff(value)) > e.reach
+    begin = np.maximum.accumulate(np.where(broken, np.arange(n), 0))
+    lo = np.maximum(np.concatenate([[0], begin[:-1]]), np.arange(n) - e.span)
+    total = np.concatenate([[0.0], np.cumsum(value)])
+    known = np.nonzero(~new)[0]
+    off = np.full(n, np.nan)
+    off[known] = value[known] - (total[known] - total[lo[known]]) / (known - lo[known])
+    out = np.full(len(log), np.nan)
+    mine = order >= ahead
+    out[at[order[mine] - ahead]] = off[mine]
+    return out
+
+
+def _logs(t: dict[str, np.ndarray], axis: int) -> np.ndarray:
+    """Logarithms of an axis' values that are positive and without a unit of their own; else NaN."""
+    value, written = t[f"v{AXES[axis]}"].astype(float), t[f"w{AXES[axis]}"]
+    with np.errstate(all="ignore"):
+        return np.where((value > 0) & (written < 0), np.log10(value), np.nan)
+
+
 class _Chain:
     """The sequences of one axis, longest first, stepped through side by side."""
 
     def __init__(self, t: dict[str, np.ndarray], axis: int, e: Evidence):
         a = AXES[axis]
+        at = t["at"]
         self.order = np.argsort(-t["n"], kind="stable")
-        self.starts, self.length = t["at"][self.order], t["n"][self.order]
+        self.starts, self.length = at[self.order], t["n"][self.order]
         self.stated, self.written, self.value = t[f"s{a}"].astype(np.int64), t[f"w{a}"].astype(np.int64), t[f"v{a}"].astype(float)
         self.ratio = _log_scale(axis)[None, :] - _log_scale(axis)[:, None]
         self.e = e
-        with np.errstate(all="ignore"):
-            log = np.where((self.value > 0) & (self.written < 0), np.log10(self.value), np.nan)
-        first = np.zeros(len(log), np.int64)
-        first[t["at"]] = t["at"]
-        first = np.maximum.accumulate(first)
-        held = np.maximum.accumulate(np.where(np.isnan(log), -1, np.arange(len(log))))
-        before = np.concatenate([[-1], held[:-1]])
-        with np.errstate(all="ignore"):
-            self.jump = np.where(before >= first, log - log[before], np.nan)
+        first = np.repeat(np.arange(len(at)), t["n"])
+        lead = [np.asarray(t[f"lead{a}"][k], float) for k in at] if f"lead{a}" in t else None
+        self.jump = _jumps(_logs(t, axis), first, lead, e)
+        told = np.maximum(t[f"told{a}"][at], t[f"r{a}"][at]) if f"told{a}" in t else np.maximum(np.maximum.reduceat(self.stated, at), t[f"r{a}"][at])
+        self.price = np.where(told >= 0, e.stated, e.switch)[first]
 
     def rounds(self) -> Iterator[np.ndarray]:
         for k in range(int(self.length[0]) if len(self.length) else 0):
@@ -148,10 +199,10 @@ class _Chain:
     def step(self, rows: np.ndarray) -> np.ndarray:
         """Log weight of going from unit i to unit j into each row. A statement leads all to its unit."""
         size = len(CODES)
-        off = (self.jump[rows][:, None, None] + self.ratio) / self.e.sigma
-        out = np.maximum(-0.5 * off * off, -self.e.jump_most)
-        out[np.isnan(self.jump[rows])] = 0
-        out[:, ~np.eye(size, dtype=bool)] -= self.e.switch
+        jump = self.jump[rows]
+        out = self.e.weight(np.nan_to_num(jump)[:, None, None] + self.ratio)
+        out[np.isnan(jump)] = 0
+        out[:, ~np.eye(size, dtype=bool)] -= self.price[rows][:, None]
         said = np.nonzero(self.stated[rows] >= 0)[0]
         out[said] = _NEVER
         out[said, :, self.stated[rows[said]]] = 0
@@ -204,12 +255,44 @@ def _decode(e: Evidence, ends: bool):
         for t in _windows(batches):
             for k, a in enumerate(AXES):
                 chain = _Chain(t, k, e)
-                unit = chain.decode(t[f"enter{a}"][t["at"]], t[f"leave{a}"][t["at"]]) if ends else chain.decode(t[f"r{a}"][t["at"]])
+                unit = chain.decode(t[f"enter{a}"][t["at"]], t[f"leave{a}"][t["at"]]) if ends else chain.decode(np.maximum(t[f"r{a}"][t["at"]], 0))
                 yield _emit(t, k, chain, unit)
 
     return decode
 
 
+def _tails(e: Evidence):
+    """The last logarithms of each block and axis."""
+
+    def tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _windows(batches):
+            at, stop = t["at"], t["at"] + t["n"]
+            out = [pa.array(t["file_id"][at]), pa.array(t["block"][at])]
+            for k in range(len(AXES)):
+                log = _logs(t, k)
+                out.append(pa.array([log[a:b][~np.isnan(log[a:b])][-e.span :] for a, b in zip(at, stop)], pa.list_(pa.float64())))
+            yield pa.RecordBatch.from_arrays(out, names=["file_id", "block", *[f"tail{a}" for a in AXES]])
+
+    return tails
+
+
+def _leads(e: Evidence):
+    """For each block of one file the last logarithms before it: one row per block."""
+
+    def leads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(list(batches)).sort_by("block")
+        out = [t.column("file_id").combine_chunks(), t.column("block").combine_chunks()]
+        for a in AXES:
+            held, rows = [], []
+            for tail in t.column(f"tail{a}").to_pylist():
+                rows.append(held)
+                held = (held + tail)[-e.span :]
+            out.append(pa.array(rows, pa.list_(pa.float64())))
+        yield pa.RecordBatch.from_arrays(out, names=["file_id", "block", *[f"lead{a}" for a in AXES]])
+
+    return leads
+
+
 def _block_gains(e: Evidence):
     def gains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _windows(batches):
@@ -233,7 +316,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for a in AXES:
         gain = np.array(t.column(f"g{a}").to_pylist()).reshape(n, size, size)
         score = np.full(size, _NEVER * 1e3)
-        score[t.column(f"r{a}")[0].as_py()] = 0
+        score[max(t.column(f"r{a}")[0].as_py(), 0)] = 0
         came = np.zeros((n, size), np.int64)
         for b in range(n):
             both = score[:, None] + gain[b]
@@ -248,6 +331,8 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
 
 
+_TAILS = "file_id bigint, block int, " + ", ".join(f"tail{a} array<double>" for a in AXES)
+_LEADS = "file_id bigint, block int, " + ", ".join(f"lead{a} array<double>" for a in AXES)
 _ENDS = "file_id bigint, block int, " + ", ".join(f"enter{a} tinyint, leave{a} tinyint" for a in AXES)
 _GAINS = "file_id bigint, block int, " + ", ".join(f"g{a} array<double>, r{a} tinyint" for a in AXES)
 
@@ -267,7 +352,8 @@ def decode_units(lines: DataFrame, files: DataFrame, evidence: Evidence | None =
     """The unit of each X, Y and Z of the valid data lines, and its value in micrometres.
 
     Columns: line_id, axis, unit_code (um, nm, mm, px, angstrom), value, micrometres. A unit
-    written on a value is the value's; the others have the decoded unit of their file and axis.
+    written on a value is the value's; the others have the decoded unit of their file and axis: the one stated
+    last, or, in a file that states none for the axis, micrometre until the values jump to another.
     Null values, values that are no coordinates, and broken lines have no row; zero and negative
     values have a unit but give no evidence. Files without any statement start in micrometres, as
     do lines whose file isn't listed. Lines delivered twice count one by one; empty tables give
@@ -277,7 +363,11 @@ def decode_units(lines: DataFrame, files: DataFrame, evidence: Evidence | None =
     seen = observations(lines, files)
     out = _whole_blocks(seen.where("block_count = 1")).mapInArrow(_decode(e, False), _DECODED)
     if lines.where(F.col("line_no") >= BLOCK).limit(1).count():
-        long = cut_lineage(seen.where("block_count > 1"))
+        long = seen.where("block_count > 1")
+        told = long.groupBy("file_id").agg(*[F.max(f"s{a}").alias(f"told{a}") for a in AXES])
+        tails = _whole_blocks(long).mapInArrow(_tails(e), _TAILS)
+        leads = tails.groupBy("file_id").applyInArrow(_leads(e), _LEADS).join(told, "file_id")
+        long = cut_lineage(long.join(leads, ["file_id", "block"]))
         gains = _whole_blocks(long).mapInArrow(_block_gains(e), _GAINS)
         ends = gains.groupBy("file_id").applyInArrow(_scan, _ENDS)
         out = out.unionByName(_whole_blocks(long.join(ends, ["file_id", "block"])).mapInArrow(_decode(e, True), _DECODED))

@@ -3,7 +3,7 @@ import random
 
 from nucleoframe.operators.badrows import rejects, valid_rows
 from nucleoframe.operators.drift import changes, consistent_rows, lifespans
-from nucleoframe.operators.units import Evidence, decode_units
+from nucleoframe.operators.units import decode_units
 from nucleoframe.session import table
 from tests.brute_fofct import changes as brute_changes
 from tests.brute_fofct import read
@@ -66,10 +66,30 @@ def test_blocks_of_a_long_file_agree_with_one_block(spark, monkeypatch):
     assert many == one
 
 
-def test_jumps_alone_reveal_a_switch(spark):
-    raw = [HEAD] + [f"{k},7,{(300 + k % 3) * (1000 if 40 <= k < 80 else 1)},1,1,chr1,5,6" for k in range(120)]
-    got = decode_units(lines(spark, *raw), files(spark, None), Evidence(switch=8.0)).where("axis = 'x'").collect()
-    assert {r["line_id"] % 100_000 - 2: r["unit_code"] for r in got} == {k: "nm" if 40 <= k < 80 else "um" for k in range(120)}
+def test_jumps_alone_reveal_a_switch(spark, monkeypatch):
+    # Nothing is stated: the values are a thousandfold for a while. Places wander, and leap by half a decade.
+    rnd = random.Random(8)
+    raw, want = [HEAD], {}
+    for k in range(120):
+        nm = 40 <= k < 80
+        place = (90 if k % 30 < 15 else 400) + rnd.gauss(0, 5)
+        raw.append(f"{k},7,{place * (1000 if nm else 1)},{place / 30},1,chr1,5,6")
+        want |= {(k, "x"): "nm" if nm else "um", (k, "y"): "um", (k, "z"): "um"}
+    ln, fl = lines(spark, *raw), files(spark, None)
+    decode = lambda: {(r["line_id"] % 100_000 - 2, r["axis"]): r["unit_code"] for r in decode_units(ln, fl).collect()}
+    assert decode() == want
+    for block in (16, 7):
+        for m in ("nucleoframe.sources.fofct_lines.BLOCK", "nucleoframe.operators.units.BLOCK"):
+            monkeypatch.setattr(m, block)
+        assert decode() == want
+
+
+def test_statements_outweigh_values(spark):
+    raw = [HEAD, "#positions: nm, stage frame"] + [f"{k},7,{300 * (1000 if 40 <= k < 80 else 1)},1,1,chr1,5,6" for k in range(120)]
+    assert {r["unit_code"] for r in decode_units(lines(spark, *raw), files(spark, None)).collect()} == {"nm"}
+    raw = [HEAD] + [f"{k},7,{300 * (1000 if 40 <= k < 80 else 1)},1,1,chr1,5,6" for k in range(120)]
+    assert {r["unit_code"] for r in decode_units(lines(spark, *raw), files(spark, "XYZ: mm")).collect()} == {"mm"}
+    assert {r["unit_code"] for r in decode_units(lines(spark, *raw), files(spark, "XYZ: um")).collect()} == {"um"}
 
 
 def test_drift_table_and_lifespans(spark):
