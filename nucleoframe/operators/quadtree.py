@@ -9,8 +9,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Most points the driver samples to shape the tree, whatever the size of the table.
-SAMPLE_ROWS = 60_000
+#: Points the driver samples to shape the tree: so many at least, and so many for each leaf wanted.
+SAMPLE_ROWS, PER_LEAF = 60_000, 32
 #: Most leaves; the tree that is sent to every task stays under a megabyte.
 MAX_LEAVES = 65_536
 
@@ -49,13 +49,16 @@ class Quadtree:
 
     def leaves_of_boxes(self, x_lo: np.ndarray, x_hi: np.ndarray, y_lo: np.ndarray, y_hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(box, leaf) for every leaf that a box meets."""
-        rows, leaves = [], []
+        rows, leaves = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         x0, x1, y0, y1 = self.bounds()
-        for k in range(len(x_lo)):
-            hit = np.nonzero((x0 <= x_hi[k]) & (x1 >= x_lo[k]) & (y0 <= y_hi[k]) & (y1 >= y_lo[k]))[0]
-            rows.append(np.full(len(hit), k))
-            leaves.append(hit)
-        return (np.concatenate(rows), np.concatenate(leaves)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        step = max(1, 4_000_000 // len(x0))
+        for k in range(0, len(x_lo), step):
+            some = slice(k, k + step)
+            hit = (x0 <= x_hi[some, None]) & (x1 >= x_lo[some, None]) & (y0 <= y_hi[some, None]) & (y1 >= y_lo[some, None])
+            box, leaf = np.nonzero(hit)
+            rows.append(box + k)
+            leaves.append(leaf)
+        return np.concatenate(rows), np.concatenate(leaves)
 
     def bounds(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Sides of the leaves; those at the rim reach to infinity."""
@@ -106,14 +109,15 @@ def grow(sample: np.ndarray, low: tuple[float, float], high: tuple[float, float]
 
 
 def plan_quadtree(points: DataFrame, margin: float, leaf_points: int, x: str = "x", y: str = "y", sample_rows: int = SAMPLE_ROWS) -> Quadtree:
-    """Shape a tree on a sample of at most about ``sample_rows`` points.
+    """Shape a tree on a sample of the points.
 
-    The sample only shapes the partitions; every row is assigned. An empty table gives one leaf.
+    The sample only shapes the partitions; every row is assigned. It grows with the leaves wanted, of
+    which there are ``MAX_LEAVES`` at most, so that it has two million points or so at most. An empty table gives one leaf.
     """
     n, x0, x1, y0, y1 = points.agg(F.count(F.lit(1)), F.min(x), F.max(x), F.min(y), F.max(y)).first()
     if not n:
         return Quadtree(0.0, 0.0, 1.0, 0, np.zeros(1, np.uint64))
-    share = min(1.0, sample_rows / n)
-    sampled = points.select(x, y).sample(share, 7) if share < 1 else points.select(x, y)
-    xy = np.array([tuple(r) for r in sampled.collect()], dtype=float).reshape(-1, 2)
+    share = min(1.0, max(sample_rows, PER_LEAF * min(n / leaf_points, MAX_LEAVES)) / n)
+    sampled = (points.select(x, y).sample(share, 7) if share < 1 else points.select(x, y)).toArrow()
+    xy = np.column_stack([sampled.column(c).to_numpy() for c in (x, y)]).astype(float)
     return grow(xy, (x0, y0), (x1, y1), max(1.0, max(leaf_points, 4 * n / MAX_LEAVES) * share), margin)

@@ -48,7 +48,21 @@ def settled(df: DataFrame) -> DataFrame:
     """
     path = f"{shared_checkpoint_dir(df.sparkSession)}/settled-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._settled_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that nothing will read any more; other DataFrames are left alone.
+
+    A loop calls it on the tables of a round once those of the next are written.
+    """
+    for t in tables:
+        path = getattr(t, "_settled_at", None)
+        if path:
+            place = t.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def ranked(df: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
