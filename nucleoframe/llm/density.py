@@ -3,8 +3,10 @@
 A quadtree spreads the records; each leaf builds the mutual-reachability graph of its
 neighbours within ``eps`` and contracts it by Borůvka's rule as far as no other leaf can have
 a say. What remains between leaves, a graph of the records at their rims, is contracted by
-Borůvka rounds over tables. The forest gives the condensed hierarchy, whose most stable clusters
-come out with their sizes and most persistent members.
+Borůvka rounds over tables. The forest's edges, taken from the lightest up, build the condensed
+hierarchy of each component, whose most stable clusters come out with their sizes and most
+persistent members. A component of any size has the same hierarchy: large ones are built slice by
+slice of their edges, and only what a slice needs of the clusters so far is handed on.
 """
 
 from __future__ import annotations
@@ -19,12 +21,11 @@ from pyspark.sql import functions as F
 from nucleoframe.functions.rtree import PackedTree, z_order
 from nucleoframe.llm.forest import boruvka, distributed_boruvka
 from nucleoframe.operators.quadtree import Quadtree, plan_quadtree
-from nucleoframe.session import cut_lineage, settled
+from nucleoframe.session import cut_lineage, discard, ranked, settled
 
 LEAF_POINTS = 20_000
-#: Components of more records than this are condensed over tables, level by level.
-LARGE_COMPONENT = 500_000
-RUNGS = 6
+#: Edges of one component that one task works on; larger components are worked on in slices.
+SLICE = 500_000
 #: Distances below this count as this, so that persistence stays finite for equal places.
 LEAST_DISTANCE = 1e-4
 
@@ -153,103 +154,79 @@ def _rooted(local: DataFrame) -> tuple[DataFrame, DataFrame]:
     return whole.unionByName(joined), taken.where("w >= 0")
 
 
-def linked_groups(points: DataFrame, id_col: str, key: Column, eps: float, least_size: int, leaf_points: int = LEAF_POINTS) -> DataFrame:
-    """(cluster_id, row_id) of the hierarchy cut at ``eps``: records of one key linked by steps of at
-    most ``eps``, in groups of at least ``least_size``; cluster_id is the smallest id of the group.
+class _Merger:
+    """The condensed hierarchy of one component, built from its lightest edge up.
 
-    Records with a null or NaN coordinate are in no group. Equal places are at distance 0, so
-    repeated rows are members like others. An empty table gives an empty result.
+    A part of fewer than ``least`` records is a list of them. When a part reaches ``least``, it becomes a
+    cluster, and a smaller part that meets it falls to it; where two clusters meet, both end and a
+    new one begins that holds them. A cluster has its records, the sum of their rates (one over the
+    distance at which each came, at most the distance at which the cluster began), and the best stability that lies below it
+    (none for the first of their kind).
     """
-    local = _contracted(points, id_col, key, eps, 1, False, least_size, leaf_points)
-    member, _ = _rooted(local)
-    member = cut_lineage(member)
-    sized = member.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("cluster_id")).where(F.col("n") >= least_size).drop("n")
-    return member.join(sized, "root").select("cluster_id", F.col("id").alias("row_id"))
 
+    def __init__(self, ids: np.ndarray, least: int):
+        n = len(ids)
+        self.least, self.up = least, list(range(n))
+        self.size: list[int] = [1] * n
+        self.loose: list[list[int]] = [[i] for i in ids.tolist()]
+        self.cluster: list[int] = [-1] * n
+        self.total, self.below = [0.0] * n, [-np.inf] * n
+        #: (record, rate, cluster), and (cluster, the one that holds it, own stability, best below).
+        self.fell: list[tuple[int, float, int]] = []
+        self.ended: list[tuple[int, int, float, float]] = []
+
+    def root(self, x: int) -> int:
+        up = self.up
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
 
-def _condense(edges: list[tuple[np.ndarray, np.ndarray, np.ndarray]], eps: float, least_size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Clusters of one component: records, their cluster (its smallest record), their persistence."""
-    a, b, w = edges
+    def merge(self, u: list[int], v: list[int], w: list[float], name: list[int]) -> None:
+        least, size = self.least, self.size
+        for a, b, d, new in zip(u, v, w, name):
+            p, q = self.root(a), self.root(b)
+            if size[p] < size[q]:
+                p, q = q, p
+            rate = 1.0 / max(d, LEAST_DISTANCE)
+            if size[p] < least:
+                self.loose[p] += self.loose[q]
+                if size[p] + size[q] >= least:
+                    self.fell += [(i, rate, new) for i in self.loose[p]]
+                    self.loose[p], self.cluster[p], self.total[p] = [], new, rate * (size[p] + size[q])
+            elif size[q] < least:
+                self.fell += [(i, rate, self.cluster[p]) for i in self.loose[q]]
+                self.total[p] += rate * size[q]
+            else:
+                below = 0.0
+                for part in (p, q):
+                    own = self.total[part] - rate * size[part]
+                    self.ended.append((self.cluster[part], new, own, self.below[part]))
+                    below += max(own, self.below[part])
+                self.cluster[p], self.total[p], self.below[p] = new, rate * (size[p] + size[q]), below
+            self.loose[q] = []
+            size[p] += size[q]
+            self.up[q] = p
+
+
+def _condense(a: np.ndarray, b: np.ndarray, w: np.ndarray, eps: float, least_size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One component's records, the smallest record of their cluster (-1 for none), and their persistence."""
     ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    n = len(ids)
     u, v = at[: len(a)], at[len(a) :]
     order = np.lexsort((np.maximum(a, b), np.minimum(a, b), w))
-    # Single linkage: merges in order of weight.
-    parent, top, size = list(range(n)), list(range(n)), [1] * (2 * n - 1)
-    left, right, height = [0] * (n - 1), [0] * (n - 1), np.maximum(w[order], LEAST_DISTANCE)
-
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for k, e in enumerate(order.tolist()):
-        p, q = find(int(u[e])), find(int(v[e]))
-        left[k], right[k] = top[p], top[q]
-        size[n + k] = size[top[p]] + size[top[q]]
-        if p != q:
-            parent[q] = p
-        top[p] = n + k
-    # Condense from the top: a split into two of at least least_size is a birth, else records fall out.
-    rate = 1.0 / height
-    birth, stable, children, fell = [1.0 / eps], [0.0], [[]], [[]]
-    todo = [(2 * n - 2, 0)]
-    while todo:
-        node, c = todo.pop()
-        if node < n:
-            fell[c].append((node, np.inf))
-            stable[c] += 1.0 / LEAST_DISTANCE - birth[c]
-            continue
-        lam = float(rate[node - n])
-        sides = (left[node - n], right[node - n])
-        whole = [s for s in sides if size[s] >= least_size]
-        if len(whole) == 2:
-            stable[c] += (lam - birth[c]) * size[node]
-            for s in sides:
-                birth.append(lam)
-                stable.append(0.0)
-                children.append([])
-                fell.append([])
-                children[c].append(len(birth) - 1)
-                todo.append((s, len(birth) - 1))
-            continue
-        for s in sides:
-            if size[s] >= least_size:
-                todo.append((s, c))
-                continue
-            stable[c] += (lam - birth[c]) * size[s]
-            leaves = [s]
-            while leaves:
-                x = leaves.pop()
-                if x < n:
-                    fell[c].append((x, lam))
-                else:
-                    leaves += (left[x - n], right[x - n])
-    take = [True] * len(birth)
-    best = list(stable)
-    for c in range(len(birth) - 1, -1, -1):
-        below = sum(best[k] for k in children[c])
-        if children[c] and below > stable[c]:
-            best[c], take[c] = below, False
-    rows, cluster, lam = [], [], []
-    todo2 = [0]
-    while todo2:
-        c = todo2.pop()
-        if not take[c]:
-            todo2 += children[c]
-            continue
-        inside = [c]
-        members: list[tuple[int, float]] = []
-        while inside:
-            k = inside.pop()
-            members += fell[k]
-            inside += children[k]
-        who = np.array([m[0] for m in members])
-        rows.append(ids[who])
-        cluster.append(np.full(len(who), ids[who].min()))
-        lam.append(np.minimum(np.array([m[1] for m in members]), 1.0 / LEAST_DISTANCE))
-    return np.concatenate(rows), np.concatenate(cluster), np.concatenate(lam)
+    m = _Merger(ids, least_size)
+    m.merge(u[order].tolist(), v[order].tolist(), w[order].tolist(), list(range(len(order))))
+    p = m.root(0)
+    ended = m.ended + [(m.cluster[p], -1, m.total[p] - m.size[p] / eps, m.below[p])]
+    # The uppermost cluster that has at least the stability of what lies below it; those above come later.
+    kept = {-1: -1}
+    for c, above, own, below in reversed(ended):
+        kept[c] = kept[above] if kept[above] >= 0 else c if own >= below else -1
+    who, rate, home = np.array([f[0] for f in m.fell]), np.array([f[1] for f in m.fell]), np.array([kept[f[2]] for f in m.fell])
+    first = np.full(len(order), np.iinfo(np.int64).max)
+    inside = home >= 0
+    np.minimum.at(first, home[inside], who[inside])
+    return who, np.where(inside, first[home], -1), rate
 
 
 def _condensed(eps: float, least_size: int):
@@ -263,9 +240,10 @@ def _condensed(eps: float, least_size: int):
             out = []
             for s, e in zip(np.concatenate([[0], cuts]), np.concatenate([cuts, [len(root)]])):
                 if e - s + 1 >= least_size:
-                    out.append(_condense((a[s:e], b[s:e], w[s:e]), eps, least_size))
+                    who, cluster, rate = _condense(a[s:e], b[s:e], w[s:e], eps, least_size)
+                    out.append((who, np.full(len(who), who.min()), cluster, rate))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[k] for o in out])) for k in range(3)], names=["row_id", "cluster_id", "persistence"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[k] for o in out])) for k in range(4)], names=["row_id", "root_id", "cluster_id", "persistence"])
 
         rows = 0
         for batch in batches:
@@ -286,13 +264,91 @@ def _condensed(eps: float, least_size: int):
     return run
 
 
-def density_clusters(points: DataFrame, id_col: str, key: Column, eps: float, min_points: int = 4, least_size: int = 8, exemplars: int = 3, leaf_points: int = LEAF_POINTS, large: int = LARGE_COMPONENT) -> DataFrame:
-    """Clusters of mutually near records of one key: cluster_id, row_id, cluster_size, persistence, exemplar.
+_HIERARCHY = "row_id bigint, root_id bigint, cluster_id bigint, persistence double"
+#: kind 0: part a is now in part b; kind 1: the state of part a; kind 2: record a fell to cluster b at
+#: rate x; kind 3: cluster a ended in cluster b with own stability x and best below y.
+_SLICED = "root bigint, kind tinyint, a bigint, b bigint, n bigint, loose array<bigint>, x double, y double"
+
+
+def _slice(least_size: int):
+    def run(key, edges: pa.Table, states: pa.Table) -> pa.Table:
+        root = key[0].as_py()
+        edges = edges.sort_by("place")
+        la, lb = edges.column("la").to_numpy(), edges.column("lb").to_numpy()
+        ids, at = np.unique(np.concatenate([la, lb]), return_inverse=True)
+        m = _Merger(ids, least_size)
+        place = {i: k for k, i in enumerate(ids.tolist())}
+        for a, b, n, loose, x, y in zip(*(states.column(c).to_pylist() for c in ("a", "b", "n", "loose", "x", "y"))):
+            k = place[a]
+            m.size[k], m.loose[k], m.cluster[k], m.total[k], m.below[k] = n, list(loose), b, x, y
+        m.merge(at[: len(la)].tolist(), at[len(la) :].tolist(), edges.column("w").to_pylist(), edges.column("place").to_pylist())
+        parts = [m.root(k) for k in range(len(ids))]
+        tops = sorted(set(parts))
+        name = {p: int(ids[p]) for p in tops}
+        rows = [(0, int(ids[k]), name[p], None, None, None, None) for k, p in enumerate(parts)]
+        rows += [(1, name[p], m.cluster[p], m.size[p], m.loose[p], m.total[p], m.below[p]) for p in tops]
+        rows += [(2, i, c, None, None, rate, None) for i, rate, c in m.fell]
+        rows += [(3, c, above, None, None, own, below) for c, above, own, below in m.ended]
+        kind, a, b, n, loose, x, y = zip(*rows)
+        return pa.table({"root": pa.array([root] * len(rows), pa.int64()), "kind": pa.array(kind, pa.int8()), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "n": pa.array(n, pa.int64()), "loose": pa.array(loose, pa.list_(pa.int64())), "x": pa.array(x, pa.float64()), "y": pa.array(y, pa.float64())})
 
-    Records are compared by mutual reachability within ``eps``; of the condensed hierarchy of
-    each component the clusters with the greatest stability come out, with the ``exemplars`` most
-    persistent members marked (ties by smallest id). cluster_id is the smallest id of a cluster.
-    Records in no cluster, and those with a null or NaN coordinate, have no row.
+    return run
+
+
+def _sliced(forest: DataFrame, eps: float, least_size: int, edges_at_once: int) -> DataFrame:
+    """The condensed hierarchy of large components (root, a, b, w), slice by slice of their edges.
+
+    The edges of a component are numbered from the lightest up and cut into slices. One task works
+    on a slice, from the parts that lighter slices have joined and the state of those parts, all
+    components beside one another; the ends of the edges to come are then renamed. So the hierarchy is
+    exact, memory is bounded by the slice, and there are as many rounds as the largest component has slices.
+    """
+    order = [F.col("root"), F.col("w"), F.least("a", "b"), F.greatest("a", "b")]
+    placed = settled(ranked(forest, order))
+    first = placed.groupBy("root").agg(F.min("place").alias("first"))
+    slices = ((F.col("place") - F.col("first")) / edges_at_once).cast("int")
+    todo = settled(placed.join(first, "root").select("root", "place", "w", F.col("a").alias("la"), F.col("b").alias("lb"), slices.alias("slice")))
+    discard(placed)
+    last = todo.agg(F.max("slice")).first()[0]
+    states, fell, ended = None, None, None
+    for k in range(last + 1):
+        now = todo.where(F.col("slice") == k).select("root", "place", "w", "la", "lb")
+        needed = now.select("root", F.explode(F.array("la", "lb")).alias("a")).distinct()
+        given = forest.sparkSession.createDataFrame([], _SLICED) if states is None else states.join(needed, ["root", "a"], "left_semi").select("root", "kind", "a", "b", "n", "loose", "x", "y")
+        out = settled(now.groupBy("root").cogroup(given.groupBy("root")).applyInArrow(_slice(least_size), _SLICED))
+        fresh = out.where("kind = 1")
+        after = settled(fresh if states is None else states.join(needed, ["root", "a"], "left_anti").unionByName(fresh))
+        moved = out.where("kind = 0 AND a <> b").select("root", F.col("a").alias("old"), F.col("b").alias("new"))
+        rest = todo.where(F.col("slice") > k)
+        for end in ("la", "lb"):
+            to = moved.select("root", F.col("old").alias(end), "new")
+            rest = rest.join(to, ["root", end], "left").withColumn(end, F.coalesce("new", end)).drop("new")
+        rest = settled(rest.select("root", "place", "w", "la", "lb", "slice"))
+        discard(todo, *([states] if states is not None else []))
+        states, todo = after, rest
+        fell = out.where("kind = 2") if fell is None else fell.unionByName(out.where("kind = 2"))
+        ended = out.where("kind = 3") if ended is None else ended.unionByName(out.where("kind = 3"))
+    whole = states.select("root", F.col("b").alias("c"), F.lit(None).cast("bigint").alias("above"), (F.col("x") - F.col("n") / eps).alias("own"), F.col("y").alias("below"))
+    tree = ended.select("root", F.col("a").alias("c"), F.col("b").alias("above"), F.col("x").alias("own"), F.col("y").alias("below")).unionByName(whole)
+    # The uppermost cluster kept, by pointer jumping.
+    tree = settled(tree.select("root", "c", "above", F.when(F.col("own") >= F.col("below"), F.col("c")).alias("kept")))
+    while not tree.where("above IS NOT NULL").isEmpty():
+        up = tree.select("root", F.col("c").alias("above"), F.col("above").alias("next"), F.col("kept").alias("higher"))
+        after = settled(tree.join(up, ["root", "above"], "left").select("root", "c", F.col("next").alias("above"), F.coalesce("higher", "kept").alias("kept")))
+        discard(tree)
+        tree = after
+    rows = fell.select("root", F.col("a").alias("row_id"), F.col("b").alias("c"), F.col("x").alias("persistence")).join(tree.select("root", "c", "kept"), ["root", "c"])
+    named = rows.where("kept IS NOT NULL").groupBy("root", "kept").agg(F.min("row_id").alias("cluster_id"))
+    roots = rows.groupBy("root").agg(F.min("row_id").alias("root_id"))
+    return rows.join(named, ["root", "kept"], "left").join(roots, "root").select("row_id", "root_id", F.coalesce("cluster_id", F.lit(-1)).alias("cluster_id"), "persistence")
+
+
+def hierarchy(points: DataFrame, id_col: str, key: Column, eps: float, min_points: int, least_size: int, leaf_points: int = LEAF_POINTS, slice_edges: int = SLICE) -> DataFrame:
+    """Every record of a component of at least ``least_size``: row_id, root_id, cluster_id, persistence.
+
+    Records of one key are compared by mutual reachability within ``eps``. root_id is the smallest id of the
+    component, the hierarchy cut at ``eps``; cluster_id that of the record's most stable cluster, or -1. persistence is one
+    over the distance at which the record comes to a cluster.
     """
     local = _contracted(points, id_col, key, eps, min_points, True, least_size, leaf_points)
     member, taken = _rooted(local)
@@ -303,60 +359,37 @@ def density_clusters(points: DataFrame, id_col: str, key: Column, eps: float, mi
     across = taken.join(member.select(F.col("id").alias("a"), "root"), "a").select("root", "a", "b", "w")
     forest = inner.unionByName(rim).unionByName(across)
     sizes = member.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
-    huge = cut_lineage(sizes.where(F.col("n") > large).select("root"))
+    huge = cut_lineage(sizes.where((F.col("n") > slice_edges) & (F.col("n") >= least_size)).select("root"))
     usual = forest if huge.isEmpty() else forest.join(huge, "root", "left_anti")
-    found = usual.repartition("root").sortWithinPartitions("root").mapInArrow(_condensed(eps, least_size), "row_id bigint, cluster_id bigint, persistence double")
+    found = usual.repartition("root").sortWithinPartitions("root").mapInArrow(_condensed(eps, least_size), _HIERARCHY)
     if not huge.isEmpty():
-        found = found.unionByName(_laddered(cut_lineage(forest.join(huge, "root", "left_semi")), eps, least_size))
-    found = cut_lineage(found)
-    rank = found.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("cluster_size"), F.max(F.struct("persistence", (-F.col("row_id")).alias("r"))).alias("top"))
-    if exemplars == 1:
-        return found.join(rank, "cluster_id").select("cluster_id", "row_id", "cluster_size", "persistence", (F.col("row_id") == -F.col("top.r")).alias("exemplar"))
+        found = found.unionByName(_sliced(forest.join(huge, "root", "left_semi"), eps, least_size, slice_edges))
+    return found
+
+
+def linked_groups(points: DataFrame, id_col: str, key: Column, eps: float, least_size: int, leaf_points: int = LEAF_POINTS, slice_edges: int = SLICE) -> DataFrame:
+    """(cluster_id, row_id) of the hierarchy cut at ``eps``: records of one key linked by steps of at
+    most ``eps``, in groups of at least ``least_size``; cluster_id is the smallest id of the group.
+
+    Each record counts as a core of its own (min_points 1), so mutual reachability is the distance. Records with a null or NaN coordinate are in no group. Equal places are at distance 0, so
+    repeated rows are members like others. An empty table gives an empty result.
+    """
+    return hierarchy(points, id_col, key, eps, 1, least_size, leaf_points, slice_edges).select(F.col("root_id").alias("cluster_id"), "row_id")
+
+
+def density_clusters(points: DataFrame, id_col: str, key: Column, eps: float, min_points: int = 4, least_size: int = 8, exemplars: int = 3, leaf_points: int = LEAF_POINTS, slice_edges: int = SLICE) -> DataFrame:
+    """Clusters of mutually near records of one key: cluster_id, row_id, cluster_size, persistence, exemplar.
+
+    Records are compared by mutual reachability within ``eps``; of the condensed hierarchy of
+    each component the clusters with the greatest stability come out, with the ``exemplars`` most
+    persistent members marked (ties by smallest id). cluster_id is the smallest id of a cluster. ``slice_edges``
+    changes the work, not the result. Records in no cluster, and those with a null or NaN coordinate, have no row.
+    """
+    found = cut_lineage(hierarchy(points, id_col, key, eps, min_points, least_size, leaf_points, slice_edges).where("cluster_id >= 0").drop("root_id"))
+    sized = found.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("cluster_size"))
     bucket = F.pmod(F.xxhash64("row_id"), F.lit(64))
     near = Window.partitionBy("cluster_id", "bucket").orderBy(F.desc("persistence"), "row_id")
     last = Window.partitionBy("cluster_id").orderBy(F.desc("persistence"), "row_id")
     best = found.withColumn("bucket", bucket).withColumn("k", F.row_number().over(near)).where(F.col("k") <= exemplars).withColumn("k", F.row_number().over(last)).where(F.col("k") <= exemplars)
     marked = best.select("cluster_id", "row_id", F.lit(True).alias("exemplar"))
-    return found.join(rank.drop("top"), "cluster_id").join(marked, ["cluster_id", "row_id"], "left").select("cluster_id", "row_id", "cluster_size", "persistence", F.coalesce("exemplar", F.lit(False)).alias("exemplar"))
-
-
-def _laddered(forest: DataFrame, eps: float, least_size: int, levels: int = 0) -> DataFrame:
-    """The condensed hierarchy of very large components, over tables, at a ladder of distances.
-
-    From the shortest distance up, the components of each rung are those of the rung below joined
-    by the forest's edges between the two, so that every edge is worked on once. A component with
-    one component below goes on as the same cluster, one with several is their parent. A cluster's
-    stability is the growth of 1/distance over its rungs, times its records on each; a parent is
-    kept unless its children have more. A record's persistence is 1/distance of the rung below the
-    last one that has it in a component of ``least_size`` or more.
-    """
-    levels = levels or RUNGS
-    rungs = [eps * 2.0**-k for k in range(levels)]
-    at = settled(forest.select(F.explode(F.array("a", "b")).alias("row_id")).distinct().withColumn("root", F.col("row_id")))
-    low = -1.0
-    for k in range(levels - 1, -1, -1):
-        step = forest.where((F.col("w") > low) & (F.col("w") <= rungs[k])).select("a", "b", "w")
-        for end in ("a", "b"):
-            step = step.join(at.select(F.col("row_id").alias(end), F.col("root").alias(f"r{end}")), end)
-        labels, _ = distributed_boruvka(step.select(F.col("ra").alias("a"), F.col("rb").alias("b"), "w"))
-        moved = labels.select(F.col("node").alias("root"), F.col("root").alias("to"))
-        at = at.join(moved, "root", "left").withColumn("root", F.coalesce("to", "root")).drop("to")
-        sized = at.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.min("row_id").alias(f"c{k}")).where(F.col("n") >= least_size).drop("n")
-        at = settled(at.join(sized, "root", "left"))
-        low = rungs[k]
-    below = None
-    for k in range(levels - 1, -1, -1):
-        growth = 1 / (rungs[k] / 2) - 1 / rungs[k]
-        here = at.where(f"c{k} IS NOT NULL").groupBy(F.col(f"c{k}").alias("c")).agg((F.count(F.lit(1)) * growth).alias("own"))
-        if below is None:
-            below = here.withColumn("under", F.lit(0.0))
-        else:
-            links = at.where(f"c{k} IS NOT NULL AND c{k + 1} IS NOT NULL").select(F.col(f"c{k}").alias("up"), F.col(f"c{k + 1}").alias("c")).distinct()
-            down = links.join(below, "c").groupBy(F.col("up").alias("c")).agg(F.count(F.lit(1)).alias("k"), F.sum("own").alias("down"), F.sum("under").alias("deep"), F.sum(F.greatest("own", "under")).alias("best"))
-            alone = F.col("k") == 1
-            below = here.join(down, "c", "left").select("c", (F.col("own") + F.coalesce(F.when(alone, F.col("down")), F.lit(0.0))).alias("own"), F.coalesce(F.when(alone, F.col("deep")).otherwise(F.col("best")), F.lit(0.0)).alias("under"))
-        below = settled(below)
-        at = at.join(below.select(F.col("c").alias(f"c{k}"), (F.col("own") >= F.col("under")).alias(f"kept{k}")), f"c{k}", "left")
-    cluster = F.coalesce(*[F.when(F.col(f"kept{k}"), F.col(f"c{k}")) for k in range(levels)])
-    lasts = F.coalesce(*[F.when(F.col(f"c{k}").isNotNull(), F.lit(2 / rungs[k])) for k in range(levels - 1, -1, -1)])
-    return at.select("row_id", cluster.alias("cluster_id"), lasts.alias("persistence")).where("cluster_id IS NOT NULL")
+    return found.join(sized, "cluster_id").join(marked, ["cluster_id", "row_id"], "left").select("cluster_id", "row_id", "cluster_size", "persistence", F.coalesce("exemplar", F.lit(False)).alias("exemplar"))

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nucleoframe.session import settled
+from nucleoframe.session import discard, settled
 
 
 def jump(parent: np.ndarray) -> np.ndarray:
@@ -61,29 +61,33 @@ def distributed_boruvka(edges: DataFrame, max_rounds: int = 60) -> tuple[DataFra
 
     The order of edges is (w, smaller end, larger end), so that there is one forest. In each round
     every component takes its lightest edge out, the components joined are named by one of them,
-    and edges inside a component are dropped. All of it is joins and grouped minima.
+    and edges inside a component are dropped. All of it is joins and grouped minima. A round at least
+    halves the components that have edges out; if ``max_rounds`` don't do, it raises RuntimeError.
     """
     live = settled(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "w").where("a <> b").groupBy("a", "b").agg(F.min("w").alias("w")).select("a", "b", "w", F.col("a").alias("ca"), F.col("b").alias("cb")))
     labels = settled(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("root", F.col("node")))
-    forest = live.select("a", "b", "w").limit(0)
+    forest = edges.sparkSession.createDataFrame([], live.select("a", "b", "w").schema)
     for _ in range(max_rounds):
         out = live.select(F.explode(F.array(F.struct(F.col("ca").alias("c"), F.col("cb").alias("other"), "w", "a", "b"), F.struct(F.col("cb").alias("c"), F.col("ca").alias("other"), "w", "a", "b"))).alias("e")).select("e.*")
         pick = out.groupBy("c").agg(F.min(F.struct("w", "a", "b", "other")).alias("m")).select("c", F.col("m.other").alias("p"), "m.a", "m.b", "m.w")
         pick = settled(pick)
         if pick.isEmpty():
-            break
+            discard(live, pick)
+            return labels, forest
         forest = forest.unionByName(pick.select("a", "b", "w").distinct())
         # Two that chose each other: the smaller becomes the root.
         back = pick.select(F.col("c").alias("p"), F.col("p").alias("pp"))
-        up = settled(pick.join(back, "p", "left").select("c", F.when((F.col("pp") == F.col("c")) & (F.col("c") < F.col("p")), F.col("c")).otherwise(F.col("p")).alias("p")))
+        up = settled(pick.join(back, "p", "left").select("c", F.when((F.col("pp") == F.col("c")) & (F.col("c") < F.col("p")), F.col("c")).otherwise(F.col("p")).alias("p"), F.lit(True).alias("moved")))
         while True:
-            step = up.alias("x").join(up.select(F.col("c").alias("p"), F.col("p").alias("q")), "p", "left")
+            step = up.select("c", "p").join(up.select(F.col("c").alias("p"), F.col("p").alias("q")), "p", "left")
             after = settled(step.select("c", F.coalesce("q", "p").alias("p"), (F.coalesce("q", "p") != F.col("p")).alias("moved")))
-            moved = not after.where("moved").isEmpty()
-            up = after.select("c", "p")
-            if not moved:
+            discard(up)
+            up = after
+            if up.where("moved").isEmpty():
                 break
         left, right = up.select(F.col("c").alias("ca"), F.col("p").alias("na")), up.select(F.col("c").alias("cb"), F.col("p").alias("nb"))
-        live = settled(live.join(left, "ca", "left").join(right, "cb", "left").select("a", "b", "w", F.coalesce("na", "ca").alias("ca"), F.coalesce("nb", "cb").alias("cb")).where("ca <> cb"))
-        labels = settled(labels.join(up.select(F.col("c").alias("root"), "p"), "root", "left").select("node", F.coalesce("p", "root").alias("root")))
-    return labels, forest
+        next_live = settled(live.join(left, "ca", "left").join(right, "cb", "left").select("a", "b", "w", F.coalesce("na", "ca").alias("ca"), F.coalesce("nb", "cb").alias("cb")).where("ca <> cb"))
+        next_labels = settled(labels.join(up.select(F.col("c").alias("root"), "p"), "root", "left").select("node", F.coalesce("p", "root").alias("root")))
+        discard(live, labels, up)
+        live, labels = next_live, next_labels
+    raise RuntimeError(f"components still have edges after {max_rounds} rounds")

@@ -11,6 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from nucleoframe.model import clean_state
 from nucleoframe.session import cut_lineage
 
 NO_CELL = "unsegmented"
@@ -33,7 +34,8 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     ``edges`` has columns a and b. Each node holds a cluster of nodes, as rows. In a round it
     sends its cluster to the cluster's smallest member and that member to all others, until
     nothing changes; then the smallest member holds its whole component. Rounds grow with the
-    logarithm of the longest path. Clusters are rows of a table, never one value or one task.
+    logarithm of the longest path; if ``max_rounds`` don't do, it raises RuntimeError. Clusters are
+    rows of a table, never one value or one task.
     Null ends are dropped; an edge from a node to itself is a component of one.
     """
     ends = edges.dropna(subset=["a", "b"]).select("a", "b")
@@ -46,9 +48,9 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         after = cut_lineage(sent)
         n, check = after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if (n, check) == (size, total):
-            break
+            return after.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
         held, size, total = after, n, check
-    return held.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
+    raise RuntimeError(f"components still change after {max_rounds} rounds")
 
 
 def label_components(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -70,12 +72,6 @@ def related_pairs(labels: DataFrame, links: DataFrame) -> DataFrame:
     return a.join(b, "root").where("label_a < label_b").select("label_a", "label_b")
 
 
-def clean_state(state: Column) -> Column:
-    """G1, S or G2 however written; null for blank and anything else."""
-    s = F.upper(F.regexp_replace(F.coalesce(state, F.lit("")), r"[^A-Za-z0-9]", ""))
-    return F.when(s.startswith("G1"), "G1").when(s.startswith("G2"), "G2").when(s.startswith("S"), "S")
-
-
 def _uniform(*parts: Column) -> Column:
     """A hash of the parts, strictly between 0 and 1."""
     return (F.shiftrightunsigned(F.xxhash64(*parts), 11).cast("double") + 0.5) / float(1 << 53)

@@ -5,8 +5,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from nucleoframe.llm.density import _laddered, density_clusters, linked_groups
+from nucleoframe.llm.density import density_clusters, linked_groups
 from nucleoframe.llm.forest import boruvka, distributed_boruvka
+from nucleoframe.llm.splits import components
 
 SCHEMA = "row_id bigint, k bigint, x double, y double, z double"
 
@@ -83,61 +84,87 @@ def test_clusters_do_not_depend_on_leaves(spark):
     assert all(sum(1 for r in runs[0] if r[0] == c and r[4]) == 3 for c in sizes)
 
 
-def ladder(edges, eps, least, levels):
-    """Clusters by plain recursion: {row: (cluster, persistence)}."""
-
-    def parts(rows, d):
-        parent = {v: v for v in rows}
-
-        def find(a):
-            while parent[a] != a:
-                a = parent[a]
-            return a
-
-        for a, b, w in edges:
-            if w <= d and a in parent and b in parent:
-                parent[find(b)] = find(a)
-        out = {}
+def hdbscan(points, eps, min_points, least):
+    """Clusters by trying all pairs and going down the hierarchy: {row: (cluster, size, persistence)}."""
+    near = {p[0]: sorted(math.dist(p[2:], q[2:]) for q in points if q[1] == p[1]) for p in points}
+    core = {i: d[min_points - 1] if len(d) >= min_points else math.inf for i, d in near.items()}
+    edges = []
+    for i, p in enumerate(points):
+        for q in points[i + 1 :]:
+            w = max(math.dist(p[2:], q[2:]), core[p[0]], core[q[0]])
+            if p[1] == q[1] and w <= eps:
+                edges.append((max(w, 1e-4), min(p[0], q[0]), max(p[0], q[0])))
+
+    def parts(rows, links):
+        root = kruskal([(a, b, w) for w, a, b in links if a in rows and b in rows], rows)[1]
+        by = {}
         for v in rows:
-            out.setdefault(find(v), set()).add(v)
-        return [m for m in out.values() if len(m) >= least]
-
-    def solve(rows, k):
-        """Own stability, best of what lies under, and the clusters of that best."""
-        d = eps * 2.0**-k
-        own = len(rows) * (2 / d - 1 / d)
-        kids = [(m, solve(m, k + 1)) for m in parts(rows, d / 2)] if k + 1 < levels else []
-        if len(kids) == 1:
-            return own + kids[0][1][0], kids[0][1][1], kids[0][1][2]
-        return own, sum(max(o, u) for _, (o, u, _) in kids), [c for m, (o, u, deep) in kids for c in ([m] if o >= u else deep)]
-
-    out = {}
-    for m in parts({v for e in edges for v in e[:2]}, eps):
-        own, under, deep = solve(m, 0)
-        for c in [m] if own >= under else deep:
-            for v in c:
-                k = max(k for k in range(levels) if any(v in p for p in parts(m, eps * 2.0**-k)))
-                out[v] = (min(c), 2 / (eps * 2.0**-k))
+            by.setdefault(root[v], set()).add(v)
+        return list(by.values())
+
+    tree, _ = kruskal([(a, b, w) for w, a, b in edges], [p[0] for p in points])
+    tree = sorted(e for e in edges if e[1:] in tree)
+
+    def solve(rows, birth):
+        """(best stability, [(members)]) of a cluster of rows that begins at rate birth; falls are noted."""
+        all_rows, own, links = set(rows), 0.0, [e for e in tree if e[1] in rows and e[2] in rows]
+        while links:
+            w = links.pop()[0]
+            sides = parts(rows, links)
+            big = [s for s in sides if len(s) >= least]
+            if len(big) == 2:
+                own += (1 / w - birth) * len(rows)
+                below = [solve(s, 1 / w) for s in big]
+                best = sum(b for b, _ in below)
+                return (best, [c for _, cs in below for c in cs]) if best > own * (1 + 1e-12) else (own, [all_rows])
+            for s in sides:
+                if len(s) < least:
+                    own += (1 / w - birth) * len(s)
+                    for v in s:
+                        fall[v] = 1 / w
+            if not big:
+                break
+            rows = big[0]
+            links = [e for e in links if e[1] in rows and e[2] in rows]
+        return own, [all_rows]
+
+    fall, out = {}, {}
+    for rows in parts({p[0] for p in points}, tree):
+        if len(rows) >= least:
+            for c in solve(rows, 1 / eps)[1]:
+                out |= {v: (min(c), len(c), fall[v]) for v in c}
     return out
 
 
-@pytest.mark.parametrize("far", [0.9, 0.45])
-def test_ladder_of_large_components(spark, far):
-    rnd = random.Random(6)
-    edges = []
-    for c in range(3):
-        edges += [(100 * c + i, 100 * c + rnd.randrange(i), rnd.choice([0.05, 0.1, 0.2]) if c else 0.4) for i in range(1, 14)]
-    edges += [(0, 100, far), (100, 200, 0.45), (300, 200, 0.8), (301, 300, 0.8)]
-    forest = spark.createDataFrame(edges, "a bigint, b bigint, w double")
-    got = {r["row_id"]: (r["cluster_id"], r["persistence"]) for r in _laddered(forest, 1.0, 4, 4).collect()}
-    assert got == ladder(edges, 1.0, 4, 4) and len({c for c, _ in got.values()}) > 1
-
-
-def test_large_components_have_clusters(spark):
-    df = spark.createDataFrame([(i, 0, 5 + (i % 2) * 0.5 + i * 1e-3, 5.0, 5.0) for i in range(90)], SCHEMA)
-    rows = density_clusters(df, "row_id", F.col("k"), 0.6, 3, 6, large=50).collect()
-    assert len(rows) == len({r["row_id"] for r in rows}) and all(r["cluster_size"] >= 6 for r in rows)
-    assert {r["cluster_id"] for r in rows} == {0, 1}
+@pytest.mark.parametrize("seed", [5, 6])
+@pytest.mark.parametrize("slices", [20, 500_000])
+def test_clusters_of_components_of_any_size_by_trying_all(spark, seed, slices):
+    points = world(seed, 300)
+    got = density_clusters(spark.createDataFrame(points, SCHEMA), "row_id", F.col("k"), 0.6, 3, 6, leaf_points=90, slice_edges=slices).collect()
+    want = hdbscan(points, 0.6, 3, 6)
+    assert {r["row_id"]: (r["cluster_id"], r["cluster_size"]) for r in got} == {v: c[:2] for v, c in want.items()}
+    assert all(math.isclose(r["persistence"], want[r["row_id"]][2], rel_tol=1e-9) for r in got)
+    for c in {r["cluster_id"] for r in got}:
+        mine = sorted(((-r["persistence"], r["row_id"]) for r in got if r["cluster_id"] == c))
+        assert {r["row_id"] for r in got if r["cluster_id"] == c and r["exemplar"]} == {i for _, i in mine[:3]}
+
+
+@pytest.mark.parametrize("slices", [7, 500_000])
+def test_two_chains_near_one_another(spark, slices):
+    points = [(i, 0, 0.27 * i, 0.0, 0.0) for i in range(60)] + [(100 + i, 0, 0.27 * i, 0.4, 0.0) for i in range(60)]
+    df = spark.createDataFrame([(p[0], p[1], *(float(v) for v in p[2:])) for p in points], SCHEMA)
+    rows = density_clusters(df, "row_id", F.col("k"), 0.5, 2, 8, slice_edges=slices).collect()
+    assert sorted({(r["cluster_id"], r["cluster_size"]) for r in rows}) == [(0, 60), (100, 60)]
+    whole = linked_groups(df, "row_id", F.col("k"), 0.5, 8, slice_edges=slices).collect()
+    assert {(r["cluster_id"]) for r in whole} == {0} and len(whole) == 120
+
+
+def test_unfinished_rounds_raise(spark):
+    chain = spark.createDataFrame([(i, i + 1, float(i % 7)) for i in range(64)], "a bigint, b bigint, w double")
+    with pytest.raises(RuntimeError):
+        distributed_boruvka(chain, max_rounds=1)
+    with pytest.raises(RuntimeError):
+        components(chain.select("a", "b"), max_rounds=2)
 
 
 def test_empty(spark):
