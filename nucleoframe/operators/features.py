@@ -1,4 +1,9 @@
-"""Structural features per (cell, locus, copy): means over the spots there, null where undefined."""
+"""Structural features: values of spots, and their table per (cell, locus, copy).
+
+The table of a feature has a row for each copy that a cell has of a chromosome and each of its loci. (A
+dense table would also hold copies that a cell doesn't have; these are all missing once chromosomes
+without any spot are taken out.) Where several spots share locus and copy, their values are averaged.
+"""
 
 from __future__ import annotations
 
@@ -8,28 +13,58 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nucleoframe.model import TRACE_KEY
+from nucleoframe.operators.spatial import neighbour_sums
 from nucleoframe.operators.traces import copy_numbers, distance, grid_pairs
 
+_LOCUS = ["cell_id", "locus", "copy"]
+
 
 def placed(spots: DataFrame, loci: DataFrame) -> DataFrame:
-    """Spots with their locus and copy. Spots that hit no locus drop out."""
+    """Spots with their locus and copy. Spots that hit no locus are in ``unplaced``."""
     return spots.join(loci.select("locus", "chrom", "start_bp", "end_bp"), ["chrom", "start_bp", "end_bp"]).join(copy_numbers(spots), TRACE_KEY)
 
 
-def per_locus(values: DataFrame, value: Column) -> DataFrame:
-    return values.groupBy("cell_id", "locus", "copy").agg(value.alias("value"))
+def unplaced(spots: DataFrame, loci: DataFrame) -> DataFrame:
+    """Spots whose domain isn't exactly one locus: none means that all features cover all spots."""
+    hits = loci.groupBy("chrom", "start_bp", "end_bp").agg(F.count(F.lit(1)).alias("hits"))
+    return spots.join(hits, ["chrom", "start_bp", "end_bp"], "left").where("hits IS NULL OR hits > 1").select(*spots.columns, F.coalesce("hits", F.lit(0)).alias("hits"))
+
+
+def grid(spots: DataFrame, loci: DataFrame) -> DataFrame:
+    """(cell_id, chrom, copy, locus): every locus of every copy that a cell has."""
+    return copy_numbers(spots).select("cell_id", "chrom", "copy").join(loci.select("chrom", "locus"), "chrom")
+
+
+def per_locus(spots: DataFrame, loci: DataFrame, values: DataFrame) -> DataFrame:
+    """The mean of spots' values (row_id, value) per cell, locus and copy; null values don't count."""
+    return placed(spots, loci).select(*_LOCUS, "row_id").join(values, "row_id").groupBy(*_LOCUS).agg(F.avg("value").alias("value"))
 
 
 def spot_count(spots: DataFrame, loci: DataFrame) -> DataFrame:
-    return per_locus(placed(spots, loci), F.count(F.lit(1)))
+    """Spots per (cell_id, chrom, locus, copy); 0 where a copy has none."""
+    none = grid(spots, loci).select(*_LOCUS, "chrom", F.lit(0).cast("bigint").alias("n"))
+    seen = placed(spots, loci).select(*_LOCUS, "chrom", F.lit(1).cast("bigint").alias("n"))
+    return none.unionByName(seen).groupBy("cell_id", "chrom", "locus", "copy").agg(F.sum("n").alias("value"))
 
 
 def intensity(spots: DataFrame, loci: DataFrame, method: str = "mean") -> DataFrame:
-    return per_locus(placed(spots, loci), F.avg("lum") if method == "mean" else F.coalesce(F.sum("lum"), F.lit(0.0)))
+    """Mean or sum of light per cell, locus and copy; 0 where there is no spot. Unknown light doesn't
+    count; where all is unknown the mean is null and the sum 0."""
+    none = grid(spots, loci).select(*_LOCUS, F.lit(None).cast("double").alias("lum"), F.lit(0).alias("n"))
+    both = none.unionByName(placed(spots, loci).select(*_LOCUS, "lum", F.lit(1).alias("n"))).groupBy(*_LOCUS)
+    value = F.coalesce(F.sum("lum"), F.lit(0.0)) if method == "sum" else F.when(F.sum("n") == 0, F.lit(0.0)).otherwise(F.avg("lum"))
+    return both.agg(value.alias("value"))
 
 
 def height(spots: DataFrame, loci: DataFrame) -> DataFrame:
-    return per_locus(placed(spots, loci), F.avg("z"))
+    return placed(spots, loci).groupBy(*_LOCUS).agg(F.avg("z").alias("value"))
+
+
+def outside(spots: DataFrame, loci: DataFrame, marker: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A marker's values (cell_id, spot_id, value) per cell, locus and copy, and the spots that have none."""
+    known = marker.groupBy("cell_id", "spot_id").agg(F.avg("value").alias("value"))
+    both = placed(spots, loci).join(known.withColumn("known", F.lit(True)), ["cell_id", "spot_id"], "left")
+    return both.groupBy(*_LOCUS).agg(F.avg("value").alias("value")), both.where("known IS NULL").select("row_id", "cell_id", "spot_id")
 
 
 def chain_distance(spots: DataFrame, resolution: int) -> DataFrame:
@@ -55,30 +90,48 @@ def gyration(spots: DataFrame, window: int) -> DataFrame:
 def window_pairs(spots: DataFrame, window: int) -> DataFrame:
     """Per spot the mean distance of all pairs of spots of its trace within window / 2 of it; null for fewer than two.
 
-    Each pair counts for the spots between the limits of both: pairs are joined once by trace and
-    window, then ranges of spots.
+    Pairs meet in buckets of the window's width and are folded by the two starts they lie at; a
+    pair counts for the starts between the limits of both, found by bucket too. So work grows with the pairs in
+    windows, not with the square of a trace.
     """
-    a, b, s = spots.alias("a"), spots.alias("b"), spots.select(*TRACE_KEY, "row_id", "start_bp").alias("s")
-    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in TRACE_KEY]
-    pairs = a.join(b, [*same, F.col("a.row_id") < F.col("b.row_id"), F.abs(F.col("a.start_bp") - F.col("b.start_bp")) <= window]).select(*[F.col(f"a.{c}").alias(c) for c in TRACE_KEY], F.least("a.start_bp", "b.start_bp").alias("lo"), F.greatest("a.start_bp", "b.start_bp").alias("hi"), distance("a", "b").alias("dist")).alias("p")
-    hit = [*[F.col(f"s.{c}") == F.col(f"p.{c}") for c in TRACE_KEY], F.col("p.lo") >= F.col("s.start_bp") - window // 2, F.col("p.hi") <= F.col("s.start_bp") + window // 2]
-    return s.join(pairs, hit).groupBy("s.row_id").agg(F.avg("p.dist").alias("value"))
+    half = window // 2
+    thin = spots.select(*TRACE_KEY, "row_id", "start_bp", "x", "y", "z", F.floor(F.col("start_bp") / window).alias("bucket"))
+    around = thin.withColumn("bucket", F.explode(F.array(*[F.col("bucket") + m for m in (-1, 0, 1)])))
+    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in [*TRACE_KEY, "bucket"]]
+    pairs = thin.alias("a").join(around.alias("b"), [*same, F.col("a.row_id") < F.col("b.row_id"), F.abs(F.col("a.start_bp") - F.col("b.start_bp")) <= window])
+    sums = pairs.groupBy(*[F.col(f"a.{c}").alias(c) for c in TRACE_KEY], F.least("a.start_bp", "b.start_bp").alias("lo"), F.greatest("a.start_bp", "b.start_bp").alias("hi")).agg(F.sum(distance("a", "b")).alias("total"), F.count(F.lit(1)).alias("k"))
+    first, last = F.floor((F.col("hi") - half) / window), F.floor((F.col("lo") + half) / window)
+    reach = sums.where(F.col("hi") - half <= F.col("lo") + half).withColumn("bucket", F.explode(F.sequence(first, last)))
+    at = thin.select(*TRACE_KEY, "start_bp", "bucket").distinct()
+    inside = (F.col("start_bp") >= F.col("hi") - half) & (F.col("start_bp") <= F.col("lo") + half)
+    means = at.join(reach, [*TRACE_KEY, "bucket"]).where(inside).groupBy(*TRACE_KEY, "start_bp").agg((F.sum("total") / F.sum("k")).alias("value"))
+    return thin.select("row_id", *TRACE_KEY, "start_bp").join(means, [*TRACE_KEY, "start_bp"], "left").select("row_id", "value")
 
 
 def sphere(spots: DataFrame, radius: float, far: int) -> DataFrame:
     """Contacts of each spot in its cell closer than the radius: how many, how many of another
-    chromosome, of another chromosome or trace, of the same chromosome from ``far`` on; their
-    mean distance, density, and the kernel density with the radius as sigma over them."""
-    pairs = grid_pairs(spots, radius, ["cell_id"]).where(F.col("dist") < radius)
-    other = F.col("a.chrom") != F.col("b.chrom")
-    trans = other | (F.col("a.trace_id") != F.col("b.trace_id"))
-    long = ~other & (F.abs(F.col("a.start_bp") - F.col("b.start_bp")) >= far)
-    n = F.count(F.lit(1))
-    counts = pairs.groupBy(F.col("a.row_id").alias("row_id")).agg(
-        n.alias("n"), (F.count_if(other) / n).alias("inter"), (F.count_if(trans) / n).alias("trans"), (F.count_if(long) / n).alias("long_intra"), F.avg(F.when(F.col("dist") > 0, F.col("dist"))).alias("mean_dist"), F.count_if(F.col("dist") > 0).alias("n_apart"), F.sum(F.exp(-F.col("dist") * F.col("dist") / (2 * radius * radius))).alias("kernel")
-    )
-    volume = 4 / 3 * math.pi * radius**3
-    return spots.select("row_id").join(counts, "row_id", "left").select("row_id", F.coalesce("n", F.lit(0)).alias("n_contacts"), "inter", "trans", "long_intra", "mean_dist", (F.coalesce("n_apart", F.lit(0)) / volume).alias("density"), F.coalesce("kernel", F.lit(0.0)).alias("kernel"))
+    chromosome, of another chromosome or trace, of the same chromosome from ``far`` on, as shares (null without a contact);
+    their mean distance (null without one apart), and their density."""
+    c = neighbour_sums(spots, radius, far, radius)
+    apart = F.col("n") - F.col("same_place")
+    out = spots.select("row_id").join(c, "row_id", "left")
+    share = lambda k: F.try_divide(F.col(k), F.col("n")).alias(k)
+    return out.select("row_id", F.coalesce("n", F.lit(0)).alias("n_contacts"), share("inter"), share("trans"), F.try_divide("far", "n").alias("long_intra"), F.try_divide(F.col("distance"), apart).alias("mean_dist"), (F.coalesce(apart, F.lit(0)) / (4 / 3 * math.pi * radius**3)).alias("density"))
+
+
+def kernel_density(spots: DataFrame, sigma: float, source: Column | None = None) -> DataFrame:
+    """Per spot the Gaussian kernel density over all other spots of its cell that aren't at its place; null without one.
+
+    The sum is divided by the number of those spots and normalised to a density. ``source`` keeps only
+    spots for which it holds as sources. Beyond nine sigmas a term is under the last digit of a
+    double, so only nearer spots are looked for; the number counts all.
+    """
+    near = neighbour_sums(spots, 9 * sigma, 0, sigma, source)
+    is_source = F.lit(True) if source is None else F.coalesce(source, F.lit(False))
+    total = spots.groupBy("cell_id").agg(F.count_if(is_source).alias("sources"))
+    own = spots.select("row_id", "cell_id", is_source.cast("int").alias("own")).join(total, "cell_id").join(near, "row_id", "left")
+    n = F.col("sources") - F.col("own") - F.coalesce("same_place", F.lit(0))
+    return own.select("row_id", F.when(n > 0, F.coalesce("kernel", F.lit(0.0)) / n / ((2 * math.pi) ** 1.5 * sigma**3)).alias("value"))
 
 
 def of_spots(spots: DataFrame, loci: DataFrame, cube: DataFrame) -> DataFrame:
@@ -89,9 +142,9 @@ def of_spots(spots: DataFrame, loci: DataFrame, cube: DataFrame) -> DataFrame:
 
 def smoothed_in_space(valued: DataFrame, radius: float) -> DataFrame:
     """Per spot the mean value of the spots of its cell closer than the radius, itself included."""
-    own = valued.select("row_id", F.col("value"))
-    near = grid_pairs(valued, radius, ["cell_id"]).where(F.col("dist") < radius).select(F.col("a.row_id").alias("row_id"), F.col("b.value").alias("value"))
-    return own.unionByName(near).groupBy("row_id").agg(F.avg("value").alias("value"))
+    pairs = grid_pairs(valued, radius, ["cell_id"], ["value"]).where(F.col("dist") < radius)
+    ends = F.array(*[F.struct(F.col(f"{a}.row_id").alias("row_id"), F.col(f"{b}.value").alias("value")) for a, b in ("ab", "ba")])
+    return valued.select("row_id", "value").unionByName(pairs.select(F.inline(ends))).groupBy("row_id").agg(F.avg("value").alias("value"))
 
 
 def body_distance(spots: DataFrame, bodies: DataFrame, delta: float) -> DataFrame:

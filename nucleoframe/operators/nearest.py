@@ -18,31 +18,28 @@ def nearest_k(spots: DataFrame, k: int, radius: float = 0.6, apart: bool = False
 
     With ``apart`` spots at distance 0 don't count. Spots look in a grid as wide as the radius;
     those that find k within it are done, the few others look again in a coarser grid, until the
-    radius spans the widest cell. Spots of cells with fewer others get all of them. Coordinates
+    radius spans their cell. Spots of cells with fewer others get all of them. Coordinates
     must be known; an empty table gives an empty result.
     """
     all_ = spots.select("row_id", "cell_id", "x", "y", "z")
     spans = all_.groupBy("cell_id").agg(*[(F.max(c) - F.min(c)).alias(c) for c in "xyz"])
-    widest = spans.agg(F.max(F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z")))).first()[0]
-    found, todo = None, all_
+    spans = spans.select("cell_id", F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z")).alias("span"))
+    found, todo = None, cut_lineage(all_.join(spans, "cell_id"))
     while True:
-        last = widest is None or radius > widest
         home = all_.select("*", *[F.floor(F.col(c) / radius).alias(f"g{c}") for c in "xyz"])
         ask = todo.select("*", *[F.floor(F.col(c) / radius).alias(f"g{c}") for c in "xyz"])
         for c in "xyz":
             ask = ask.withColumn(f"g{c}", F.explode(F.array(*[F.col(f"g{c}") + m for m in (-1, 0, 1)])))
         same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("cell_id", "gx", "gy", "gz")]
-        pairs = ask.alias("a").join(home.alias("b"), [*same, F.col("a.row_id") != F.col("b.row_id")]).select(F.col("a.row_id").alias("row_id"), F.col("b.row_id").alias("near_id"), _square("a", "b").alias("dist2")).where(F.col("dist2") <= radius * radius)
+        pairs = ask.alias("a").join(home.alias("b"), [*same, F.col("a.row_id") != F.col("b.row_id")]).select(F.col("a.row_id").alias("row_id"), F.col("b.row_id").alias("near_id"), (F.col("a.span") <= radius).alias("whole"), _square("a", "b").alias("dist2")).where(F.col("dist2") <= radius * radius)
         if apart:
             pairs = pairs.where("dist2 > 0")
-        top = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("row_id").orderBy("dist2", "near_id"))).where(F.col("rank") <= k)
-        if last:
-            return top if found is None else found.unionByName(top)
-        top = cut_lineage(top)
-        full = top.where(F.col("rank") == k).select("row_id")
-        done = top.join(full, "row_id", "left_semi")
+        top = cut_lineage(pairs.withColumn("rank", F.row_number().over(Window.partitionBy("row_id").orderBy("dist2", "near_id"))).where(F.col("rank") <= k))
+        # Done are those that found k, and those whose cell the radius spans.
+        full = top.where((F.col("rank") == k) | F.col("whole")).select("row_id").distinct()
+        done = top.join(full, "row_id", "left_semi").drop("whole")
         found = done if found is None else found.unionByName(done)
-        todo = cut_lineage(todo.join(full, "row_id", "left_anti"))
+        todo = cut_lineage(todo.where(F.col("span") > radius).join(full, "row_id", "left_anti"))
         if todo.isEmpty():
             return found
         radius *= growth

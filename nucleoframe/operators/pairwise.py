@@ -14,13 +14,17 @@ def intra_contacts(spots: DataFrame, states: DataFrame, resolution: int, thresho
     """Per state (and ``all``), chromosome and bin pair: traces sampled, contact frequency and its variance.
 
     A sample is a trace. c counts spot pairs within the threshold, n all spot pairs of the bins;
-    absent pairs count 0, so means are sums over the number of samples with any pair at all.
+    absent pairs count 0, so means are sums over the number of samples with any pair at all. Pairs that are only present
+    together are products of the bins' counts in a trace; only those within the threshold are joined, over a grid.
     """
-    s = spots.join(states, "cell_id").withColumn("bin", F.floor(F.col("start_bp") / resolution).cast("int"))
-    a, b = s.alias("a"), s.alias("b")
+    s = spots.select("row_id", *TRACE_KEY, "x", "y", "z", F.floor(F.col("start_bp") / resolution).cast("int").alias("bin"))
+    bins = s.groupBy(*TRACE_KEY, "bin").agg(F.count(F.lit(1)).alias("k"))
+    a, b = bins.alias("a"), bins.alias("b")
     same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in TRACE_KEY]
-    pairs = a.join(b, [*same, F.col("a.bin") < F.col("b.bin")])
-    sample = pairs.groupBy(*[F.col(f"a.{c}").alias(c) for c in TRACE_KEY], F.col("a.state").alias("state"), F.col("a.bin").alias("bin1"), F.col("b.bin").alias("bin2")).agg(F.count(F.lit(1)).alias("n"), F.count_if(distance("a", "b") <= threshold).alias("c"))
+    none, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+    both = a.join(b, [*same, F.col("a.bin") < F.col("b.bin")]).select(*[F.col(f"a.{c}").alias(c) for c in TRACE_KEY], F.col("a.bin").alias("bin1"), F.col("b.bin").alias("bin2"), (F.col("a.k") * F.col("b.k")).alias("n"), none.alias("c"))
+    near = grid_pairs(s, threshold, TRACE_KEY, ["bin"]).where("a.bin <> b.bin").select(*[F.col(f"a.{c}").alias(c) for c in TRACE_KEY], F.least("a.bin", "b.bin").alias("bin1"), F.greatest("a.bin", "b.bin").alias("bin2"), none.alias("n"), one.alias("c"))
+    sample = both.unionByName(near).groupBy(*TRACE_KEY, "bin1", "bin2").agg(F.sum("n").alias("n"), F.sum("c").alias("c")).join(states, "cell_id")
     both = sample.select("*", F.explode(F.array("state", F.lit("all"))).alias("group")).where("group IS NOT NULL")
     total = both.select("group", *TRACE_KEY).distinct().groupBy("group", "chrom").agg(F.count(F.lit(1)).alias("nsamples"))
     sums = both.groupBy("group", "chrom", "bin1", "bin2").agg(*[F.sum(e).cast("double").alias(k) for k, e in (("n", F.col("n")), ("c", F.col("c")), ("nn", F.col("n") * F.col("n")), ("cc", F.col("c") * F.col("c")))])
@@ -81,7 +85,10 @@ def inter_contacts(spots: DataFrame, states: DataFrame, resolution: int, thresho
     bins = s.groupBy("cell_id", "chrom", "bin").agg(F.count(F.lit(1)).alias("k"))
     a, b = bins.alias("a"), bins.alias("b")
     both = a.join(b, [F.col("a.cell_id") == F.col("b.cell_id"), F.col("a.chrom") < F.col("b.chrom")]).select(F.col("a.cell_id").alias("cell_id"), *_ends(), (F.col("a.k") * F.col("b.k")).alias("n"), F.lit(0).cast("bigint").alias("c"))
-    near = grid_pairs(s, threshold, ["cell_id"]).where(F.col("a.chrom") < F.col("b.chrom")).select(F.col("a.cell_id").alias("cell_id"), *_ends(), F.lit(0).cast("bigint").alias("n"), F.lit(1).cast("bigint").alias("c"))
+    pairs = grid_pairs(s, threshold, ["cell_id"], ["chrom", "bin"]).where(F.col("a.chrom") != F.col("b.chrom"))
+    ordered = F.col("a.chrom") < F.col("b.chrom")
+    ends = [F.when(ordered == first, F.col(f"a.{c}")).otherwise(F.col(f"b.{c}")).alias(f"{c}{i}") for i, first in ((1, True), (2, False)) for c in ("chrom", "bin")]
+    near = pairs.select(F.col("a.cell_id").alias("cell_id"), *ends, F.lit(0).cast("bigint").alias("n"), F.lit(1).cast("bigint").alias("c"))
     known = both.unionByName(near).groupBy("cell_id", "chrom1", "bin1", "chrom2", "bin2").agg(F.sum("n").alias("n"), F.sum("c").alias("c")).join(states, "cell_id")
     each = known.select("*", F.explode(F.array("state", F.lit("all"))).alias("group")).where("group IS NOT NULL")
     out = each.groupBy("group", "chrom1", "bin1", "chrom2", "bin2").agg(F.sum("n").alias("n"), F.sum("c").alias("c"))

@@ -122,3 +122,67 @@ def near_or_inside(
         yield from probe(batches)
 
     return placed.groupBy("leaf").applyInArrow(found, _FOUND)
+
+
+_SPOT = "leaf int, id bigint, key bigint, chrom bigint, trace bigint, start bigint, source boolean, x double, y double, z double"
+_SUMS = "id bigint, n bigint, inter bigint, trans bigint, far bigint, same_place bigint, distance double, kernel double"
+
+
+def _sums(tree: Quadtree, radius: float, far: int, sigma: float):
+    """Sums over the neighbours of each point that the pairs of one leaf give: a pair belongs to the leaf of its middle."""
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(list(batches))
+        leaf = t.column("leaf")[0].as_py()
+        points = np.column_stack([t.column(c).to_numpy() for c in "xyz"])
+        cell = np.unique(t.column("key").to_numpy(), return_inverse=True)[1]
+        order = z_order(points, cell)
+        points, cell = points[order], cell[order]
+        ids, chrom, trace, start, source = (t.column(c).to_numpy(zero_copy_only=False)[order] for c in ("id", "chrom", "trace", "start", "source"))
+        out = np.zeros((7, len(ids)))
+        for i, j, d2 in PackedTree(points).pairs_within(radius, cell):
+            mine = (tree.leaf_of((points[i, 0] + points[j, 0]) / 2, (points[i, 1] + points[j, 1]) / 2) == leaf) & (d2 < radius * radius)
+            i, j, d2 = i[mine], j[mine], d2[mine]
+            other = chrom[i] != chrom[j]
+            d = np.sqrt(d2)
+            apart = d > 0
+            values = [np.ones(len(i)), other, other | (trace[i] != trace[j]), ~other & (np.abs(start[i] - start[j]) >= far), ~apart, d, np.where(apart, np.exp(-d2 / (2 * sigma * sigma)), 0.0)]
+            for me, it in ((i, j), (j, i)):
+                seen = source[it]
+                for k, v in enumerate(values):
+                    out[k] += np.bincount(me[seen], v[seen], len(ids))
+        met = np.nonzero(out[0])[0]
+        if len(met):
+            yield pa.RecordBatch.from_arrays([pa.array(ids[met]), *[pa.array(out[k][met].astype(np.int64)) for k in range(5)], pa.array(out[5][met]), pa.array(out[6][met])], names=["id", "n", "inter", "trans", "far", "same_place", "distance", "kernel"])
+
+    return sums
+
+
+def neighbour_sums(spots: DataFrame, radius: float, far: int, sigma: float, source: Column | None = None, leaf_points: int = LEAF_POINTS) -> DataFrame:
+    """Per spot (row_id) sums over the other spots of its cell closer than ``radius``.
+
+    n, of another chromosome (inter), of another chromosome or trace (trans), of the same chromosome from
+    ``far`` on, at the same place, the sum of distances, and of exp(-d2 / 2 sigma2) over those apart. Only spots for which
+    ``source`` holds are counted. Spots without a neighbour have no row. Pairs are folded where they are found, over
+    quadtree leaves with an R-tree each, so that no pair is shuffled.
+    """
+    rows = spots.where("x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL AND cell_id IS NOT NULL").select(
+        F.col("row_id").alias("id"), F.xxhash64("cell_id").alias("key"), F.xxhash64("chrom").alias("chrom"), F.xxhash64("trace_id").alias("trace"), F.coalesce("start_bp", F.lit(0)).alias("start"),
+        (F.lit(True) if source is None else F.coalesce(source, F.lit(False))).alias("source"), "x", "y", "z"
+    )
+    margin = radius / 2 * (1 + 1e-9) + 1e-9
+    tree = plan_quadtree(rows, margin, leaf_points)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, leaves = tree.leaves_near(batch.column("x").to_numpy(), batch.column("y").to_numpy(), margin)
+            out = batch.take(pa.array(at))
+            yield pa.RecordBatch.from_arrays([pa.array(leaves.astype(np.int32)), *out.columns], names=["leaf", *batch.schema.names])
+
+    work = _sums(tree, radius, far, sigma)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+
+    found = rows.mapInArrow(place, _SPOT).groupBy("leaf").applyInArrow(fold, _SUMS)
+    return found.groupBy(F.col("id").alias("row_id")).agg(*[F.sum(c).alias(c) for c in ("n", "inter", "trans", "far", "same_place", "distance", "kernel")])

@@ -78,25 +78,28 @@ def homologue_proximity(spots: DataFrame, threshold: float) -> DataFrame:
     cell's spots are all paired."""
     valid = spots.where(~is_noisy(F.col("trace_id")))
     several = valid.groupBy("cell_id", "chrom").agg(F.count_distinct("trace_id").alias("n")).where("n >= 2").select("cell_id", "chrom")
-    near = grid_pairs(valid.join(several, ["cell_id", "chrom"]), threshold, ["cell_id", "chrom"]).where(F.col("a.trace_id") != F.col("b.trace_id"))
+    near = grid_pairs(valid.join(several, ["cell_id", "chrom"]), threshold, ["cell_id", "chrom"], ["trace_id"]).where(F.col("a.trace_id") != F.col("b.trace_id"))
     hits = near.select(F.col("a.cell_id").alias("cell_id"), F.col("a.chrom").alias("chrom")).distinct().withColumn("hit", F.lit(1))
     return several.join(hits, ["cell_id", "chrom"], "left").groupBy("chrom").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("share"), F.count(F.lit(1)).alias("n_cells"))
 
 
-def grid_pairs(spots: DataFrame, radius: float, key: list[str]) -> DataFrame:
-    """Pairs a, b of different spots with equal keys at most ``radius`` apart, in both directions.
+#: A grid cell itself and those of its neighbours that come behind it.
+_HALF = [(0, 0, 0)] + [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1) if (i, j, k) > (0, 0, 0)]
 
-    Each spot is sent to its own and the 26 neighbouring cells of a grid as wide as the radius;
-    the join is an equi-join on key and grid cell.
+
+def grid_pairs(spots: DataFrame, radius: float, key: list[str], columns: list[str]) -> DataFrame:
+    """Pairs a, b of different spots with equal keys at most ``radius`` apart, each once.
+
+    A spot waits in its cell of a grid as wide as the radius and asks there and in the 13
+    neighbouring cells behind it; the join is an equi-join on key and grid cell. Only the key, the id, the place and
+    ``columns`` are carried.
     """
-    cell = [F.floor(F.col(c) / radius) for c in "xyz"]
-    home = spots.select("*", *[g.alias(f"g{c}") for g, c in zip(cell, "xyz")])
-    moves = F.array(*[F.lit(k) for k in (-1, 0, 1)])
-    away = home
-    for c in "xyz":
-        away = away.select("*", F.explode(moves).alias("m")).withColumn(f"g{c}", F.col(f"g{c}") + F.col("m")).drop("m")
+    thin = spots.select(*dict.fromkeys([*key, "row_id", "x", "y", "z", *columns]), *[F.floor(F.col(c) / radius).alias(f"g{c}") for c in "xyz"])
+    moves = F.array(*[F.struct(*[F.lit(v).alias(f"m{c}") for c, v in zip("xyz", m)]) for m in _HALF])
+    asking = thin.select("*", F.inline(moves)).withColumns({f"g{c}": F.col(f"g{c}") + F.col(f"m{c}") for c in "xyz"})
+    at_home = (F.col("b.mx") == 0) & (F.col("b.my") == 0) & (F.col("b.mz") == 0)
     same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in [*key, "gx", "gy", "gz"]]
-    return home.alias("a").join(away.alias("b"), [*same, F.col("a.row_id") != F.col("b.row_id")]).withColumn("dist", distance("a", "b")).where(F.col("dist") <= radius)
+    return thin.alias("a").join(asking.alias("b"), [*same, ~at_home | (F.col("a.row_id") < F.col("b.row_id"))]).withColumn("dist", distance("a", "b")).where(F.col("dist") <= radius)
 
 
 def projection(spots: DataFrame, resolution: int) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from nucleoframe.model import clean_state
 from nucleoframe.operators import cycle, features, matrices, nearest, pairwise
-from nucleoframe.plans.reference import _C, _CT, _M, _N, _PLACED, _S, COARSE, RADIUS, K, _cells, _counts, _cube, _r, _spots
+from nucleoframe.plans.reference import _C, _CT, _M, _N, _PLACED, _S, COARSE, RADIUS, _cells, _counts, _cube, _means, _of_loci, _r, _spots
 from nucleoframe.session import shared_checkpoint_dir, table
 from nucleoframe.sources import markers
 from nucleoframe.streaming import ingest
@@ -36,8 +36,8 @@ def _tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Neighbours and bodies
-_add("j10_closest", lambda k, d: nearest.closest(_spots(k, d), 5).select("row_id", *_r("value")),
-     f"WITH {_S}, m AS (SELECT a.row_id, min(sqrt{_D2}, 5) AS ds FROM s a JOIN s b ON a.cell_id = b.cell_id AND a.row_id <> b.row_id AND {_D2} > 0 GROUP BY 1) SELECT row_id, round(list_avg(ds), 6) AS value FROM m")
+_add("j10_closest", lambda k, d: _means(k, d, nearest.closest(_spots(k, d), 5)),
+     _of_loci(f"SELECT row_id, list_avg(ds) AS value FROM (SELECT a.row_id, min(sqrt{_D2}, 5) AS ds FROM s a JOIN s b ON a.cell_id = b.cell_id AND a.row_id <> b.row_id AND {_D2} > 0 GROUP BY 1)"))
 _add("k15_composition", lambda k, d: nearest.composition(_spots(k, d), _tracks(k, d), [5, 25]).select("track", "near_track", "k", "n_spots", *_r("raw", "copies")),
      f"""WITH {_S}, t AS (SELECT chrom, 0 AS lo, length_bp // 2 AS hi, 'front' AS track FROM genome UNION ALL SELECT chrom, length_bp // 2, length_bp, 'back' FROM genome), q AS (SELECT row_id, s.chrom, trace_id, track FROM s JOIN t ON s.chrom = t.chrom AND start_bp >= lo AND start_bp < hi),
  n AS (SELECT a.row_id, unnest(min(struct_pack(d := {_D2}, near_id := b.row_id), 25)) AS e, unnest(range(1, 26)) AS r FROM s a JOIN s b ON a.cell_id = b.cell_id AND a.row_id <> b.row_id GROUP BY 1), k AS (SELECT unnest([5, 25]) AS k),
@@ -46,12 +46,12 @@ _add("k15_composition", lambda k, d: nearest.composition(_spots(k, d), _tracks(k
 SWEEP = [25, 50, 100, 250, 500]
 _add("k15_sweep", lambda k, d: nearest.composition(_spots(k, d), _tracks(k, d), SWEEP).select("track", "near_track", "k", "n_spots", *_r("raw", "copies")),
      ORACLES["k15_composition"].replace("[5, 25]", str(SWEEP)).replace("row_id), 25)", "row_id), 500)").replace("range(1, 26)", "range(1, 501)"))
-_add("j5_bodies", lambda k, d: features.body_distance(_spots(k, d), table(k, d, "bodies"), 1.0).select("row_id", *_r("closest", "tsa")),
-     f"WITH {_S}, q AS (SELECT row_id, sqrt(power(greatest(x_lo - x, x - x_hi, 0), 2) + power(greatest(y_lo - y, y - y_hi, 0), 2) + power(greatest(z_lo - z, z - z_hi, 0), 2)) AS d FROM s JOIN bodies USING (cell_id) WHERE x_lo IS NOT NULL AND x_hi IS NOT NULL AND y_lo IS NOT NULL AND y_hi IS NOT NULL AND z_lo IS NOT NULL AND z_hi IS NOT NULL) SELECT row_id, round(min(d), 6) AS closest, round(avg(exp(-d)), 6) AS tsa FROM q GROUP BY 1")
+_add("j5_bodies", lambda k, d: features.placed(_spots(k, d), table(k, d, "loci")).select("cell_id", "locus", "copy", "row_id").join(features.body_distance(_spots(k, d), table(k, d, "bodies"), 1.0), "row_id").groupBy("cell_id", "locus", "copy").agg(*[F.round(F.avg(c), 6).alias(c) for c in ("closest", "tsa")]),
+     f"WITH {_PLACED}, q AS (SELECT row_id, sqrt(power(greatest(x_lo - x, x - x_hi, 0), 2) + power(greatest(y_lo - y, y - y_hi, 0), 2) + power(greatest(z_lo - z, z - z_hi, 0), 2)) AS d FROM s JOIN bodies USING (cell_id) WHERE x_lo IS NOT NULL AND x_hi IS NOT NULL AND y_lo IS NOT NULL AND y_hi IS NOT NULL AND z_lo IS NOT NULL AND z_hi IS NOT NULL), u AS (SELECT row_id, min(d) AS closest, avg(exp(-d)) AS tsa FROM q GROUP BY 1) SELECT cell_id, locus, copy, round(avg(closest), 6) AS closest, round(avg(tsa), 6) AS tsa FROM p JOIN u USING (row_id) GROUP BY ALL")
 _V = f"{_PLACED}, {_M}, v AS (SELECT p.row_id, p.cell_id, p.x, p.y, p.z, m.value FROM p LEFT JOIN m ON m.cell_id = p.cell_id AND m.locus = p.locus AND m.copy_no = p.copy)"
 _add("c3_feature_of_spots", lambda k, d: features.of_spots(_spots(k, d), table(k, d, "loci"), _cube(k, d)).select("row_id", *_r("value")), f"WITH {_V} SELECT row_id, round(value, 6) AS value FROM v")
-_add("j19_smoothed_in_space", lambda k, d: features.smoothed_in_space(features.of_spots(_spots(k, d), table(k, d, "loci"), _cube(k, d)), RADIUS).select("row_id", *_r("value")),
-     f"WITH {_V} SELECT a.row_id, round(avg(b.value), 6) AS value FROM v a JOIN v b ON a.cell_id = b.cell_id AND (a.row_id = b.row_id OR sqrt{_D2} < 0.6) GROUP BY 1")
+_add("j19_smoothed_in_space", lambda k, d: _means(k, d, features.smoothed_in_space(features.of_spots(_spots(k, d), table(k, d, "loci"), _cube(k, d)), RADIUS)),
+     f"WITH {_V}, w AS (SELECT a.row_id, avg(b.value) AS value FROM v a JOIN v b ON a.cell_id = b.cell_id AND (a.row_id = b.row_id OR sqrt{_D2} < 0.6) GROUP BY 1) SELECT p.cell_id, locus, copy, round(avg(w.value), 6) AS value FROM p JOIN w USING (row_id) GROUP BY ALL")
 
 # Maps of contacts
 _add("k9_inter_contacts", lambda k, d: pairwise.inter_contacts(_spots(k, d), _cells(k, d).select("cell_id", "state"), COARSE, RADIUS).select("state", "chrom1", "bin1", "chrom2", "bin2", "n", "c", *_r("f")),
@@ -63,32 +63,36 @@ def _maps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _add("k13_rescaled", lambda k, d: pairwise.rescaled(_maps(k, d)).select("state", "chrom", "bin1", "bin2", "nsamples", *_r("f", "f_var")),
-     f"WITH {_CT}, r AS (SELECT state, (SELECT avg(f) FROM f WHERE state = 'all') / avg(f) AS r FROM f GROUP BY 1 HAVING avg(f) <> 0) SELECT f.state, chrom, bin1, bin2, nsamples, round(f * r, 6) AS f, round(f_var * r * r, 6) AS f_var FROM f LEFT JOIN r ON r.state = f.state")
+     f"WITH {_CT}, r AS (SELECT state, (SELECT avg(f) FROM f WHERE state = 'all') / avg(f) AS r FROM f GROUP BY 1 HAVING avg(f) <> 0) SELECT f.state, chrom, bin1, bin2, nsamples, round(f * r, 6) AS f, round(f_var * r * r, 6) + 0.0 AS f_var FROM f LEFT JOIN r ON r.state = f.state")
 _add("l11_adjusted_correlation", lambda k, d: pairwise.adjusted_correlation(_maps(k, d), "G1", "S", 20).select(*_r("r"), "n_distances"),
      f"WITH {_CT}, y AS (SELECT count(*) AS n, CASE WHEN stddev_pop(a.f) > 0 AND stddev_pop(b.f) > 0 THEN corr(a.f, b.f) END AS r FROM f a JOIN f b USING (chrom, bin1, bin2) WHERE a.state = 'G1' AND b.state = 'S' GROUP BY bin2 - bin1) SELECT round(avg(r), 6) AS r, count(*) AS n_distances FROM y WHERE n >= 20 AND r IS NOT NULL")
 QUERIES["k12_compartments"] = lambda k, d: pairwise.compartments(_maps(k, d), _spots(k, d).groupBy("chrom", F.floor(F.col("start_bp") / COARSE).cast("int").alias("bin")).agg(F.avg("lum").alias("density")))
 
 # Cell cycle
-_E6 = f"{_N}, {_C}, per AS (SELECT cell_id, count(value) AS ns, sum(value) AS s, count_if(value = 0) AS z FROM n GROUP BY 1), pv AS (SELECT cell_id, state, volume, row_number() OVER (ORDER BY volume, cell_id) AS r, sum(ns) OVER w AS ns, sum(s) OVER w AS s, sum(z) OVER w AS z FROM c JOIN per USING (cell_id) WHERE volume IS NOT NULL WINDOW w AS (ORDER BY volume, cell_id ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING)), pm AS (SELECT cell_id, state, volume, r, CAST(ns AS BIGINT) AS nsamples, {_SAFE.format('s', 'ns')} AS n, {_SAFE.format('z', 'ns')} AS f FROM pv)"
+_E6 = f"{_N}, per AS (SELECT cell_id, count(value) AS ns, sum(value) AS s, count_if(value = 0) AS z FROM n GROUP BY 1), pv AS (SELECT cell_id, state, volume, row_number() OVER (ORDER BY volume, cell_id) AS r, sum(ns) OVER w AS ns, sum(s) OVER w AS s, sum(z) OVER w AS z FROM c JOIN per USING (cell_id) WHERE volume IS NOT NULL WINDOW w AS (ORDER BY volume, cell_id ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING)), pm AS (SELECT cell_id, state, volume, r, CAST(ns AS BIGINT) AS nsamples, {_SAFE.format('s', 'ns')} AS n, {_SAFE.format('z', 'ns')} AS f FROM pv)"
 _add("e6_pooled_by_volume", lambda k, d: cycle.pooled_by_volume(_counts(k, d).drop("state"), _cells(k, d), WINDOW_CELLS).select("cell_id", "r", "nsamples", *_r("n", "f")), f"WITH {_E6} SELECT cell_id, r, nsamples, round(n, 6) AS n, round(f, 6) AS f FROM pm")
 _OWN = "CASE state WHEN 'G1' THEN 1 - f WHEN 'G2' THEN 1 - sqrt(f) END"
 _add("l6_per_cell", lambda k, d: cycle.per_cell(_counts(k, d).drop("state"), _cells(k, d), LEAST_VOLUME, WINDOW_CELLS).select("cell_id", "state", "nsamples", *_r("n", "f", "eps", "p", "beta")),
-     f"WITH {_E6}, a AS (SELECT avg({_OWN}) FILTER (state = 'G1') AS e1, avg({_OWN}) FILTER (state = 'G2') AS e2, avg(volume) FILTER (state = 'G1') AS v1, avg(volume) FILTER (state = 'G2') AS v2 FROM pm WHERE volume > 400), e AS (SELECT pm.*, coalesce({_OWN}, e1 + (e2 - e1) * greatest(0.0, least(1.0, (volume - v1) / (v2 - v1)))) AS eps FROM pm, a), p AS (SELECT *, CASE WHEN eps * (1 - eps) <> 0 THEN (1 - eps - f) / (eps * (1 - eps)) END AS p FROM e) SELECT cell_id, state, nsamples, round(n, 6) AS n, round(f, 6) AS f, round(eps, 6) AS eps, round({_CLIP.format('p')}, 6) AS p, round(CASE WHEN (1 + p) * eps <> 0 THEN n / ((1 + p) * eps) END, 6) AS beta FROM p")
+     f"WITH {_E6}, a AS (SELECT avg({_OWN}) FILTER (state = 'G1') AS e1, avg({_OWN}) FILTER (state = 'G2') AS e2, avg(volume) FILTER (state = 'G1') AS v1, avg(volume) FILTER (state = 'G2') AS v2 FROM pm WHERE volume > 400), e AS (SELECT pm.*, coalesce({_OWN}, e1 + (e2 - e1) * greatest(0.0, least(1.0, (volume - v1) / (v2 - v1)))) AS eps FROM pm, a), sv AS (SELECT *, CASE WHEN eps * (1 - eps) <> 0 THEN (1 - eps - f) / (eps * (1 - eps)) END AS p FROM e) SELECT cell_id, state, nsamples, round(n, 6) AS n, round(f, 6) AS f, round(eps, 6) AS eps, round({_CLIP.format('p')}, 6) AS p, round(CASE WHEN (1 + p) * eps <> 0 THEN n / ((1 + p) * eps) END, 6) AS beta FROM sv")
 
 
-def _z_counts(spark: SparkSession, sf_dir: str, quantiles: int = 4) -> DataFrame:
-    m = table(spark, sf_dir, "sc_repliseq").select(F.col("cellids").alias("cell_id"), "chrom", "locus", "copy_no", F.col("z").alias("value"), "states", "locale_no")
-    q = matrices.quantised(m.where("NOT isnan(value) AND trim(cell_id) <> ''"), quantiles)
-    return q.select("q", "chrom", clean_state(F.col("states")).alias("state"), F.when(F.col("locale_no") >= 0, F.col("locale_no")).cast("double").alias("value"))
+def _feature_counts(spark: SparkSession, sf_dir: str, quantiles: int = 4) -> DataFrame:
+    """Spot counts with the quantile, in its cell, of a feature of their locus: the height, interpolated where there is no spot."""
+    spots, loci = _spots(spark, sf_dir), table(spark, sf_dir, "loci")
+    height = features.height(spots, loci).withColumnRenamed("copy", "copy_no")
+    whole = features.grid(spots, loci).withColumnRenamed("copy", "copy_no").join(height, ["cell_id", "locus", "copy_no"], "left")
+    filled = matrices.interpolated(whole).select("cell_id", "chrom", "locus", "copy_no", F.round("filled", 9).alias("value"))
+    q = matrices.quantised(filled, quantiles).select("cell_id", "locus", F.col("copy_no").alias("copy"), "q")
+    return _counts(spark, sf_dir).join(q, ["cell_id", "locus", "copy"])
 
 
-_ZQ = "e AS (SELECT cellids, quantile_cont(z, [0.25, 0.5, 0.75]) AS e FROM sc_repliseq WHERE trim(cellids) <> '' AND CAST(z AS VARCHAR) <> 'nan' GROUP BY 1), n AS (SELECT CAST(z >= e[1] AS INTEGER) + CAST(z >= e[2] AS INTEGER) + CAST(z >= e[3] AS INTEGER) AS q, STATE AS state, CAST(CASE WHEN locale_no >= 0 THEN locale_no END AS DOUBLE) AS value FROM sc_repliseq JOIN e USING (cellids) WHERE CAST(z AS VARCHAR) <> 'nan' AND chrom NOT IN ('chrX', 'chrY'))"
+_FILLED = "hm AS (SELECT g.cell_id, g.chrom, g.locus, g.copy, avg(p.z) AS value FROM gr g LEFT JOIN p ON p.cell_id = g.cell_id AND p.locus = g.locus AND p.copy = g.copy GROUP BY ALL), ha AS (SELECT *, max(CASE WHEN value IS NOT NULL THEN locus END) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS l, min(CASE WHEN value IS NOT NULL THEN locus END) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS r FROM hm WINDOW w AS (PARTITION BY cell_id, chrom, copy ORDER BY locus)), hf AS (SELECT a.cell_id, a.locus, a.copy, round(coalesce(a.value, x.value + (y.value - x.value) * ((a.locus - a.l) / (a.r - a.l)), x.value, y.value), 9) AS value FROM ha a LEFT JOIN hm x ON x.cell_id = a.cell_id AND x.chrom = a.chrom AND x.copy = a.copy AND x.locus = a.l LEFT JOIN hm y ON y.cell_id = a.cell_id AND y.chrom = a.chrom AND y.copy = a.copy AND y.locus = a.r)"
+_ZQ = f"{_N.replace('n AS (SELECT cell_id', 'n0 AS (SELECT cell_id')}, {_FILLED}, e AS (SELECT cell_id, quantile_cont(value, [0.25, 0.5, 0.75]) AS e FROM hf GROUP BY 1), n AS (SELECT CAST(hf.value >= e[1] AS INTEGER) + CAST(hf.value >= e[2] AS INTEGER) + CAST(hf.value >= e[3] AS INTEGER) AS q, state, n0.value FROM n0 JOIN hf USING (cell_id, locus, copy) JOIN e USING (cell_id) WHERE hf.value IS NOT NULL AND chrom NOT IN ('chrX', 'chrY'))"
 _MOM = "avg(value) AS n, avg(CASE WHEN value IS NULL THEN NULL WHEN value = 0 THEN 1.0 ELSE 0.0 END) AS f"
-_STATES = _N.split("locus, ")[1].split(" AS state")[0]
-_add("l4_by_quantile", lambda k, d: cycle.by_quantile(cycle.without_sex_chromosomes(_z_counts(k, d)).where("state IS NOT NULL"), "q").select("q", *_r("n", "f", "eps", "p")),
-     f"WITH {_ZQ.replace('STATE AS', _STATES + ' AS')}, a AS (SELECT q, state, {_MOM} FROM n WHERE state IS NOT NULL GROUP BY 1, 2), g AS (SELECT q, avg({_OWN}) AS es FROM a GROUP BY 1), w AS (SELECT state, {_MOM} FROM n WHERE state IS NOT NULL GROUP BY 1), ws AS (SELECT avg({_OWN}) AS es FROM w), ps AS (SELECT greatest(0.0, least(1.0, (1 - es - f) / (es * (1 - es)))) AS p FROM w, ws WHERE state = 'S'), r AS (SELECT q, n, f, es, greatest(0.0, least(1.0, (1 - es - f) / (es * (1 - es)))) AS p FROM a JOIN g USING (q) WHERE state = 'S') SELECT q, round(n, 6) AS n, round(f, 6) AS f, round(es, 6) AS eps, round(r.p + ps.p - (SELECT avg(p) FROM r), 6) AS p FROM r, ps")
-_add("l4_by_twentieth", lambda k, d: cycle.by_quantile(cycle.without_sex_chromosomes(_z_counts(k, d, 20)).where("state IS NOT NULL"), "q").select("q", *_r("n", "f", "eps", "p")),
-     ORACLES["l4_by_quantile"].replace("[0.25, 0.5, 0.75]", str([q / 20 for q in range(1, 20)])).replace("CAST(z >= e[1] AS INTEGER) + CAST(z >= e[2] AS INTEGER) + CAST(z >= e[3] AS INTEGER)", " + ".join(f"CAST(z >= e[{q}] AS INTEGER)" for q in range(1, 20))))
+_add("l4_by_quantile", lambda k, d: cycle.by_quantile(cycle.without_sex_chromosomes(_feature_counts(k, d)).where("state IS NOT NULL"), "q").select("q", *_r("n", "f", "eps", "p")),
+     f"WITH {_ZQ}, a AS (SELECT q, state, {_MOM} FROM n WHERE state IS NOT NULL GROUP BY 1, 2), g AS (SELECT q, avg({_OWN}) AS es FROM a GROUP BY 1), w AS (SELECT state, {_MOM} FROM n WHERE state IS NOT NULL GROUP BY 1), ws AS (SELECT avg({_OWN}) AS es FROM w), ps AS (SELECT greatest(0.0, least(1.0, (1 - es - f) / (es * (1 - es)))) AS p FROM w, ws WHERE state = 'S'), r AS (SELECT q, n, f, es, greatest(0.0, least(1.0, (1 - es - f) / (es * (1 - es)))) AS p FROM a JOIN g USING (q) WHERE state = 'S') SELECT q, round(n, 6) AS n, round(f, 6) AS f, round(es, 6) AS eps, round(r.p + ps.p - (SELECT avg(p) FROM r), 6) AS p FROM r, ps")
+_add("l4_by_twentieth", lambda k, d: cycle.by_quantile(cycle.without_sex_chromosomes(_feature_counts(k, d, 20)).where("state IS NOT NULL"), "q").select("q", *_r("n", "f", "eps", "p")),
+     ORACLES["l4_by_quantile"].replace("[0.25, 0.5, 0.75]", str([q / 20 for q in range(1, 20)])).replace("CAST(hf.value >= e[1] AS INTEGER) + CAST(hf.value >= e[2] AS INTEGER) + CAST(hf.value >= e[3] AS INTEGER)", " + ".join(f"CAST(hf.value >= e[{q}] AS INTEGER)" for q in range(1, 20))))
 _add("l7_masked", lambda k, d: cycle.masked(_counts(k, d), (F.col("chrom") == "chr1") & (F.col("state").isNotNull())).select("state", "nsamples", *_r("n", "n_var", "f")),
      f"WITH {_N} SELECT state, count(value) AS nsamples, round(avg(value), 6) AS n, round(var_samp(value) / count(value), 6) AS n_var, round(avg(CASE WHEN value = 0 THEN 1.0 WHEN value IS NOT NULL THEN 0.0 END), 6) AS f FROM n WHERE chrom = 'chr1' AND state IS NOT NULL GROUP BY 1")
 _add("l10_biased_timing", lambda k, d: cycle.biased_timing(_counts(k, d)).select("chrom", "locus", *_r("rt")), f"WITH {_N} SELECT chrom, locus, round(CASE WHEN avg(value) <> 0 THEN sum(CASE WHEN state = 'S' THEN value END) / avg(value) END, 6) AS rt FROM n GROUP BY 1, 2")
@@ -101,7 +105,7 @@ def _profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 _add("l11_correlations", lambda k, d: cycle.correlations(_profiles(k, d).select("chrom", F.round("rt", 9).alias("rt"), F.round("t", 9).alias("t")), ["chrom"], "rt", "t").select("chrom", "n", *_r("pearson", "spearman")),
      "WITH p AS (SELECT chrom, locus, round(avg(CASE WHEN CAST(rt AS VARCHAR) <> 'nan' THEN rt END), 9) AS rt, round(avg(CASE WHEN CAST(t AS VARCHAR) <> 'nan' THEN t END), 9) AS t FROM sc_repliseq GROUP BY 1, 2), r AS (SELECT chrom, rt, t, rank() OVER (PARTITION BY chrom ORDER BY rt) + (count(*) OVER (PARTITION BY chrom, rt) - 1) / 2 AS a, rank() OVER (PARTITION BY chrom ORDER BY t) + (count(*) OVER (PARTITION BY chrom, t) - 1) / 2 AS b FROM p WHERE rt IS NOT NULL AND t IS NOT NULL) SELECT chrom, count(*) AS n, round(corr(rt, t), 6) AS pearson, round(corr(a, b), 6) AS spearman FROM r GROUP BY 1")
 _add("l13_volume_splits", lambda k, d: cycle.volume_splits(_counts(k, d), _cells(k, d), _profiles(k, d), PARTS).select("g1", "g2", "n", *_r("r")),
-     f"WITH {_N}, {_C}, v AS (SELECT cell_id, CAST((row_number() OVER (ORDER BY volume, cell_id) - 1) * 10 // count(*) OVER () AS INTEGER) AS part FROM c WHERE volume IS NOT NULL), u AS (SELECT chrom, locus, part, sum(value) AS s, count(value) AS k FROM n JOIN v USING (cell_id) GROUP BY 1, 2, 3), g AS (SELECT a.range AS g1, b.range AS g2 FROM range(1, 5) a, range(1, 5) b), t AS (SELECT g1, g2, chrom, locus, sum(s) FILTER (part >= g1 AND part < 10 - g2) AS ss, sum(k) FILTER (part >= g1 AND part < 10 - g2) AS sk, sum(s) FILTER (part < g1 OR part >= 10 - g2) AS gs, sum(k) FILTER (part < g1 OR part >= 10 - g2) AS gk FROM u, g GROUP BY 1, 2, 3, 4), m AS (SELECT g1, g2, chrom, locus, CASE WHEN sk <> 0 AND gk <> 0 AND gs <> 0 THEN (ss / sk) / (gs / gk) END AS sim FROM t), p AS (SELECT chrom, locus, avg(CASE WHEN CAST(rt AS VARCHAR) <> 'nan' THEN rt END) AS rt FROM sc_repliseq GROUP BY 1, 2) SELECT CAST(g1 AS INTEGER) AS g1, CAST(g2 AS INTEGER) AS g2, count(*) AS n, round(corr(sim, rt), 6) AS r FROM m JOIN p USING (chrom, locus) WHERE sim IS NOT NULL AND rt IS NOT NULL GROUP BY 1, 2")
+     f"WITH {_N}, v AS (SELECT cell_id, CAST((row_number() OVER (ORDER BY volume, cell_id) - 1) * 10 // count(*) OVER () AS INTEGER) AS part FROM c WHERE volume IS NOT NULL), u AS (SELECT chrom, locus, part, sum(value) AS s, count(value) AS k FROM n JOIN v USING (cell_id) GROUP BY 1, 2, 3), g AS (SELECT a.range AS g1, b.range AS g2 FROM range(1, 5) a, range(1, 5) b), t AS (SELECT g1, g2, chrom, locus, sum(s) FILTER (part >= g1 AND part < 10 - g2) AS ss, sum(k) FILTER (part >= g1 AND part < 10 - g2) AS sk, sum(s) FILTER (part < g1 OR part >= 10 - g2) AS gs, sum(k) FILTER (part < g1 OR part >= 10 - g2) AS gk FROM u, g GROUP BY 1, 2, 3, 4), m AS (SELECT g1, g2, chrom, locus, CASE WHEN sk <> 0 AND gk <> 0 AND gs <> 0 THEN (ss / sk) / (gs / gk) END AS sim FROM t), tm AS (SELECT chrom, locus, avg(CASE WHEN CAST(rt AS VARCHAR) <> 'nan' THEN rt END) AS rt FROM sc_repliseq GROUP BY 1, 2) SELECT CAST(g1 AS INTEGER) AS g1, CAST(g2 AS INTEGER) AS g2, count(*) AS n, round(corr(sim, rt), 6) AS r FROM m JOIN tm USING (chrom, locus) WHERE sim IS NOT NULL AND rt IS NOT NULL GROUP BY 1, 2")
 _add("l22_position_sensitivity", lambda k, d: cycle.position_sensitivity(table(k, d, "sc_repliseq").where("locale_no >= 0").select("chrom", F.floor(F.col("locus") / BLOCK).cast("int").alias("locus"), F.col("locale_no").alias("locale"), "t", F.col("rt").alias("y"))).select("chrom", "locus", "n", "n_locales", F.round("sensitivity", 5).alias("sensitivity"), F.round("f_stat", 4).alias("f_stat")),
      "WITH q AS (SELECT chrom, locus // 20 AS b, locale_no AS l, t, rt AS y FROM sc_repliseq WHERE locale_no >= 0 AND t IS NOT NULL AND rt IS NOT NULL AND CAST(t AS VARCHAR) <> 'nan' AND CAST(rt AS VARCHAR) <> 'nan'), i AS (SELECT chrom, b, l, var_pop(t) * count(*) AS tt, var_pop(y) * count(*) AS yy, covar_pop(t, y) * count(*) AS ty FROM q GROUP BY 1, 2, 3), w AS (SELECT chrom, b, count(*) AS k, sum(yy) - sum(ty) * sum(ty) / sum(tt) AS f FROM i GROUP BY 1, 2), r AS (SELECT chrom, b, count(*) AS n, var_pop(y) * count(*) - covar_pop(t, y) * count(*) * covar_pop(t, y) * count(*) / (var_pop(t) * count(*)) AS r FROM q GROUP BY 1, 2) SELECT chrom, CAST(b AS INTEGER) AS locus, n, k AS n_locales, round(sqrt((r - f) / r), 5) AS sensitivity, round(((r - f) / (k - 1)) / (f / (n - k - 1)), 4) AS f_stat FROM r JOIN w USING (chrom, b) WHERE n >= 10 AND k >= 3 AND n - k - 1 > 0")
 _add("l22_loci", lambda k, d: cycle.position_sensitivity(table(k, d, "sc_repliseq").where("locale_no >= 0").select("chrom", "locus", F.col("locale_no").alias("locale"), "t", F.col("rt").alias("y"))).select("chrom", "locus", "n", "n_locales", F.round("sensitivity", 5).alias("sensitivity"), F.round("f_stat", 4).alias("f_stat")),

@@ -24,11 +24,20 @@ _STATE = f"CASE WHEN {_STATE} LIKE 'G1%' THEN 'G1' WHEN {_STATE} LIKE 'G2%' THEN
 _C = "c AS (SELECT cell_id, max(" + _STATE.format("state") + ") AS state, max(CASE WHEN CAST(volume AS VARCHAR) <> 'nan' THEN CAST(volume AS DOUBLE) END) AS volume FROM cells GROUP BY cell_id)"
 _M = "m AS (SELECT cellids AS cell_id, chrom, locus, copy_no, max(" + _STATE.format("states") + ") AS state, avg(CASE WHEN CAST(rt AS VARCHAR) <> 'nan' THEN rt END) AS value FROM sc_repliseq WHERE trim(cellids) <> '' GROUP BY ALL)"
 _M = _M.replace("GROUP BY ALL", "GROUP BY cellids, chrom, locus, copy_no")
-_N = "n AS (SELECT cellids AS cell_id, chrom, locus, " + _STATE.format("states") + " AS state, CAST(CASE WHEN locale_no >= 0 THEN locale_no END AS DOUBLE) AS value FROM sc_repliseq)"
 _COPY = "k AS (SELECT DISTINCT cell_id, chrom, trace_id, dense_rank() OVER (PARTITION BY cell_id, chrom ORDER BY trace_id) - 1 AS copy FROM s)"
 _PLACED = f"{_S}, {_COPY}, p AS (SELECT s.*, l.locus, k.copy FROM s JOIN loci l USING (chrom, start_bp, end_bp) JOIN k USING (cell_id, chrom, trace_id))"
 
 
+_GRID = "gr AS (SELECT cell_id, chrom, copy, locus FROM k JOIN loci USING (chrom))"
+_J1 = f"{_PLACED}, {_GRID}, j1 AS (SELECT g.cell_id, g.chrom, g.locus, g.copy, count(p.row_id) AS value FROM gr g LEFT JOIN p ON p.cell_id = g.cell_id AND p.locus = g.locus AND p.copy = g.copy GROUP BY ALL)"
+_N = f"{_J1}, {_C}, n AS (SELECT cell_id, chrom, locus, copy, state, CAST(value AS DOUBLE) AS value FROM j1 LEFT JOIN c USING (cell_id))"
+
+
+def _of_loci(values: str) -> str:
+    """SQL for the mean of spots' values (row_id, value) per cell, locus and copy."""
+    return f"WITH {_PLACED}, v AS ({values}) SELECT cell_id, locus, copy, round(avg(v.value), 6) AS value FROM p JOIN v USING (row_id) GROUP BY ALL"
+
+
 def _spots(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = clean_spots(table(spark, sf_dir, "spots"), table(spark, sf_dir, "genome"))
     return s.where("x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL AND start_bp IS NOT NULL AND chrom IS NOT NULL").withColumn("lum", F.when(~F.isnan("lum"), F.col("lum")))
@@ -45,8 +54,13 @@ def _cube(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = table(spark, sf_dir, "sc_repliseq")
-    return m.select(F.col("cellids").alias("cell_id"), "chrom", "locus", clean_state(F.col("states")).alias("state"), F.when(F.col("locale_no") >= 0, F.col("locale_no")).cast("double").alias("value"))
+    """Spots at each locus and copy, zeros included, with the state of the cell."""
+    counts = features.spot_count(_spots(spark, sf_dir), table(spark, sf_dir, "loci")).withColumn("value", F.col("value").cast("double"))
+    return counts.join(_cells(spark, sf_dir).select("cell_id", "state"), "cell_id", "left")
+
+
+def _means(spark: SparkSession, sf_dir: str, values: DataFrame) -> DataFrame:
+    return features.per_locus(_spots(spark, sf_dir), table(spark, sf_dir, "loci"), values).withColumn("value", F.round("value", 6))
 
 
 def _r(*names: str) -> list[Column]:
@@ -103,17 +117,26 @@ _add("k8_nearest_trace", f"WITH {_S}, j AS (SELECT a.row_id, b.trace_id, sqrt(po
      lambda k, d: traces.nearest_trace(_spots(k, d).where(traces.is_noisy(F.col("trace_id"))), _spots(k, d).where(~traces.is_noisy(F.col("trace_id"))), 5.0).withColumn("dist", F.round("dist", 6)))
 
 # Features
-_add("j1_spot_count", f"WITH {_PLACED} SELECT cell_id, locus, copy, count(*) AS value FROM p GROUP BY ALL", lambda k, d: features.spot_count(_spots(k, d), table(k, d, "loci")))
-_add("j2_intensity", f"WITH {_PLACED} SELECT cell_id, locus, copy, round(avg(lum), 6) AS value FROM p GROUP BY ALL", lambda k, d: features.intensity(_spots(k, d), table(k, d, "loci")).withColumn("value", F.round("value", 6)))
+_D = lambda a, b: f"sqrt(power({a}.x - {b}.x, 2) + power({a}.y - {b}.y, 2) + power({a}.z - {b}.z, 2))"
+_SAME = "a.cell_id = b.cell_id AND a.chrom = b.chrom AND a.trace_id = b.trace_id"
+_add("c1_unplaced", f"WITH {_S}, h AS (SELECT chrom, start_bp, end_bp, count(*) AS hits FROM loci GROUP BY ALL) SELECT row_id, coalesce(hits, 0) AS hits FROM s LEFT JOIN h USING (chrom, start_bp, end_bp) WHERE coalesce(hits, 0) <> 1",
+     lambda k, d: features.unplaced(_spots(k, d), table(k, d, "loci")).select("row_id", "hits"))
+_add("j1_spot_count", f"WITH {_J1} SELECT cell_id, chrom, locus, copy, value FROM j1", lambda k, d: features.spot_count(_spots(k, d), table(k, d, "loci")))
+_LIGHT = f"WITH {_PLACED}, {_GRID} SELECT g.cell_id, g.locus, g.copy, AGG AS value FROM gr g LEFT JOIN p ON p.cell_id = g.cell_id AND p.locus = g.locus AND p.copy = g.copy GROUP BY ALL"
+_add("j2_intensity", _LIGHT.replace("AGG", "round(CASE WHEN count(p.row_id) = 0 THEN 0.0 ELSE avg(p.lum) END, 6)"), lambda k, d: features.intensity(_spots(k, d), table(k, d, "loci")).withColumn("value", F.round("value", 6)))
+_add("j2_intensity_sum", _LIGHT.replace("AGG", "round(coalesce(sum(p.lum), 0.0), 4)"), lambda k, d: features.intensity(_spots(k, d), table(k, d, "loci"), "sum").withColumn("value", F.round("value", 4)))
 _add("j4_height", f"WITH {_PLACED} SELECT cell_id, locus, copy, round(avg(z), 6) AS value FROM p GROUP BY ALL", lambda k, d: features.height(_spots(k, d), table(k, d, "loci")).withColumn("value", F.round("value", 6)))
-_add("j6_chain_distance", f"WITH {_S} SELECT a.row_id, round(avg(sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2) + power(a.z - b.z, 2))), 6) AS value FROM s a JOIN s b ON a.cell_id = b.cell_id AND a.chrom = b.chrom AND a.trace_id = b.trace_id AND abs(a.start_bp - b.start_bp) = 100000 GROUP BY 1",
-     lambda k, d: features.chain_distance(_spots(k, d), RESOLUTION).withColumn("value", F.round("value", 6)))
-_add("j7_gyration", f"WITH {_S}, g AS (SELECT a.row_id, count(*) n, sqrt(var_pop(b.x) + var_pop(b.y) + var_pop(b.z)) v FROM s a JOIN s b ON a.cell_id = b.cell_id AND a.chrom = b.chrom AND a.trace_id = b.trace_id AND abs(a.start_bp - b.start_bp) <= 500000 GROUP BY 1) SELECT row_id, round(CASE WHEN n > 1 THEN v END, 6) AS value FROM g",
-     lambda k, d: features.gyration(_spots(k, d), WINDOW).withColumn("value", F.round("value", 6)))
-_add("j8_window_pairs", f"WITH {_S} SELECT a.row_id, round(avg(sqrt(power(c.x - b.x, 2) + power(c.y - b.y, 2) + power(c.z - b.z, 2))), 6) AS value FROM s a JOIN s b ON a.cell_id = b.cell_id AND a.chrom = b.chrom AND a.trace_id = b.trace_id AND abs(a.start_bp - b.start_bp) <= 200000 JOIN s c ON a.cell_id = c.cell_id AND a.chrom = c.chrom AND a.trace_id = c.trace_id AND abs(a.start_bp - c.start_bp) <= 200000 AND b.row_id < c.row_id GROUP BY 1",
-     lambda k, d: features.window_pairs(_spots(k, d), 400_000).withColumn("value", F.round("value", 6)))
-_add("j11_j13_sphere", f"WITH {_S}, p AS (SELECT a.row_id, a.chrom <> b.chrom AS o, a.trace_id <> b.trace_id AS t, abs(a.start_bp - b.start_bp) AS g, sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2) + power(a.z - b.z, 2)) AS d FROM s a JOIN s b ON a.cell_id = b.cell_id AND a.row_id <> b.row_id AND abs(a.x - b.x) < 0.6 AND abs(a.y - b.y) < 0.6), c AS (SELECT row_id, count(*) n, count_if(o) / count(*) AS inter, count_if(o OR t) / count(*) AS trans, count_if(NOT o AND g >= 1000000) / count(*) AS long_intra, avg(CASE WHEN d > 0 THEN d END) AS mean_dist, count_if(d > 0) AS na, sum(exp(-d * d / (2 * 0.6 * 0.6))) AS kernel FROM p WHERE d < 0.6 GROUP BY 1) SELECT row_id, coalesce(n, 0) AS n_contacts, round(inter, 6) AS inter, round(trans, 6) AS trans, round(long_intra, 6) AS long_intra, round(mean_dist, 6) AS mean_dist, round(coalesce(na, 0) / (4.0 / 3 * pi() * power(0.6, 3)), 6) AS density, round(coalesce(kernel, 0), 6) AS kernel FROM s LEFT JOIN c USING (row_id)",
-     lambda k, d: features.sphere(_spots(k, d), RADIUS, 1_000_000).select("row_id", "n_contacts", *_r("inter", "trans", "long_intra", "mean_dist", "density", "kernel")))
+_add("j6_chain_distance", _of_loci(f"SELECT a.row_id, avg({_D('a', 'b')}) AS value FROM s a JOIN s b ON {_SAME} AND abs(a.start_bp - b.start_bp) = 100000 GROUP BY 1"), lambda k, d: _means(k, d, features.chain_distance(_spots(k, d), RESOLUTION)))
+_add("j7_gyration", _of_loci(f"SELECT a.row_id, CASE WHEN count(*) > 1 THEN sqrt(var_pop(b.x) + var_pop(b.y) + var_pop(b.z)) END AS value FROM s a JOIN s b ON {_SAME} AND abs(a.start_bp - b.start_bp) <= 500000 GROUP BY 1"), lambda k, d: _means(k, d, features.gyration(_spots(k, d), WINDOW)))
+_add("j8_window_pairs", _of_loci(f"SELECT a.row_id, avg({_D('t', 'b')}) AS value FROM s a JOIN s b ON {_SAME} AND abs(a.start_bp - b.start_bp) <= 200000 LEFT JOIN s t ON {_SAME.replace('b.', 't.')} AND abs(a.start_bp - t.start_bp) <= 200000 AND b.row_id < t.row_id GROUP BY 1"), lambda k, d: _means(k, d, features.window_pairs(_spots(k, d), 400_000)))
+_SPHERE = f"SELECT a.row_id, count(*) AS n, count_if(a.chrom <> b.chrom) / count(*) AS inter, count_if(a.chrom <> b.chrom OR a.trace_id <> b.trace_id) / count(*) AS trans, count_if(a.chrom = b.chrom AND abs(a.start_bp - b.start_bp) >= 1000000) / count(*) AS long_intra, avg(CASE WHEN {_D('a', 'b')} > 0 THEN {_D('a', 'b')} END) AS mean_dist, count_if({_D('a', 'b')} > 0) AS na FROM s a JOIN s b ON a.cell_id = b.cell_id AND a.row_id <> b.row_id AND abs(a.x - b.x) < 0.6 AND abs(a.y - b.y) < 0.6 WHERE {_D('a', 'b')} < 0.6 GROUP BY 1"
+_add("j11_j13_sphere", f"WITH {_PLACED}, q AS ({_SPHERE}) SELECT cell_id, locus, copy, " + ", ".join(f"round(avg({c}), 6) AS {c}" for c in ("inter", "trans", "long_intra", "mean_dist")) + ", round(avg(coalesce(na, 0) / (4.0 / 3 * pi() * power(0.6, 3))), 6) AS density FROM p LEFT JOIN q USING (row_id) GROUP BY ALL",
+     lambda k, d: features.placed(_spots(k, d), table(k, d, "loci")).select("cell_id", "locus", "copy", "row_id").join(features.sphere(_spots(k, d), RADIUS, 1_000_000), "row_id").groupBy("cell_id", "locus", "copy").agg(*[F.round(F.avg(c), 6).alias(c) for c in ("inter", "trans", "long_intra", "mean_dist", "density")]))
+_KERNEL = f"SELECT a.row_id, sum(exp(-{_D('a', 'b')} * {_D('a', 'b')} / (2 * 0.15 * 0.15))) / count(*) / (power(2 * pi(), 1.5) * power(0.15, 3)) AS value FROM s a JOIN s b ON a.cell_id = b.cell_id AND {_D('a', 'b')} <> 0 GROUP BY 1"
+_add("j17_kernel_density", _of_loci(_KERNEL), lambda k, d: _means(k, d, features.kernel_density(_spots(k, d), 0.15)))
+_add("j17_kernel_of_light", _of_loci(_KERNEL.replace("<> 0 GROUP", "<> 0 AND b.lum > 500 GROUP")).replace("FROM p JOIN v", "FROM p LEFT JOIN v"), lambda k, d: _means(k, d, features.kernel_density(_spots(k, d), 0.15, F.col("lum") > 500)))
+_add("j3_outside_values", f"WITH {_PLACED}, f AS (SELECT cell_id, spot_id, avg(lum) AS value FROM s WHERE lum IS NOT NULL GROUP BY ALL) SELECT cell_id, locus, copy, round(avg(value), 6) AS value FROM p LEFT JOIN f USING (cell_id, spot_id) GROUP BY ALL",
+     lambda k, d: features.outside(_spots(k, d), table(k, d, "loci"), _spots(k, d).where("lum IS NOT NULL").select("cell_id", "spot_id", F.col("lum").alias("value")))[0].withColumn("value", F.round("value", 6)))
 
 # Matrices
 _CUBE = ["cell_id", "chrom", "locus", "copy_no"]
@@ -139,7 +162,7 @@ _CT = f"""{_S}, {_C}, b AS (SELECT s.*, c.state, CAST(start_bp // 1000000 AS INT
  u AS (SELECT cell_id, chrom, trace_id, bin1, bin2, n, c, state AS g FROM q WHERE state IS NOT NULL UNION ALL SELECT cell_id, chrom, trace_id, bin1, bin2, n, c, 'all' FROM q), t AS (SELECT g, chrom, count(*) AS ns FROM (SELECT DISTINCT g, cell_id, chrom, trace_id FROM u) GROUP BY ALL),
  z AS (SELECT g, chrom, bin1, bin2, CAST(sum(n) AS DOUBLE) n, CAST(sum(c) AS DOUBLE) c, CAST(sum(n * n) AS DOUBLE) nn, CAST(sum(c * c) AS DOUBLE) cc FROM u GROUP BY ALL),
  f AS (SELECT g AS state, chrom, bin1, bin2, ns AS nsamples, c / n AS f, CASE WHEN ns > 1 THEN ((cc - c * c / ns) / (ns - 1) - c / n * c / n * (nn - n * n / ns) / (ns - 1)) / (n * n / ns) END AS f_var FROM z JOIN t USING (g, chrom))"""
-_add("k9_contacts", f"WITH {_CT} SELECT state, chrom, bin1, bin2, nsamples, round(f, 6) AS f, round(f_var, 6) AS f_var FROM f",
+_add("k9_contacts", f"WITH {_CT} SELECT state, chrom, bin1, bin2, nsamples, round(f, 6) AS f, round(f_var, 6) + 0.0 AS f_var FROM f",
      lambda k, d: pairwise.intra_contacts(_spots(k, d), _cells(k, d).select("cell_id", "state"), COARSE, RADIUS).select("state", "chrom", "bin1", "bin2", "nsamples", *_r("f", "f_var")))
 _add("d17_control", f"WITH {_CT} SELECT state, chrom, bin1, bin2, round(CASE WHEN count(*) OVER w >= 10 THEN avg(f) OVER w END, 6) AS control FROM f WINDOW w AS (PARTITION BY state, bin2 - bin1)",
      lambda k, d: pairwise.control(pairwise.intra_contacts(_spots(k, d), _cells(k, d).select("cell_id", "state"), COARSE, RADIUS), 10).select("state", "chrom", "bin1", "bin2", *_r("control")))
