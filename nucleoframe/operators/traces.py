@@ -138,6 +138,17 @@ def imputed(spots: DataFrame, loci: DataFrame) -> DataFrame:
     return both.select(*TRACE_KEY, "start_bp", "end_bp", *[fill(c).alias(c) for c in "xyz"])
 
 
+def completed(spots: DataFrame, loci: DataFrame) -> DataFrame:
+    """Observed spots with the imputed ones under them: spot_id ``IMPUTED_n``, n from 1 in each trace, without light or row_id."""
+    order = Window.partitionBy(*TRACE_KEY).orderBy("start_bp")
+    made = imputed(spots, loci).withColumn("spot_id", F.concat(F.lit("IMPUTED_"), F.row_number().over(order)))
+    return spots.unionByName(made, allowMissingColumns=True)
+
+
+def without_imputed(spots: DataFrame) -> DataFrame:
+    return spots.where(~F.contains("spot_id", F.lit("IMPUTED")))
+
+
 def nearest_trace(rna: DataFrame, dna: DataFrame, most: float) -> DataFrame:
     """For each RNA spot the trace of the nearest DNA spot of its domain, if within ``most``."""
     key = ["cell_id", "chrom", "start_bp", "end_bp"]

@@ -62,8 +62,8 @@ def _maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairwise.intra_contacts(_spots(spark, sf_dir), _cells(spark, sf_dir).select("cell_id", "state"), COARSE, RADIUS)
 
 
-_add("k13_rescaled", lambda k, d: pairwise.rescaled(_maps(k, d)).select("state", "chrom", "bin1", "bin2", "nsamples", *_r("f", "f_var")),
-     f"WITH {_CT}, r AS (SELECT state, (SELECT avg(f) FROM f WHERE state = 'all') / avg(f) AS r FROM f GROUP BY 1 HAVING avg(f) <> 0) SELECT f.state, chrom, bin1, bin2, nsamples, round(f * r, 6) AS f, round(f_var * r * r, 6) + 0.0 AS f_var FROM f LEFT JOIN r ON r.state = f.state")
+_add("k13_rescaled", lambda k, d: pairwise.rescaled(_maps(k, d)).select("state", "chrom", "bin1", "bin2", "nsamples", F.round("f", 9).alias("f"), *_r("f_var")),
+     f"WITH {_CT}, r AS (SELECT state, (SELECT avg(f) FROM f WHERE state = 'all') / avg(f) AS r FROM f GROUP BY 1 HAVING avg(f) <> 0) SELECT f.state, chrom, bin1, bin2, nsamples, round(f * r, 9) AS f, round(f_var * r * r, 6) + 0.0 AS f_var FROM f LEFT JOIN r ON r.state = f.state")
 _add("l11_adjusted_correlation", lambda k, d: pairwise.adjusted_correlation(_maps(k, d), "G1", "S", 20).select(*_r("r"), "n_distances"),
      f"WITH {_CT}, y AS (SELECT count(*) AS n, CASE WHEN stddev_pop(a.f) > 0 AND stddev_pop(b.f) > 0 THEN corr(a.f, b.f) END AS r FROM f a JOIN f b USING (chrom, bin1, bin2) WHERE a.state = 'G1' AND b.state = 'S' GROUP BY bin2 - bin1) SELECT round(avg(r), 6) AS r, count(*) AS n_distances FROM y WHERE n >= 20 AND r IS NOT NULL")
 QUERIES["k12_compartments"] = lambda k, d: pairwise.compartments(_maps(k, d), _spots(k, d).groupBy("chrom", F.floor(F.col("start_bp") / COARSE).cast("int").alias("bin")).agg(F.avg("lum").alias("density")))
