@@ -5,7 +5,37 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nucleoframe.session import ranked
+from nucleoframe.session import cut_lineage, ranked
+
+
+#: Groups of more values than this are ranked over range partitions instead of in one task.
+HOT_VALUES = 200_000
+
+
+def percentiles(rows: DataFrame, by: list[str], value: str, shares: list[float], hot_values: int = HOT_VALUES) -> DataFrame:
+    """Exact percentiles (column ``edges``) of each group's values, by linear interpolation; null values don't count.
+
+    Small groups are aggregated; the values of large ones are put in order over range partitions, and
+    only the two values at each share are taken. Both give the same numbers.
+    """
+    known = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
+    hot = cut_lineage(known.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_values))
+    few = known if hot.isEmpty() else known.join(hot, by, "left_anti")
+    out = few.groupBy(*by).agg(F.percentile("_v", shares).alias("edges"))
+    if hot.isEmpty():
+        return out
+    placed = ranked(known.join(hot.drop("_n"), by, "left_semi"), [*[F.col(c).asc() for c in by], F.col("_v").asc()], "_place")
+    placed = placed.join(placed.groupBy(*by).agg(F.min("_place").alias("_first")), by).select(*by, "_v", (F.col("_place") - F.col("_first")).alias("_at"))
+    asked = hot.select(*by, F.posexplode(F.array(*[F.lit(p) * (F.col("_n") - 1) for p in shares]))).select(*by, "pos", F.col("col").alias("_pos"), F.inline(F.array(F.struct(F.floor("col").alias("_at"), (1 - (F.col("col") - F.floor("col"))).alias("_w")), F.struct((F.floor("col") + 1).alias("_at"), (F.col("col") - F.floor("col")).alias("_w"))))).where("_w > 0")
+    values = asked.join(placed, [*by, "_at"]).groupBy(*by, "pos").agg(F.sum(F.col("_w") * F.col("_v")).alias("_v"))
+    return out.unionByName(values.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "_v"))), lambda e: e["_v"]).alias("edges")))
+
+
+def sliced(rows: DataFrame, by: list[str], value: str, n: int) -> DataFrame:
+    """Rows with ``slice``, 0 to n-1, by the group's percentiles; a value at an inner edge belongs to the lower slice."""
+    edges = percentiles(rows, by, value, [k / n for k in range(1, n)])
+    below = F.size(F.filter("edges", lambda e: e < F.col(value)))
+    return rows.join(edges, by).select(*rows.columns, F.when(F.col(value).isNotNull(), below).alias("slice"))
 
 
 def coarse_grain(cube: DataFrame, factor: int, method: str = "average") -> DataFrame:
@@ -17,7 +47,7 @@ def coarse_grain(cube: DataFrame, factor: int, method: str = "average") -> DataF
 
 def quantised(cube: DataFrame, n: int) -> DataFrame:
     """The quantile, 0 to n-1, of each value among its cell's values; edges by linear interpolation."""
-    edges = cube.groupBy("cell_id").agg(F.percentile("value", [k / n for k in range(1, n)]).alias("edges"))
+    edges = percentiles(cube, ["cell_id"], "value", [k / n for k in range(1, n)])
     q = F.size(F.filter("edges", lambda e: e <= F.col("value")))
     return cube.join(edges, "cell_id").select(*cube.columns, F.when(F.col("value").isNotNull(), q).alias("q"))
 
@@ -36,8 +66,12 @@ def normalised_by_cell(cube: DataFrame) -> DataFrame:
 
 
 def sliding(cube: DataFrame, window: int, method: str = "mean") -> DataFrame:
-    """Mean or sum over the loci within window // 2 of each, on the same chromosome, copy and cell."""
+    """Mean, median or sum over the loci within window // 2 of each, on the same chromosome, copy and cell."""
     w = Window.partitionBy("cell_id", "chrom", "copy_no").orderBy("locus").rangeBetween(-(window // 2), window // 2)
+    if method == "median":
+        near = F.array_sort(F.collect_list("value").over(w))
+        middle = lambda v: (F.get(v, F.floor((F.size(v) - 1) / 2).cast("int")) + F.get(v, F.floor(F.size(v) / 2).cast("int"))) / 2
+        return cube.withColumn("slid", middle(near))
     return cube.withColumn("slid", F.avg("value").over(w) if method == "mean" else F.coalesce(F.sum("value").over(w), F.lit(0.0)))
 
 
@@ -62,6 +96,48 @@ def haploid_profile(cube: DataFrame) -> DataFrame:
     return cube.groupBy("chrom", "locus").agg(F.avg("value").alias("mean"), sd.alias("std"), n.alias("n"), F.try_divide(sd, F.sqrt(n)).alias("sem"))
 
 
+def normalised_profile(cube: DataFrame, cells: DataFrame, norm: str | None = None, state: str | None = None, factor: int = 1, method: str = "average") -> DataFrame:
+    """The haploid profile of coarse loci, of the cells of one state if given.
+
+    Values are coarse-grained first, then normalised by the cell's effective ``radius``, by ``zscore`` in the cell or by
+    the ``cell`` mean, and only then are cells of other states left out. One row per chromosome and coarse locus.
+    """
+    coarse = coarse_grain(cube, factor, method).withColumnRenamed("coarse", "locus")
+    if norm == "radius":
+        coarse = coarse.join(cells.select("cell_id", effective_radius(F.col("volume")).alias("_r")), "cell_id").withColumn("value", F.try_divide("value", "_r"))
+    elif norm == "zscore":
+        coarse = z_scores(coarse, ["cell_id"]).withColumn("value", F.col("zscore"))
+    elif norm == "cell":
+        coarse = normalised_by_cell(coarse).withColumn("value", F.col("norm"))
+    elif norm is not None:
+        raise ValueError(f"unknown normalisation {norm}")
+    kept = coarse if state is None else coarse.join(cells.where(F.col("state") == state).select("cell_id"), "cell_id", "left_semi")
+    return haploid_profile(kept)
+
+
+def clipped(c: Column, low: float, high: float) -> Column:
+    """Values within limits; infinite ones, NaN and null are null."""
+    return F.when(~F.isnan(c) & (F.abs(c) < float("inf")), F.greatest(F.lit(low), F.least(F.lit(high), c)))
+
+
+def feature_rows(features: dict[str, DataFrame], locales: DataFrame, known_locales: list[int], window: int, quantiles: int | None) -> DataFrame:
+    """One row per (cell_id, chrom, locus, copy_no) with all features, as a classifier takes them.
+
+    Each feature is quantised in its cell (if asked) and averaged over the window; of locales
+    (value = locale, null unknown) the share of each in the window comes out. Rows that miss any feature are dropped.
+    """
+    key = ["cell_id", "chrom", "locus", "copy_no"]
+    out = None
+    for name, cube in features.items():
+        if quantiles:
+            cube = quantised(cube.select(*key, "value"), quantiles).withColumn("value", F.col("q").cast("double"))
+        slid = sliding(cube.select(*key, "value"), window).select(*key, F.col("slid").alias(name))
+        out = slid if out is None else out.join(slid, key)
+    w = Window.partitionBy("cell_id", "chrom", "copy_no").orderBy("locus").rangeBetween(-(window // 2), window // 2)
+    shares = locales.select(*key, *[F.avg((F.coalesce("value", F.lit(-1)) == k).cast("double")).over(w).alias(f"locale_{k}") for k in known_locales])
+    return out.join(shares, key).dropna()
+
+
 def interpolated(cube: DataFrame) -> DataFrame:
     """Values for null loci: linear between the nearest of the same cell, chromosome and copy, copies at the ends."""
     w = Window.partitionBy("cell_id", "chrom", "copy_no").orderBy("locus")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import warnings
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,18 +38,49 @@ def intra_contacts(spots: DataFrame, states: DataFrame, resolution: int, thresho
     return sums.join(total, ["group", "chrom"]).select(F.col("group").alias("state"), "chrom", "bin1", "bin2", "nsamples", f.alias("f"), f_var.alias("f_var"))
 
 
-def control(contacts: DataFrame, least: int = 100) -> DataFrame:
-    """The mean frequency at a map's genomic distance, null with fewer than ``least`` entries."""
-    w = Window.partitionBy("state", F.col("bin2") - F.col("bin1"))
-    return contacts.withColumn("control", F.when(F.count(F.lit(1)).over(w) >= least, F.avg("f").over(w)))
+def control(contacts: DataFrame, bins: DataFrame, least: int = 100) -> DataFrame:
+    """The mean frequency at a map's genomic distance; null where the maps have fewer than ``least`` entries at it.
+
+    ``bins`` (chrom, n_bins) gives the size of each chromosome's map. Entries count in both triangles, whether a
+    frequency is known or not.
+    """
+    gap = F.col("bin2") - F.col("bin1")
+    sizes = bins.select("n_bins", F.explode(F.sequence(F.lit(1), F.greatest(F.col("n_bins") - 1, F.lit(1)))).alias("gap"))
+    entries = sizes.where("gap < n_bins").groupBy("gap").agg((2 * F.sum(F.col("n_bins") - F.col("gap"))).alias("entries"))
+    means = contacts.groupBy("state", gap.alias("gap")).agg(F.avg("f").alias("mean")).join(entries, "gap")
+    due = means.select("state", "gap", F.when(F.col("entries") >= least, F.col("mean")).alias("control"))
+    return contacts.withColumn("gap", gap).join(due, ["state", "gap"], "left").drop("gap")
+
+
+def erfc(x: np.ndarray) -> np.ndarray:
+    """The complementary error function: a series near 0, a continued fraction beyond; both lose no digits."""
+    z = np.abs(x)
+    near = np.minimum(z, 2.5)
+    term = total = near.copy()
+    for k in range(1, 60):
+        term = term * 2 * near * near / (2 * k + 1)
+        total = total + term
+    series = 1 - 2 / np.sqrt(np.pi) * np.exp(-near * near) * total
+    far = np.maximum(z, 2.5)
+    tail = far.copy()
+    for k in range(80, 0, -1):
+        tail = far + k / 2 / tail
+    with np.errstate(under="ignore"):
+        fraction = np.exp(-far * far) / np.sqrt(np.pi) / tail
+    out = np.where(z < 2.5, series, fraction)
+    return np.where(x < 0, 2 - out, out)
 
 
 @F.pandas_udf(T.DoubleType())
 def upper_tail(z):
-    """Upper tail of the normal distribution."""
-    import math
+    """Upper tail of the normal distribution; null for null and NaN."""
+    import pandas as pd
 
-    return z.map(lambda v: 0.5 * math.erfc(v / math.sqrt(2)) if v == v else None)
+    v = z.to_numpy(float)
+    known = ~np.isnan(v)
+    out = np.full(len(v), np.nan)
+    out[known] = 0.5 * erfc(v[known] / np.sqrt(2))
+    return pd.Series(out).where(known, None)
 
 
 def rejected(tested: DataFrame, p: str, by: list[str], alpha: float) -> DataFrame:
@@ -65,9 +99,12 @@ def rejected(tested: DataFrame, p: str, by: list[str], alpha: float) -> DataFram
     return tested.join(limit, by, "left").withColumn("significant", F.coalesce(F.col(p) <= F.col("limit"), F.lit(False))).drop("limit")
 
 
-def significance(contacts: DataFrame, alpha: float = 0.05, effect: float = 0.5849625007211562) -> DataFrame:
-    """Contacts above their control: one-sided test, false discovery rate, and least log2 ratio."""
-    c = control(contacts)
+def significance(contacts: DataFrame, bins: DataFrame, alpha: float = 0.05, effect: float = 0.5849625007211562, least: int = 100) -> DataFrame:
+    """Contacts above their control: one-sided test, false discovery rate, and least log2 ratio.
+
+    A map's two triangles are the same, so that ranks and numbers of tests both double and one triangle decides alike.
+    """
+    c = control(contacts, bins, least)
     z = F.try_divide(F.col("f") - F.col("control"), F.sqrt(F.when(F.col("f_var") > 0, F.col("f_var"))))
     tested = c.withColumn("p", upper_tail(z.cast("double")))
     out = rejected(tested, "p", ["state"], alpha)
@@ -113,36 +150,42 @@ def adjusted_correlation(contacts: DataFrame, one: str, other: str, least: int)
     return far.where((F.col("n") >= least) & F.col("r").isNotNull() & ~F.isnan("r")).agg(F.avg("r").alias("r"), F.count(F.lit(1)).alias("n_distances"))
 
 
-def compartments(contacts: DataFrame, density: DataFrame) -> DataFrame:
-    """Per state and chromosome the eigenvector of the correlated, distance-corrected map that
-    follows the density (chrom, bin, density) best, turned its way and of length 1.
+def compartments(contacts: DataFrame, density: DataFrame, vectors: int = 5, least_share: float = 0.05) -> DataFrame:
+    """Per state and chromosome the eigenvector of the correlated map over its control that follows
+    the density (chrom, bin, density) best, turned its way and of length 1.
 
-    A group holds one chromosome's aggregated map, so its size is bounded by the genome.
+    ``contacts`` has f and control for bins bin1 < bin2. Of the first ``vectors`` eigenvectors only
+    those that explain at least ``least_share`` of the variance are tried; a map without one has no rows. A group holds one
+    chromosome's aggregated map, so its size is bounded by the genome.
     """
-    import numpy as np
     import pandas as pd
 
     def one(maps: pd.DataFrame) -> pd.DataFrame:
         bins = np.unique(np.concatenate([maps["bin1"], maps["bin2"]]))
         at1, at2, n = np.searchsorted(bins, maps["bin1"]), np.searchsorted(bins, maps["bin2"]), len(bins)
-        m = np.zeros((n, n))
-        m[at1, at2] = m[at2, at1] = maps["f"].fillna(0.0)
-        gap = np.abs(np.subtract.outer(np.arange(n), np.arange(n)))
-        expected = np.array([m[gap == k].mean() for k in range(n)])[gap]
-        ratio = m / (expected + 1e-10)
-        centred = ratio - ratio.mean(axis=1, keepdims=True)
-        with np.errstate(all="ignore"):
-            score = np.nan_to_num(centred / ratio.std(axis=1, keepdims=True), nan=0.0, posinf=0.0, neginf=0.0)
-            c = np.nan_to_num(np.corrcoef(score))
-        genes = np.zeros(n)
-        genes[at1], genes[at2] = maps["d1"].fillna(0.0), maps["d2"].fillna(0.0)
-        vectors = np.linalg.eigh(c)[1][:, ::-1][:, :5] if n > 1 else np.ones((1, 1))
-        with np.errstate(all="ignore"):
-            fit = np.nan_to_num([np.corrcoef(v, genes)[0, 1] for v in vectors.T]) if n > 1 else np.zeros(1)
-        best = int(np.argmax(np.abs(fit)))
-        turned = vectors[:, best] * (-1.0 if fit[best] < 0 else 1.0)
-        return pd.DataFrame({"state": maps["state"].iloc[0], "chrom": maps["chrom"].iloc[0], "bin": bins, "compartment": turned})
+        ratio = np.full((n, n), np.nan)
+        ratio[at1, at2] = ratio[at2, at1] = (maps["f"] + 1e-10) / (maps["control"] + 1e-10)
+        with np.errstate(all="ignore"), warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            score = (ratio - np.nanmean(ratio, axis=1, keepdims=True)) / np.nanstd(ratio, axis=1, keepdims=True)
+            score[~np.isfinite(score)] = 0
+            c = np.nan_to_num(np.corrcoef(score)) if n > 1 else np.ones((1, 1))
+        genes = np.full(n, np.nan)
+        genes[at1], genes[at2] = maps["d1"], maps["d2"]
+        known = ~np.isnan(genes)
+        values, columns = np.linalg.eigh((c + c.T) / 2)
+        best, fit = None, -1.0
+        for k in range(1, min(vectors, n) + 1):
+            v = columns[:, -k]
+            if values[-k] / n < least_share or known.sum() < 2:
+                continue
+            with np.errstate(all="ignore"):
+                r = np.corrcoef(v[known], genes[known])[0, 1]
+            if np.abs(r) > fit:
+                best, fit = v * (-1.0 if r < 0 else 1.0), np.abs(r)
+        rows = 0 if best is None else n
+        return pd.DataFrame({"state": [maps["state"].iloc[0]] * rows, "chrom": [maps["chrom"].iloc[0]] * rows, "bin": bins[:rows], "compartment": best if rows else np.zeros(0)})
 
     side = lambda k: density.select("chrom", F.col("bin").alias(f"bin{k}"), F.col("density").cast("double").alias(f"d{k}"))
-    maps = contacts.select("state", "chrom", "bin1", "bin2", "f").join(side(1), ["chrom", "bin1"], "left").join(side(2), ["chrom", "bin2"], "left")
+    maps = contacts.select("state", "chrom", "bin1", "bin2", "f", "control").join(side(1), ["chrom", "bin1"], "left").join(side(2), ["chrom", "bin2"], "left")
     return maps.groupBy("state", "chrom").applyInPandas(one, "state string, chrom string, bin int, compartment double")

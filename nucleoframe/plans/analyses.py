@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from nucleoframe.model import clean_state
 from nucleoframe.operators import cycle, features, matrices, nearest, pairwise
-from nucleoframe.plans.reference import _C, _CT, _M, _N, _PLACED, _S, COARSE, RADIUS, _cells, _counts, _cube, _means, _of_loci, _r, _spots
+from nucleoframe.plans.reference import _C, _CT, _M, _N, _PLACED, _S, COARSE, RADIUS, _cells, _controlled, _counts, _cube, _means, _of_loci, _r, _spots
 from nucleoframe.session import shared_checkpoint_dir, table
 from nucleoframe.sources import markers
 from nucleoframe.streaming import ingest
@@ -66,7 +66,7 @@ _add("k13_rescaled", lambda k, d: pairwise.rescaled(_maps(k, d)).select("state",
      f"WITH {_CT}, r AS (SELECT state, (SELECT avg(f) FROM f WHERE state = 'all') / avg(f) AS r FROM f GROUP BY 1 HAVING avg(f) <> 0) SELECT f.state, chrom, bin1, bin2, nsamples, round(f * r, 9) AS f, round(f_var * r * r, 6) + 0.0 AS f_var FROM f LEFT JOIN r ON r.state = f.state")
 _add("l11_adjusted_correlation", lambda k, d: pairwise.adjusted_correlation(_maps(k, d), "G1", "S", 20).select(*_r("r"), "n_distances"),
      f"WITH {_CT}, y AS (SELECT count(*) AS n, CASE WHEN stddev_pop(a.f) > 0 AND stddev_pop(b.f) > 0 THEN corr(a.f, b.f) END AS r FROM f a JOIN f b USING (chrom, bin1, bin2) WHERE a.state = 'G1' AND b.state = 'S' GROUP BY bin2 - bin1) SELECT round(avg(r), 6) AS r, count(*) AS n_distances FROM y WHERE n >= 20 AND r IS NOT NULL")
-QUERIES["k12_compartments"] = lambda k, d: pairwise.compartments(_maps(k, d), _spots(k, d).groupBy("chrom", F.floor(F.col("start_bp") / COARSE).cast("int").alias("bin")).agg(F.avg("lum").alias("density")))
+QUERIES["k12_compartments"] = lambda k, d: pairwise.compartments(_controlled(k, d), _spots(k, d).groupBy("chrom", F.floor(F.col("start_bp") / COARSE).cast("int").alias("bin")).agg(F.avg("lum").alias("density")))
 
 # Cell cycle
 _E6 = f"{_N}, per AS (SELECT cell_id, count(value) AS ns, sum(value) AS s, count_if(value = 0) AS z FROM n GROUP BY 1), pv AS (SELECT cell_id, state, volume, row_number() OVER (ORDER BY volume, cell_id) AS r, sum(ns) OVER w AS ns, sum(s) OVER w AS s, sum(z) OVER w AS z FROM c JOIN per USING (cell_id) WHERE volume IS NOT NULL WINDOW w AS (ORDER BY volume, cell_id ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING)), pm AS (SELECT cell_id, state, volume, r, CAST(ns AS BIGINT) AS nsamples, {_SAFE.format('s', 'ns')} AS n, {_SAFE.format('z', 'ns')} AS f FROM pv)"
@@ -138,7 +138,14 @@ QUERIES["l20_classifier"] = _classifier
 # Exports
 _add("a22_markers", lambda k, d: markers.cmm_lines(_spots(k, d)),
      f"""WITH {_S}, o AS (SELECT cell_id, chrom, trace_id, x, y, z, row_number() OVER w AS k, lead(row_id) OVER w AS nx FROM s WINDOW w AS (PARTITION BY cell_id, chrom, trace_id ORDER BY start_bp, row_id)) SELECT cell_id, chrom, trace_id, CAST(2 * k - 1 AS INTEGER) AS line_no, printf('<marker id="%d" x="%.3f" y="%.3f" z="%.3f" radius="0.05"/>', k, x, y, z) AS line FROM o UNION ALL SELECT cell_id, chrom, trace_id, CAST(2 * k AS INTEGER), printf('<link id1="%d" id2="%d" radius="0.03"/>', k, k + 1) FROM o WHERE nx IS NOT NULL""")
-QUERIES["a20_pdb"] = lambda k, d: markers.pdb_lines(_spots(k, d))
+_PDB = """WITH {s}, t AS (SELECT cell_id, chrom, trace_id, count(*) AS n, trace_id LIKE '%-%' AS noisy FROM s GROUP BY ALL), r AS (SELECT cell_id, chrom, trace_id, CASE WHEN noisy THEN -1 ELSE 1 END * row_number() OVER (PARTITION BY cell_id, chrom, noisy ORDER BY n DESC, trace_id) AS rk FROM t),
+ v AS (SELECT s.*, rk, coalesce({v}, min({v}) OVER w, 0) AS val, power(10, greatest(length(CAST(max(start_bp) OVER w AS VARCHAR)) - 3, 0)) AS sc FROM s JOIN r USING (cell_id, chrom, trace_id) WINDOW w AS (PARTITION BY cell_id)), e AS (SELECT cell_id, quantile_cont(val, [0.05, 0.95]) AS q FROM v GROUP BY 1),
+ b AS (SELECT v.*, CASE WHEN q[2] > q[1] THEN 999 * (greatest(q[1], least(q[2], val)) - q[1]) / (q[2] - q[1]) ELSE 0 END AS beta, row_number() OVER (PARTITION BY cell_id ORDER BY chrom, rk, start_bp, row_id) AS line_no FROM v JOIN e USING (cell_id))
+ SELECT cell_id, line_no, printf('ATOM  %5d %-4s%4s %s%4d    %8.3f%8.3f%8.3f%6.1f%6.1f          %2s', CAST(line_no % 100000 AS INTEGER), 'CA', substr(chrom, 4), chr(CAST(65 + ((CASE WHEN rk > 0 THEN rk - 1 ELSE rk END) % 26 + 26) % 26 AS INTEGER)), CAST(abs(rk) AS INTEGER), x, y, z, start_bp / sc, beta, CASE WHEN {v} IS NULL THEN 'Na' ELSE 'O' END) AS line FROM b"""
+_add("a20_pdb", lambda k, d: markers.pdb_lines(_spots(k, d)), _PDB.format(s=_S, v="lum"))
+_add("a21_pdb_of_feature", lambda k, d: markers.pdb_lines(features.of_spots(_spots(k, d), table(k, d, "loci"), _cube(k, d)), "value"), _PDB.replace("WITH {s}", "WITH {s}, v0 AS (SELECT p.*, m.value AS fv FROM p LEFT JOIN m ON m.cell_id = p.cell_id AND m.locus = p.locus AND m.copy_no = p.copy)").replace("FROM s ", "FROM v0 ").replace("SELECT s.*", "SELECT v0.*").format(s=f"{_PLACED}, {_M}", v="fv"))
+_add("a22_by_quantile", lambda k, d: markers.cmm_lines(matrices.sliced(_spots(k, d), ["cell_id"], "z", 4), by=["cell_id", "slice"]),
+     f"""WITH {_S}, e AS (SELECT cell_id, quantile_cont(z, [0.25, 0.5, 0.75]) AS q FROM s GROUP BY 1), g AS (SELECT s.*, CAST(z > q[1] AS INTEGER) + CAST(z > q[2] AS INTEGER) + CAST(z > q[3] AS INTEGER) AS slice FROM s JOIN e USING (cell_id)), o AS (SELECT cell_id, slice, x, y, z, row_number() OVER w AS k, lead(row_id) OVER w AS nx FROM g WINDOW w AS (PARTITION BY cell_id, slice ORDER BY start_bp, row_id)) SELECT cell_id, slice, CAST(2 * k - 1 AS INTEGER) AS line_no, printf('<marker id="%d" x="%.3f" y="%.3f" z="%.3f" radius="0.05"/>', k, x, y, z) AS line FROM o UNION ALL SELECT cell_id, slice, CAST(2 * k AS INTEGER), printf('<link id1="%d" id2="%d" radius="0.03"/>', k, k + 1) FROM o WHERE nx IS NOT NULL""")
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:

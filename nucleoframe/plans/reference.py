@@ -164,9 +164,18 @@ _CT = f"""{_S}, {_C}, b AS (SELECT s.*, c.state, CAST(start_bp // 1000000 AS INT
  f AS (SELECT g AS state, chrom, bin1, bin2, ns AS nsamples, c / n AS f, CASE WHEN ns > 1 THEN ((cc - c * c / ns) / (ns - 1) - c / n * c / n * (nn - n * n / ns) / (ns - 1)) / (n * n / ns) END AS f_var FROM z JOIN t USING (g, chrom))"""
 _add("k9_contacts", f"WITH {_CT} SELECT state, chrom, bin1, bin2, nsamples, round(f, 6) AS f, round(f_var, 6) + 0.0 AS f_var FROM f",
      lambda k, d: pairwise.intra_contacts(_spots(k, d), _cells(k, d).select("cell_id", "state"), COARSE, RADIUS).select("state", "chrom", "bin1", "bin2", "nsamples", *_r("f", "f_var")))
-_add("d17_control", f"WITH {_CT} SELECT state, chrom, bin1, bin2, round(CASE WHEN count(*) OVER w >= 10 THEN avg(f) OVER w END, 6) AS control FROM f WINDOW w AS (PARTITION BY state, bin2 - bin1)",
-     lambda k, d: pairwise.control(pairwise.intra_contacts(_spots(k, d), _cells(k, d).select("cell_id", "state"), COARSE, RADIUS), 10).select("state", "chrom", "bin1", "bin2", *_r("control")))
-QUERIES["k11_significance"] = lambda k, d: pairwise.significance(pairwise.intra_contacts(_spots(k, d), _cells(k, d).select("cell_id", "state"), COARSE, RADIUS)).select("state", "chrom", "bin1", "bin2", "p", "significant")
+def _bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "loci").groupBy("chrom").agg((F.max(F.floor(F.col("start_bp") / COARSE)) + 1).cast("int").alias("n_bins"))
+
+
+def _controlled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairwise.control(pairwise.intra_contacts(_spots(spark, sf_dir), _cells(spark, sf_dir).select("cell_id", "state"), COARSE, RADIUS), _bins(spark, sf_dir))
+
+
+_BINS = "nb AS (SELECT max(start_bp // 1000000) + 1 AS n FROM loci GROUP BY chrom), en AS (SELECT d, 2 * sum(greatest(n - d, 0)) AS entries FROM nb, range(1, 400) r(d) GROUP BY 1)"
+_add("d17_control", f"WITH {_CT}, {_BINS} SELECT state, chrom, bin1, bin2, round(CASE WHEN entries >= 100 THEN avg(f) OVER (PARTITION BY state, bin2 - bin1) END, 6) AS control FROM f JOIN en ON d = bin2 - bin1",
+     lambda k, d: _controlled(k, d).select("state", "chrom", "bin1", "bin2", *_r("control")))
+QUERIES["k11_significance"] = lambda k, d: pairwise.significance(pairwise.intra_contacts(_spots(k, d), _cells(k, d).select("cell_id", "state"), COARSE, RADIUS), _bins(k, d)).select("state", "chrom", "bin1", "bin2", "p", "significant")
 
 # Replication
 _MOM = "count(value) AS nsamples, avg(value) AS n, avg(CASE WHEN value IS NULL THEN NULL WHEN value = 0 THEN 1.0 ELSE 0.0 END) AS f"
