@@ -124,3 +124,32 @@ def triads(spots: DataFrame) -> DataFrame:
     from nucleoframe.operators.traces import copy_numbers
 
     return copy_numbers(spots).withColumn("label", F.concat_ws("/", "cell_id", "chrom", "trace_id"))
+
+
+def target_bins(loci: DataFrame, genome: DataFrame, target: int | str) -> DataFrame:
+    """(locus, chrom, bin): the bin that holds each locus whole: itself (``self``), its chromosome
+    (``whole_chromosome``), or the one of so many base pairs counted from the chromosome's origin.
+
+    Loci that no bin holds whole have a null bin.
+    """
+    l = loci.select("locus", "chrom", "start_bp", "end_bp")
+    if target == "self":
+        return l.select("locus", "chrom", F.col("locus").alias("bin"))
+    if target == "whole_chromosome":
+        return l.select("locus", "chrom", F.lit(0).alias("bin"))
+    both = l.join(genome.select("chrom", "origin_bp"), "chrom")
+    at = F.floor((F.col("start_bp") - F.col("origin_bp")) / target)
+    return both.select("locus", "chrom", F.when(F.col("end_bp") - F.col("origin_bp") <= (at + 1) * target, at.cast("int")).alias("bin"))
+
+
+def spots_above(valued: DataFrame, share: float) -> DataFrame:
+    """Spots (with ``value``) at or above their cell's percentile; unknown values are below."""
+    from nucleoframe.operators.matrices import percentiles
+
+    edges = percentiles(valued, ["cell_id"], "value", [share])
+    return valued.join(edges, "cell_id").where(F.col("value") >= F.col("edges")[0]).drop("edges")
+
+
+def voxels(spots: DataFrame, resolution: float, origin: tuple[int, int, int] = (0, 0, 0)) -> DataFrame:
+    """The voxel of each spot: place over resolution less the origin, rounded half to even."""
+    return spots.select("row_id", *[F.rint(F.col(c) / resolution - o).cast("int").alias(f"i{c}") for c, o in zip("xyz", origin)])

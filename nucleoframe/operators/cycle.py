@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from nucleoframe.operators.matrices import percentiles
 from nucleoframe.operators.replication import by_group, by_volume, moments, population, solve_known_eps
+from nucleoframe.session import ranked
 
 
 def _clipped(p: Column) -> Column:
@@ -209,3 +211,80 @@ def area_under_curve(scored: DataFrame, by: list[str]) -> DataFrame:
     below = F.coalesce(F.sum("down").over(Window.partitionBy(*by).orderBy("probability").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     won = per.select(*by, "up", "down", (F.col("up") * (below + F.col("down") / 2)).alias("won"))
     return won.groupBy(*by).agg(F.sum("up").alias("n_up"), F.sum("down").alias("n_down"), F.try_divide(F.sum("won"), F.sum("up") * F.sum("down").cast("double")).alias("auc"))
+
+
+def phase_intervals(cells: DataFrame, groups: int) -> DataFrame:
+    """Intervals of p that divide the S cells (state, p) into groups of the same size: part, lo, hi."""
+    s = cells.where("state = 'S'").select(F.lit(1).alias("_all"), "p")
+    edges = percentiles(s, ["_all"], "p", [k / groups for k in range(groups + 1)])
+    return edges.select(F.inline(F.transform(F.sequence(F.lit(0), F.lit(groups - 1)), lambda k: F.struct(k.alias("part"), F.get("edges", k).alias("lo"), F.get("edges", k + 1).alias("hi")))))
+
+
+def by_phase(cells: DataFrame) -> DataFrame:
+    """Cells (cell_id, state, volume, p) in the order of the cycle: G1 by volume, S by p, G2 by volume; ties by id, others have no place."""
+    phase = F.when(F.col("state") == "G1", 0).when(F.col("state") == "S", 1).when(F.col("state") == "G2", 2)
+    return ranked(cells.where(phase.isNotNull()), [phase.asc(), F.when(phase == 1, F.col("p")).otherwise(F.col("volume")).asc_nulls_last(), F.col("cell_id").asc()])
+
+
+def stage(counts: DataFrame, cells: DataFrame, low: float, high: float) -> DataFrame:
+    """Counts of the S cells whose p lies strictly between the limits."""
+    return counts.join(cells.where((F.col("state") == "S") & (F.col("p") > low) & (F.col("p") < high)).select("cell_id"), "cell_id", "left_semi")
+
+
+def resampled(wanted: DataFrame, pool: DataFrame, repeats: int, seed: int) -> DataFrame:
+    """(repeat, cell_id, picked): each wanted cell with one of the pool, anew in each repeat.
+
+    In a repeat every cell of the pool is picked as often as any other, give or take one. Orders are
+    hashes of the ids with the seed, so that the result doesn't depend on partitions.
+    """
+
+    def shuffled(ids: DataFrame, salt: int) -> DataFrame:
+        each = ids.select("cell_id", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat"))
+        placed = ranked(each, [F.col("repeat").asc(), F.xxhash64(F.lit(seed + salt), "repeat", "cell_id").asc(), F.col("cell_id").asc()])
+        size = ids.agg(F.count(F.lit(1)).alias("n"))
+        return placed.crossJoin(F.broadcast(size)).select("repeat", "cell_id", (F.col("place") - 1 - F.col("repeat") * F.col("n")).alias("k"), "n")
+
+    a = shuffled(wanted, 0).select("repeat", "cell_id", "k")
+    b = shuffled(pool, 1).select("repeat", F.col("cell_id").alias("picked"), F.col("k").alias("at"), "n")
+    size = pool.agg(F.count(F.lit(1)).alias("m"))
+    return a.crossJoin(F.broadcast(size)).withColumn("at", F.expr("CASE WHEN m > 0 THEN k % m END")).join(b, ["repeat", "at"]).select("repeat", "cell_id", "picked")
+
+
+def bootstrap(counts: DataFrame, cells: DataFrame, mask: Column, repeats: int, least_volume: float = 0.0, seed: int = 0) -> DataFrame:
+    """Replication of the masked samples of S cells, with efficiencies from random G1 and G2 cells at the same loci.
+
+    ``cells`` has cell_id, state, volume and eps. In each repeat every S cell lends its mask to one G1 and
+    one G2 cell larger than ``least_volume``; their efficiencies are moved by the difference of the cells' mean
+    efficiencies, and their mean solves p. One row per repeat: eps and p, not clipped.
+    """
+    kept = counts.where(mask)
+    s_cells = cells.where("state = 'S'").select("cell_id")
+    masked = kept.join(s_cells, "cell_id", "left_semi").select("cell_id", "locus", "copy", "value")
+    who = masked.select("cell_id").distinct()
+    own = masked.agg(F.avg("value").alias("n"), F.avg((F.col("value") == 0).cast("double")).alias("f"))
+    mean_eps = who.join(cells.select("cell_id", "eps"), "cell_id").agg(F.avg("eps").alias("eps_s"))
+    sides = []
+    for state in ("G1", "G2"):
+        pool = cells.where((F.col("state") == state) & (F.col("volume") > least_volume))
+        mapped = resampled(who, pool.select("cell_id"), repeats, seed + 2 * len(sides))
+        there = counts.select(F.col("cell_id").alias("picked"), "locus", "copy", F.col("value").alias("v"))
+        f = mapped.join(masked.select("cell_id", "locus", "copy"), "cell_id").join(there, ["picked", "locus", "copy"]).groupBy("repeat").agg(F.avg((F.col("v") == 0).cast("double")).alias("f"))
+        shift = mapped.join(pool.select(F.col("cell_id").alias("picked"), "eps"), "picked").groupBy("repeat").agg(F.avg("eps").alias("pool_eps"))
+        eps = _clipped(1 - F.col("f") if state == "G1" else 1 - F.sqrt("f"))
+        sides.append(f.join(shift, "repeat").crossJoin(F.broadcast(mean_eps)).select("repeat", (eps + F.col("eps_s") - F.col("pool_eps")).alias(f"eps_{state}")))
+    both = sides[0].join(sides[1], "repeat").select("repeat", ((F.col("eps_G1") + F.col("eps_G2")) / 2).alias("eps")).crossJoin(F.broadcast(own))
+    return both.select("repeat", "eps", solve_known_eps(F.col("n"), F.col("f"), F.col("eps"))["p"].alias("p"))
+
+
+def good_loci(loci: DataFrame, window: int, most_zeros: float, least_eps: float) -> DataFrame:
+    """Loci (chrom, locus, f, eps) with sliding means, and whether few samples are 0 and the efficiency is high in the window."""
+    w = Window.partitionBy("chrom").orderBy("locus").rangeBetween(-(window // 2), window // 2)
+    slid = loci.select("chrom", "locus", F.avg("f").over(w).alias("f"), F.avg("eps").over(w).alias("eps"))
+    return slid.withColumn("good", F.coalesce((F.col("f") < most_zeros) & (F.col("eps") > least_eps), F.lit(False)))
+
+
+def sliding_probability(loci: DataFrame, window: int) -> DataFrame:
+    """p = n / (eps beta) - 1 per locus from sliding means of n, eps and beta (chrom, locus, n, eps, beta)."""
+    w = Window.partitionBy("chrom").orderBy("locus").rangeBetween(-(window // 2), window // 2)
+    n, eps, beta = (F.avg(c).over(w) for c in ("n", "eps", "beta"))
+    return loci.select("chrom", "locus", (F.try_divide(n, eps * beta) - 1).alias("p"))

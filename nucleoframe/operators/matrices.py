@@ -57,7 +57,9 @@ def z_scores(cube: DataFrame, by: list[str]) -> DataFrame:
     aggregated first, so that a hot one isn't sorted in one task."""
     stats = cube.groupBy(*[F.col(c).alias(f"_{c}") for c in by]).agg(F.avg("value").alias("_mean"), F.stddev_pop("value").alias("_sd"))
     same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
-    return cube.join(stats, same).select(*cube.columns, F.try_divide(F.col("value") - F.col("_mean"), F.col("_sd")).alias("zscore"))
+    # Values that are all the same have a deviation of 0, up to the last digits of their mean.
+    spread = F.when(F.col("_sd") > 1e-12 * (1 + F.abs("_mean")), F.col("_sd"))
+    return cube.join(stats, same).select(*cube.columns, F.try_divide(F.col("value") - F.col("_mean"), spread).alias("zscore"))
 
 
 def normalised_by_cell(cube: DataFrame) -> DataFrame:

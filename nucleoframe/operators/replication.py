@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from nucleoframe.session import ranked
 
@@ -56,13 +60,13 @@ def population(counts: DataFrame) -> DataFrame:
 
 
 def by_group(counts: DataFrame, group: list[str]) -> DataFrame:
-    """S-phase replication probability per group (locus, quantile, ...), clipped to 0..1."""
+    """S-phase replication probability per group (locus, quantile, ...), clipped to 0..1; null where nothing can be concluded."""
     m = moments(counts, [*group, "state"])
     eps = F.when(F.col("state") == "G1", 1 - F.col("f")).when(F.col("state") == "G2", 1 - F.sqrt("f"))
     anchors = m.groupBy(*group).agg(F.avg(eps).alias("eps"))
     s = m.where("state = 'S'").join(anchors, group)
     p = solve_known_eps(F.col("n"), F.col("f"), F.col("eps"))["p"]
-    return s.select(*group, "n", "f", "eps", F.greatest(F.lit(0.0), F.least(F.lit(1.0), p)).alias("p"))
+    return s.select(*group, "n", "f", "eps", F.when(p.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), p))).alias("p"))
 
 
 def simulated_timing(counts: DataFrame) -> DataFrame:
@@ -94,3 +98,59 @@ def welch(cube: DataFrame, group_col: str, a: str, b: str, by: list[str]) -> Dat
     t = F.try_divide(F.col("ma") - F.col("mb"), F.sqrt(ea + eb))
     df = F.try_divide((ea + eb) * (ea + eb), F.try_divide(ea * ea, F.col("na") - 1) + F.try_divide(eb * eb, F.col("nb") - 1))
     return s.select(*by, t.alias("t"), df.alias("dof"))
+
+
+def _beta_tail(a: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The regularised incomplete beta function I_x(a, 1/2), by Simpson's rule in the angle.
+
+    With x = cos(t)^2 the integrand is 2 cos(t)^(2a - 1), which is smooth; large a sharpen it, so the
+    rule runs over the part where it isn't 0.
+    """
+    edge = np.arccos(np.sqrt(np.clip(x, 0, 1)))
+    reach = np.minimum(np.pi / 2, edge + 12 / np.sqrt(np.maximum(2 * a - 1, 1)) + np.where(a < 40, np.pi, 0))
+    steps = np.linspace(0, 1, 2001)
+    t = edge[:, None] + (reach - edge)[:, None] * steps
+    with np.errstate(divide="ignore", invalid="ignore"):
+        height = np.exp((2 * a - 1)[:, None] * np.log(np.maximum(np.cos(t), 1e-300)))
+    weight = np.where(np.arange(2001) % 2, 4.0, 2.0)
+    weight[[0, -1]] = 1.0
+    area = 2 * (reach - edge) * (height @ weight) / 6000
+    log_beta = np.array([math.lgamma(v) + math.lgamma(0.5) - math.lgamma(v + 0.5) for v in a.tolist()])
+    return area / np.exp(log_beta)
+
+
+@F.pandas_udf(T.DoubleType())
+def t_tails(t, dof):
+    """Both tails of Student's distribution beyond t; null where either is null."""
+    import pandas as pd
+
+    known = (t.notna() & dof.notna() & (dof > 0)).to_numpy()
+    out = np.full(len(t), np.nan)
+    if known.any():
+        d = dof.to_numpy(float)[known]
+        out[known] = _beta_tail(d / 2, d / (d + t.to_numpy(float)[known] ** 2))
+    return pd.Series(out).where(known, None)
+
+
+def differential(cube: DataFrame, group_col: str, a: str, b: str, by: list[str], alpha: float = 0.05) -> DataFrame:
+    """Welch's test between two groups with both tails, Benjamini-Hochberg's q, and the sign of a significant difference (else 0).
+
+    Tests are as many as loci; ranks come from counts per p.
+    """
+    w = welch(cube, group_col, a, b, by).withColumn("p", t_tails(F.col("t"), F.col("dof")))
+    counts = w.where("p IS NOT NULL").groupBy("p").agg(F.count(F.lit(1)).alias("k"))
+    m = counts.agg(F.sum("k").alias("m"))
+    ranks = counts.select("p", F.sum("k").over(Window.orderBy("p")).alias("rank")).crossJoin(F.broadcast(m))
+    q = F.least(F.lit(1.0), F.min(F.col("p") * F.col("m") / F.col("rank")).over(Window.orderBy(F.desc("p"))))
+    return w.join(ranks.select("p", q.alias("q")), "p", "left").select(*by, "t", "dof", "p", "q", F.when(F.col("q") < alpha, F.signum("t")).otherwise(F.lit(0.0)).cast("int").alias("sign"))
+
+
+def shifted_regions(cube: DataFrame, group_col: str, a: str, b: str, share: float) -> DataFrame:
+    """Loci whose log2 ratio of the two groups' means is among the highest (1) or lowest (-1) ``share`` of loci, else 0."""
+    mean = lambda g: F.avg(F.when(F.col(group_col) == g, F.col("value")))
+    r = cube.groupBy("chrom", "locus").agg(mean(a).alias("ma"), mean(b).alias("mb"))
+    ratio = F.when((F.col("ma") > 0) & (F.col("mb") > 0), F.log2(F.col("ma") / F.col("mb")))
+    r = r.select("chrom", "locus", ratio.alias("ratio"))
+    edges = r.agg(F.percentile("ratio", [share, 1 - share]).alias("e"))
+    sign = F.when(F.col("ratio") >= F.col("e")[1], 1).when(F.col("ratio") <= F.col("e")[0], -1).otherwise(0)
+    return r.crossJoin(F.broadcast(edges)).select("chrom", "locus", "ratio", sign.alias("sign"))

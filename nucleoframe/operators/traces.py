@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nucleoframe.model import TRACE_KEY
+from nucleoframe.session import ranked
 
 
 def is_noisy(trace: Column) -> Column:
@@ -108,6 +109,23 @@ def projection(spots: DataFrame, resolution: int) -> DataFrame:
     return spots.groupBy(*TRACE_KEY, coarse.alias("start_bp")).agg(*[F.avg(c).alias(c) for c in ("x", "y", "z", "lum")], F.count(F.lit(1)).alias("n_spots"))
 
 
+def projected_spots(spots: DataFrame, resolution: int | None) -> DataFrame:
+    """The projection on coarse domains, or on the spots' own (None), as spots numbered from 1 in each cell by chromosome, trace and start."""
+    if resolution is None:
+        mean = spots.groupBy(*TRACE_KEY, "start_bp", "end_bp").agg(*[F.avg(c).alias(c) for c in ("x", "y", "z", "lum")])
+    else:
+        mean = projection(spots, resolution).drop("n_spots").withColumn("end_bp", F.col("start_bp") + resolution)
+    placed = ranked(mean, [F.col(c).asc() for c in ("cell_id", "chrom", "trace_id", "start_bp", "end_bp")])
+    first = placed.groupBy("cell_id").agg(F.min("place").alias("first"))
+    return placed.join(first, "cell_id").withColumn("spot_id", (F.col("place") - F.col("first") + 1).cast("string")).drop("place", "first")
+
+
+def sister_summary(spots: DataFrame, states: DataFrame) -> DataFrame:
+    """Distances of sisters per state (cell_id, state) and in all: how many, their mean and greatest."""
+    each = sisters(spots).join(states, "cell_id", "left").select("dist", F.explode(F.array("state", F.lit("all"))).alias("state")).where("state IS NOT NULL")
+    return each.groupBy("state").agg(F.count(F.lit(1)).alias("n"), F.avg("dist").alias("mean"), F.max("dist").alias("most"))
+
+
 def attributes(spots: DataFrame) -> DataFrame:
     """One row: cells, most chromosomes in a cell, spots, most traces per chromosome, most spots per trace and domain."""
     per_domain = spots.groupBy(*TRACE_KEY, "start_bp", "end_bp").agg(F.count(F.lit(1)).alias("n"))

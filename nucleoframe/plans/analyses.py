@@ -125,12 +125,17 @@ def _mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["l17_mixture"] = _mixture
 
 
-def _classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = table(spark, sf_dir, "sc_repliseq").where("NOT isnan(rt) AND NOT isnan(t)").select("sample_id", F.col("cellids").alias("cell_id"), clean_state(F.col("states")).alias("state"), "chrom", "locale_no", "z", "rt", "t")
+def _classifier_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All samples with the probability that they are replicated."""
+    m = table(spark, sf_dir, "sc_repliseq").where("NOT isnan(rt) AND NOT isnan(t)").select("sample_id", F.col("cellids").alias("cell_id"), clean_state(F.col("states")).alias("written"), "chrom", "locus", "copy_no", "locale_no", "z", "rt", "t")
     # Time tells which samples are surely labelled; it isn't a feature.
-    sure = m.withColumn("state", F.when((F.col("state") == "G1") & (F.col("t") <= EARLY) | (F.col("state") == "G2") & (F.col("t") >= LATE), F.col("state")))
+    sure = m.withColumn("state", F.when((F.col("written") == "G1") & (F.col("t") <= EARLY) | (F.col("written") == "G2") & (F.col("t") >= LATE), F.col("written")))
     scored, _ = cycle.replication_classifier(sure, ["z", "rt"], "locale_no")
-    return cycle.area_under_curve(scored.where("held_out"), ["chrom"])
+    return scored.withColumn("state", F.col("written"))
+
+
+def _classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cycle.area_under_curve(_classifier_rows(spark, sf_dir).where("held_out"), ["chrom"])
 
 
 QUERIES["l20_classifier"] = _classifier

@@ -183,7 +183,7 @@ _add("d18_moments", f"WITH {_N} SELECT state, count(value) AS nsamples, round(av
      lambda k, d: replication.moments(_counts(k, d), ["state"]).select("state", "nsamples", *_r("n", "n_var", "f")))
 _add("l3_population", f"WITH {_N}, a AS (SELECT state, {_MOM} FROM n WHERE state IS NOT NULL GROUP BY 1), e AS (SELECT avg(CASE WHEN state = 'G1' THEN 1 - f WHEN state = 'G2' THEN 1 - sqrt(f) END) AS es FROM a), r AS (SELECT *, CASE state WHEN 'G1' THEN 0 WHEN 'G2' THEN 1 ELSE (1 - es - f) / (es * (1 - es)) END AS p, CASE state WHEN 'G1' THEN 1 - f WHEN 'G2' THEN 1 - sqrt(f) ELSE es END AS eps FROM a, e) SELECT state, nsamples, round(n, 6) AS n, round(f, 6) AS f, round(p, 6) AS p, round(eps, 6) AS eps, round(n / ((1 + p) * eps), 6) AS beta FROM r",
      lambda k, d: replication.population(_counts(k, d).where("state IS NOT NULL")).select("state", "nsamples", *_r("n", "f", "p", "eps", "beta")))
-_add("l5_locus_run", f"WITH {_N}, a AS (SELECT chrom, locus // 20 AS blk, state, {_MOM} FROM n WHERE state IS NOT NULL GROUP BY ALL), e AS (SELECT chrom, blk, avg(CASE WHEN state = 'G1' THEN 1 - f WHEN state = 'G2' THEN 1 - sqrt(f) END) AS es FROM a GROUP BY ALL) SELECT chrom, CAST(blk AS INTEGER) AS blk, round(n, 6) AS n, round(f, 6) AS f, round(es, 6) AS eps, round(greatest(0.0, least(1.0, CASE WHEN es * (1 - es) <> 0 THEN (1 - es - f) / (es * (1 - es)) END)), 6) AS p FROM a JOIN e USING (chrom, blk) WHERE state = 'S'",
+_add("l5_locus_run", f"WITH {_N}, a AS (SELECT chrom, locus // 20 AS blk, state, {_MOM} FROM n WHERE state IS NOT NULL GROUP BY ALL), e AS (SELECT chrom, blk, avg(CASE WHEN state = 'G1' THEN 1 - f WHEN state = 'G2' THEN 1 - sqrt(f) END) AS es FROM a GROUP BY ALL) SELECT chrom, CAST(blk AS INTEGER) AS blk, round(n, 6) AS n, round(f, 6) AS f, round(es, 6) AS eps, round(CASE WHEN es * (1 - es) <> 0 THEN greatest(0.0, least(1.0, (1 - es - f) / (es * (1 - es)))) END, 6) AS p FROM a JOIN e USING (chrom, blk) WHERE state = 'S'",
      lambda k, d: replication.by_group(_counts(k, d).where("state IS NOT NULL").withColumn("blk", F.floor(F.col("locus") / 20).cast("int")), ["chrom", "blk"]).select("chrom", "blk", *_r("n", "f", "eps", "p")))
 _add("l5_loci", ORACLES["l5_locus_run"].replace("locus // 20 AS blk", "locus AS blk").replace("CAST(blk AS INTEGER) AS blk", "CAST(blk AS INTEGER) AS locus"),
      lambda k, d: replication.by_group(_counts(k, d).where("state IS NOT NULL"), ["chrom", "locus"]).select("chrom", "locus", *_r("n", "f", "eps", "p")))
