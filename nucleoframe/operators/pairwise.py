@@ -53,21 +53,21 @@ def control(contacts: DataFrame, bins: DataFrame, least: int = 100) -> DataFrame
 
 
 def erfc(x: np.ndarray) -> np.ndarray:
-    """The complementary error function: a series near 0, a continued fraction beyond; both lose no digits."""
+    """The complementary error function: a series near 0, a continued fraction beyond, to twelve digits."""
     z = np.abs(x)
-    near = np.minimum(z, 2.5)
+    near = np.minimum(z, 1.5)
     term = total = near.copy()
     for k in range(1, 60):
         term = term * 2 * near * near / (2 * k + 1)
         total = total + term
     series = 1 - 2 / np.sqrt(np.pi) * np.exp(-near * near) * total
-    far = np.maximum(z, 2.5)
+    far = np.maximum(z, 1.5)
     tail = far.copy()
     for k in range(80, 0, -1):
         tail = far + k / 2 / tail
     with np.errstate(under="ignore"):
         fraction = np.exp(-far * far) / np.sqrt(np.pi) / tail
-    out = np.where(z < 2.5, series, fraction)
+    out = np.where(z < 1.5, series, fraction)
     return np.where(x < 0, 2 - out, out)
 
 
@@ -183,9 +183,8 @@ def compartments(contacts: DataFrame, density: DataFrame, vectors: int = 5, leas
                 r = np.corrcoef(v[known], genes[known])[0, 1]
             if np.abs(r) > fit:
                 best, fit = v * (-1.0 if r < 0 else 1.0), np.abs(r)
-        rows = 0 if best is None else n
-        return pd.DataFrame({"state": [maps["state"].iloc[0]] * rows, "chrom": [maps["chrom"].iloc[0]] * rows, "bin": bins[:rows], "compartment": best if rows else np.zeros(0)})
+        return pd.DataFrame({"state": maps["state"].iloc[0], "chrom": maps["chrom"].iloc[0], "bin": bins, "compartment": np.full(n, np.nan) if best is None else best})
 
     side = lambda k: density.select("chrom", F.col("bin").alias(f"bin{k}"), F.col("density").cast("double").alias(f"d{k}"))
     maps = contacts.select("state", "chrom", "bin1", "bin2", "f", "control").join(side(1), ["chrom", "bin1"], "left").join(side(2), ["chrom", "bin2"], "left")
-    return maps.groupBy("state", "chrom").applyInPandas(one, "state string, chrom string, bin int, compartment double")
+    return maps.groupBy("state", "chrom").applyInPandas(one, "state string, chrom string, bin int, compartment double").where("compartment IS NOT NULL AND NOT isnan(compartment)")

@@ -39,7 +39,7 @@ for _m, _sql in (("sum", "coalesce(sum(value), 0.0)"), ("consensus", "CASE WHEN
     _add(f"d13_{_m}", lambda k, d, m=_m: matrices.coarse_grain(_cube(k, d), 10, m).withColumn("value", F.round("value", 6)), f"WITH {_M} SELECT cell_id, chrom, CAST(locus // 10 AS INTEGER) AS coarse, copy_no, round({_sql}, 6) AS value FROM m GROUP BY ALL")
 for _m, _sql in (("median", "median(value)"), ("sum", "coalesce(sum(value), 0.0)")):
     _add(f"e4_sliding_{_m}", lambda k, d, m=_m: matrices.sliding(_cube(k, d), 10, m).select(*_CUBE, *_r("slid")), f"WITH {_M} SELECT a.cell_id, a.chrom, a.locus, a.copy_no, round({_sql.replace('value', 'b.value')}, 6) AS slid FROM m a JOIN m b ON a.cell_id = b.cell_id AND a.chrom = b.chrom AND a.copy_no = b.copy_no AND b.locus BETWEEN a.locus - 5 AND a.locus + 5 GROUP BY ALL")
-_add("e8_z_score_by_locus", lambda k, d: matrices.z_scores(_cube(k, d), ["state", "locus"]).select(*_CUBE, *_r("zscore")), f"WITH {_M} SELECT cell_id, chrom, locus, copy_no, round(CASE WHEN stddev_pop(value) OVER w > 0 THEN (value - avg(value) OVER w) / stddev_pop(value) OVER w END, 6) AS zscore FROM m WINDOW w AS (PARTITION BY state, locus)")
+_add("e8_z_score_by_locus", lambda k, d: matrices.z_scores(_cube(k, d), ["state", "locus"]).select(*_CUBE, *_r("zscore")), f"WITH {_M} SELECT cell_id, chrom, locus, copy_no, round(CASE WHEN stddev_pop(value) OVER w > 1e-12 * (1 + abs(avg(value) OVER w)) THEN (value - avg(value) OVER w) / stddev_pop(value) OVER w END, 6) AS zscore FROM m WINDOW w AS (PARTITION BY state, locus)")
 _add("e10_slices", lambda k, d: matrices.sliced(_spots(k, d), ["cell_id"], "z", 4).select("row_id", "slice"), f"WITH {_S}, e AS (SELECT cell_id, quantile_cont(z, [0.25, 0.5, 0.75]) AS q FROM s GROUP BY 1) SELECT row_id, CAST(z > q[1] AS INTEGER) + CAST(z > q[2] AS INTEGER) + CAST(z > q[3] AS INTEGER) AS slice FROM s JOIN e USING (cell_id)")
 _add("h2_clipped", lambda k, d: table(k, d, "sc_repliseq").select("sample_id", matrices.clipped(F.col("rt"), -1.0, 1.0).alias("rt")), "SELECT sample_id, CASE WHEN CAST(rt AS VARCHAR) NOT IN ('nan', 'inf', '-inf') THEN greatest(-1.0, least(1.0, rt)) END AS rt FROM sc_repliseq")
 _add("h3_radius", lambda k, d: _cells(k, d).where("volume IS NOT NULL").select("cell_id", F.round(matrices.effective_radius(F.col("volume")), 6).alias("radius")), f"WITH {_C} SELECT cell_id, round(power(0.75 / pi() * volume, 1.0 / 3), 6) AS radius FROM c WHERE volume IS NOT NULL")

@@ -148,7 +148,7 @@ _add("e5_smooth", f"WITH {_M}, h AS (SELECT chrom, locus, avg(value) AS value FR
      lambda k, d: matrices.smoothed(_cube(k, d).groupBy("chrom", "locus").agg(F.avg("value").alias("value")), 12).select("chrom", "locus", *_r("smooth")))
 _add("e7_quantise", f"WITH {_M}, e AS (SELECT cell_id, quantile_cont(value, [0.25, 0.5, 0.75]) AS q FROM m GROUP BY 1) SELECT cell_id, chrom, locus, copy_no, CASE WHEN value IS NOT NULL THEN CAST(value >= q[1] AS INTEGER) + CAST(value >= q[2] AS INTEGER) + CAST(value >= q[3] AS INTEGER) END AS q FROM m JOIN e USING (cell_id)",
      lambda k, d: matrices.quantised(_cube(k, d), 4).select(*_CUBE, "q"))
-_add("e8_z_score", f"WITH {_M} SELECT cell_id, chrom, locus, copy_no, round(CASE WHEN stddev_pop(value) OVER w > 0 THEN (value - avg(value) OVER w) / stddev_pop(value) OVER w END, 6) AS zscore FROM m WINDOW w AS (PARTITION BY cell_id)",
+_add("e8_z_score", f"WITH {_M} SELECT cell_id, chrom, locus, copy_no, round(CASE WHEN stddev_pop(value) OVER w > 1e-12 * (1 + abs(avg(value) OVER w)) THEN (value - avg(value) OVER w) / stddev_pop(value) OVER w END, 6) AS zscore FROM m WINDOW w AS (PARTITION BY cell_id)",
      lambda k, d: matrices.z_scores(_cube(k, d), ["cell_id"]).select(*_CUBE, *_r("zscore")))
 _add("e9_normalise", f"WITH {_M} SELECT cell_id, chrom, locus, copy_no, round(CASE WHEN avg(value) OVER w <> 0 THEN value / avg(value) OVER w END, 4) AS norm FROM m WINDOW w AS (PARTITION BY cell_id)", lambda k, d: matrices.normalised_by_cell(_cube(k, d)).select(*_CUBE, F.round("norm", 4).alias("norm")))
 _add("e12_curate", "WITH n AS (SELECT cellids AS cell_id, chrom, locus, copy_no, sample_id, CAST(CASE WHEN locale_no >= 0 THEN locale_no END AS DOUBLE) AS value FROM sc_repliseq) SELECT sample_id, CASE WHEN min(CASE WHEN value = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY cell_id, chrom, copy_no) = 0 THEN value END AS value FROM n",

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from nucleoframe.operators import cycle, features, matrices, nearest, pairwise, replication
-from nucleoframe.plans import analyses, reference
+from nucleoframe.plans import analyses
 from nucleoframe.session import ranked
 from nucleoframe.sources import markers
 from nucleoframe.streaming import ingest
@@ -77,7 +77,7 @@ def test_empty_tables(spark):
     cells = spark.createDataFrame([], "cell_id string, state string, volume double")
     loci = spark.createDataFrame([], "locus int, chrom string, start_bp bigint, end_bp bigint")
     bodies = spark.createDataFrame([], "cell_id string, " + ", ".join(f"{c}_{s} double" for c in "xyz" for s in ("lo", "hi")))
-    maps = spark.createDataFrame([], "state string, chrom string, bin1 int, bin2 int, nsamples bigint, f double, f_var double")
+    maps = spark.createDataFrame([], "state string, chrom string, bin1 int, bin2 int, nsamples bigint, f double, f_var double, control double")
     for out in (
         features.of_spots(spots, loci, cube), features.body_distance(spots, bodies, 1.0), pairwise.inter_contacts(spots, cells, 10, 0.5), pairwise.rescaled(maps),
         pairwise.compartments(maps, spark.createDataFrame([], "chrom string, bin int, density double")), cycle.per_cell(cube.drop("state"), cells, 0.0, 4), cycle.biased_timing(cube),
@@ -118,9 +118,13 @@ def test_compartments_find_blocks(spark):
     # Of ten bins the edge of the map would outweigh the blocks.
     rows = [("all", "chr1", i, j, 5, (0.9 if (i < 10) == (j < 10) else 0.1) / (j - i), 0.1) for i in range(20) for j in range(i + 1, 20)]
     maps = spark.createDataFrame(rows, "state string, chrom string, bin1 int, bin2 int, nsamples int, f double, f_var double")
+    bins = spark.createDataFrame([("chr1", 20)], "chrom string, n_bins int")
+    assert pairwise.control(maps, bins, 38).where("control IS NULL AND bin2 - bin1 = 1").count() == 0 and pairwise.control(maps, bins, 39).where("control IS NOT NULL").count() == 0
+    maps = pairwise.control(maps, bins, 2)
     density = spark.createDataFrame([("chr1", b, 1.0 if b < 10 else 0.0) for b in range(20)], "chrom string, bin int, density double")
     got = {r["bin"]: r["compartment"] for r in pairwise.compartments(maps, density).collect()}
     assert math.isclose(sum(v * v for v in got.values()), 1.0) and all((got[b] > 0) == (b < 10) for b in range(20))
+    assert pairwise.compartments(maps, density, least_share=1.1).count() == 0
 
 
 def test_bed_and_exports(spark, tmp_path):
@@ -157,10 +161,12 @@ def test_loci_are_fitted_one_by_one(spark, tmp_path):
     got = {r["locus"]: r for r in analyses.QUERIES["l22_loci"](spark, str(tmp_path)).collect()}
     assert set(got) == {0, 1} and all(r["n"] == 24 and r["n_locales"] == 4 for r in got.values())
     assert got[0]["sensitivity"] > 0.9 > got[1]["sensitivity"] and got[0]["f_stat"] > 100 > got[1]["f_stat"]
-    assert {r["locus"] for r in reference.QUERIES["l5_loci"](spark, str(tmp_path)).collect()} == {0, 1}
+    counts = spark.createDataFrame([(s, 0 if s != "G2" else 1, float(v)) for s in ("G1", "G2", "S") for v in (0, 1, 1, 2)] + [("S", 9, 0.0)], "state string, locus int, value double")
+    got = {r["locus"]: r["p"] for r in replication.by_group(counts, ["locus"]).collect()}
+    assert got[9] is None and 0 <= got[0] <= 1  # nothing known of the efficiency at locus 9
 
 
-def test_sweep_and_twentieths(spark, tmp_path):
+def test_sweep(spark, tmp_path):
     rnd = random.Random(4)
     spots = [(i, "c", "chr1", "1" if i % 2 else "2", str(i), *[rnd.uniform(1, 3) for _ in range(3)], 100_000 * (1 + i % 30), 100_000 * (2 + i % 30), 1.0) for i in range(520)]
     spark.createDataFrame(spots, "row_id bigint, cell_id string, chrom string, trace_id string, spot_id string, x double, y double, z double, start_bp bigint, end_bp bigint, lum double").write.parquet(f"{tmp_path}/spots.parquet")
@@ -170,6 +176,3 @@ def test_sweep_and_twentieths(spark, tmp_path):
     assert set(got) == {25, 50, 100, 250, 500}
     for k, r in got.items():
         assert math.isclose(r["raw"], sum((a - b) % 2 for a in near for _, b in near[a][:k]) / 520, abs_tol=1e-6) and r["copies"] == 1.0
-    cells = [("c", ("G1", "G2", "S")[i // 3 % 3], "chr1", 0, 0, i % 4, float(i)) for i in range(720)]
-    spark.createDataFrame(cells, "cellids string, states string, chrom string, locus int, copy_no int, locale_no int, z double").write.parquet(f"{tmp_path}/sc_repliseq.parquet")
-    assert {r["q"] for r in analyses.QUERIES["l4_by_twentieth"](spark, str(tmp_path)).collect()} == set(range(20))
