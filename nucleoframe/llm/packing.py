@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -126,16 +127,16 @@ def _best_fit(capacity: int):
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(list(batches))
         shard = t.column("shard")[0].as_py()
-        kind, ids, piece, start, size = (t.column(c).to_numpy() for c in ("kind", "id", "piece_no", "start", "size"))
+        given = t.filter(pc.equal(t.column("kind"), 0))
         open_: list[list[int]] = [[] for _ in range(capacity + 1)]
         rooms = 0  # bit r is set while some container has room r
-        for c, room in zip(ids[kind == 0].tolist(), size[kind == 0].tolist()):
+        for c, room in zip(given.column("container").to_pylist(), given.column("size").to_pylist()):
             open_[room].append(c)
             rooms |= 1 << room
-        at = np.nonzero(kind == 1)[0]
-        at = at[np.lexsort((piece[at], ids[at], -size[at]))]
+        items = t.filter(pc.equal(t.column("kind"), 1)).sort_by([("size", "descending"), ("id", "ascending"), ("piece_no", "ascending"), ("start", "ascending")])
+        at = items.column("size").to_pylist()
         placed, fresh = np.zeros(len(at), np.int64), 0
-        for k, s in enumerate(size[at].tolist()):
+        for k, s in enumerate(at):
             fitting = rooms >> s
             if fitting:
                 room = s + (fitting & -fitting).bit_length() - 1
@@ -148,7 +149,7 @@ def _best_fit(capacity: int):
             placed[k] = c
             open_[room - s].append(c)
             rooms |= 1 << (room - s)
-        yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(piece[at]), pa.array(start[at]), pa.array(size[at]), pa.array(placed)], names=["id", "piece_no", "start", "size", "container_id"])
+        yield from items.select(["id", "piece_no", "start", "size"]).append_column("container_id", pa.array(placed)).to_batches()
 
     return fit
 
@@ -158,7 +159,7 @@ def pack(items: DataFrame, id_col: str, size_col: str, capacity: int, groups: in
 
     No container holds more than ``capacity``. Items are whole unless they exceed it; then they
     are cut into full pieces and a rest. Null and zero sizes take no room but have a container.
-    Repeated rows are packed one by one. An empty table gives an empty result.
+    Repeated rows are packed one by one. Ids may be numbers or text. An empty table gives an empty result.
     """
     cut = cut_lineage(pieces(items, id_col, size_col, capacity))
     least = capacity // SMALL
@@ -170,13 +171,13 @@ def pack(items: DataFrame, id_col: str, size_col: str, capacity: int, groups: in
     shards = max(1, -(-(small.count() + rooms.count()) // shard_rows))
     shard = lambda *c: F.pmod(F.xxhash64(*c), F.lit(shards)).cast("int").alias("shard")
     none = F.lit(0).cast("bigint")
-    both = rooms.select(shard("container_id"), F.lit(0).alias("kind"), F.col("container_id").alias("id"), none.alias("piece_no"), none.alias("start"), F.col("room").alias("size")).unionByName(
-        small.select(shard("id", "piece_no"), F.lit(1).alias("kind"), F.col("id").cast("bigint").alias("id"), "piece_no", "start", "size")
+    both = rooms.select(shard("container_id"), F.lit(0).alias("kind"), F.col("container_id").alias("container"), F.lit(None).cast(small.schema["id"].dataType).alias("id"), none.alias("piece_no"), none.alias("start"), F.col("room").alias("size")).unionByName(
+        small.select(shard("id", "piece_no"), F.lit(1).alias("kind"), none.alias("container"), "id", "piece_no", "start", "size")
     )
     work = _best_fit(capacity)
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from work(batches)
 
-    fitted = both.groupBy("shard").applyInArrow(fit, "id bigint, piece_no bigint, start bigint, size bigint, container_id bigint")
+    fitted = both.groupBy("shard").applyInArrow(fit, large.select("id", "piece_no", "start", "size", F.col("container_id").cast("bigint")).schema)
     return large.unionByName(fitted)

@@ -62,6 +62,15 @@ def test_packing_of_odd_sizes(spark, sizes):
     assert {r["id"] for r in rows} == set(range(len(sizes)))
 
 
+def test_packing_of_text_ids_and_repeated_rows(spark):
+    df = spark.createDataFrame([(f"d{k % 40}", s) for k, s in enumerate([7, 13, 40, 60, 99, 0] * 12)], "i string, s int")
+    rows = pack(df, "i", "s", 100, shard_rows=30).collect()
+    fill = {}
+    for r in rows:
+        fill[r["container_id"]] = fill.get(r["container_id"], 0) + r["size"]
+    assert sorted(r["id"] for r in rows) == sorted(f"d{k % 40}" for k in range(72)) and all(v <= 100 for v in fill.values())
+
+
 def test_pieces_give_back_the_texts(spark):
     docs = table(spark, "/root/testdata/sf0.01", "documents")
     texts = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
