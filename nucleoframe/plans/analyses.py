@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nucleoframe.model import clean_state
-from nucleoframe.operators import cycle, features, matrices, nearest, pairwise
+from nucleoframe.operators import cycle, features, matrices, nearest, pairwise, tracing
 from nucleoframe.plans.reference import _C, _CT, _M, _N, _PLACED, _S, COARSE, RADIUS, _cells, _controlled, _counts, _cube, _means, _of_loci, _r, _spots
 from nucleoframe.session import shared_checkpoint_dir, table
 from nucleoframe.sources import markers
@@ -140,6 +140,10 @@ def _classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["l20_classifier"] = _classifier
 
+# Tracing
+QUERIES["k1_traces"] = lambda k, d: tracing.traced(_spots(k, d), 0.5, 2, 4_000_000, 2.0, 1_000_000, 0.3, 1.0)
+QUERIES["k4_sister_outliers"] = lambda k, d: tracing.sister_outliers(_spots(k, d), 0.5, 500_000)
+
 # Exports
 _add("a22_markers", lambda k, d: markers.cmm_lines(_spots(k, d)),
      f"""WITH {_S}, o AS (SELECT cell_id, chrom, trace_id, x, y, z, row_number() OVER w AS k, lead(row_id) OVER w AS nx FROM s WINDOW w AS (PARTITION BY cell_id, chrom, trace_id ORDER BY start_bp, row_id)) SELECT cell_id, chrom, trace_id, CAST(2 * k - 1 AS INTEGER) AS line_no, printf('<marker id="%d" x="%.3f" y="%.3f" z="%.3f" radius="0.05"/>', k, x, y, z) AS line FROM o UNION ALL SELECT cell_id, chrom, trace_id, CAST(2 * k AS INTEGER), printf('<link id1="%d" id2="%d" radius="0.03"/>', k, k + 1) FROM o WHERE nx IS NOT NULL""")
