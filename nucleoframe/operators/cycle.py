@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from nucleoframe.operators.matrices import percentiles
 from nucleoframe.operators.replication import by_group, by_volume, moments, population, solve_known_eps
-from nucleoframe.session import ranked
+from nucleoframe.session import ranked, with_once
 
 
 def _clipped(p: Column) -> Column:
@@ -85,24 +85,45 @@ def correlations(pairs: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
 def volume_splits(counts: DataFrame, cells: DataFrame, timing: DataFrame, steps: int) -> DataFrame:
     """How well each choice of shares of G1 (smallest) and G2 (largest cells) explains the timing.
 
-    Cells fall into ``steps`` equal parts by volume; sums per part and locus serve all choices of
-    g1 and g2 parts up to 2/5 each. Gives the correlation of sums of S over sums of G1 and G2 with
-    the timing (chrom, locus, rt); the best choice is the greatest r, ties by least g1 and g2.
+    Cells fall into ``steps`` equal parts by volume; running sums over the parts of each locus give the sums of every
+    choice of g1 and g2 parts from 0 to 2/5 each. Gives the correlation of means of S over means of G1 and G2 with
+    the timing (chrom, locus, rt), over the loci where both are known.
     """
     part = F.floor((F.col("r") - 1) * steps / F.col("n")).cast("int")
     parts = by_volume(cells).select("cell_id", part.alias("part"))
     sums = counts.join(parts, "cell_id").groupBy("chrom", "locus", "part").agg(F.sum("value").alias("s"), F.count("value").alias("k"))
+    each = sums.groupBy("chrom", "locus").agg(F.map_from_entries(F.collect_list(F.struct("part", F.struct(F.coalesce("s", F.lit(0.0)).alias("s"), "k")))).alias("m"))
+    # One array of running sums per locus: entry i has the first i parts.
+    def at(m: Column, p: Column, field: str, none: Column) -> Column:
+        return F.coalesce(F.try_element_at(m, p)[field], none)
+
+    grown = F.aggregate(
+        F.sequence(F.lit(0), F.lit(steps - 1)),
+        F.array(F.struct(F.lit(0.0).alias("s"), F.lit(0).cast("bigint").alias("k"))),
+        lambda acc, p: F.array_append(acc, F.struct((F.element_at(acc, -1)["s"] + at(F.col("m"), p, "s", F.lit(0.0))).alias("s"), (F.element_at(acc, -1)["k"] + at(F.col("m"), p, "k", F.lit(0).cast("bigint"))).alias("k"))),
+    )
     most = steps * 2 // 5
-    grid = F.array(*[F.struct(F.lit(a).alias("g1"), F.lit(b).alias("g2")) for a in range(1, most + 1) for b in range(1, most + 1)])
-    each = sums.select("*", F.inline(grid))
-    late = (F.col("part") < F.col("g1")) | (F.col("part") >= steps - F.col("g2"))
-    side = lambda c, inside: F.sum(F.when(inside, F.col(c)))
-    rt = each.groupBy("g1", "g2", "chrom", "locus").agg(side("s", ~late).alias("ss"), side("k", ~late).alias("sk"), side("s", late).alias("gs"), side("k", late).alias("gk"))
-    sim = rt.select("g1", "g2", "chrom", "locus", F.try_divide(F.try_divide("ss", "sk"), F.try_divide("gs", "gk")).alias("sim"))
+    run = with_once(each.select("chrom", "locus", "m"), run=grown).drop("m")
+    pairs = run.withColumn("g1", F.explode(F.sequence(F.lit(0), F.lit(most)))).withColumn("g2", F.explode(F.sequence(F.lit(0), F.lit(most))))
+    low, high, all_ = F.get("run", F.col("g1")), F.get("run", steps - F.col("g2")), F.get("run", F.lit(steps))
+    s, k = ({f: (high[f] - low[f]) for f in ("s", "k")}[f] for f in ("s", "k"))
+    sim = pairs.select("g1", "g2", "chrom", "locus", F.try_divide(F.try_divide(s, k), F.try_divide(all_["s"] - s, all_["k"] - k)).alias("sim"))
     both = sim.join(timing.where("rt IS NOT NULL"), ["chrom", "locus"]).where("sim IS NOT NULL")
     return both.groupBy("g1", "g2").agg(F.count(F.lit(1)).alias("n"), F.nullif(F.corr("sim", "rt"), F.lit(float("nan"))).alias("r"))
 
 
+def best_split(splits: DataFrame) -> DataFrame:
+    """The choice with the greatest correlation, ties by the least g1 and g2 (one row, or none)."""
+    return splits.where("r IS NOT NULL").orderBy(F.desc(F.round("r", 9)), "g1", "g2").limit(1)
+
+
+def states_of_split(cells: DataFrame, split: DataFrame, steps: int) -> DataFrame:
+    """The states that a split (g1, g2, one row) gives the cells."""
+    part = F.floor((F.col("r") - 1) * steps / F.col("n"))
+    state = F.when(part < F.col("g1"), "G1").when(part >= steps - F.col("g2"), "G2").otherwise("S")
+    return by_volume(cells).crossJoin(F.broadcast(split.select("g1", "g2"))).select("cell_id", state.alias("state"))
+
+
 def position_sensitivity(samples: DataFrame, least: int = 10, least_locales: int = 3) -> DataFrame:
     """Per locus how much of the replication left unexplained by time the locale explains.
 
@@ -172,32 +193,38 @@ def states_by_mixture(profiles: DataFrame, seed: int = 0) -> DataFrame:
 FIT_ROWS = 200_000
 
 
-def replication_classifier(samples: DataFrame, features: list[str], categories: str, seed: int = 1, fit_rows: int = FIT_ROWS, rounds: int = 10) -> tuple[DataFrame, object]:
+def replication_classifier(samples: DataFrame, features: list[str], categories: str, seed: int = 1, fit_rows: int = FIT_ROWS, rounds: int = 40, group: str | None = None) -> tuple[DataFrame, object]:
     """Boosted trees that tell replicated (G2) from unreplicated (G1) samples, and all samples with their probability.
 
-    ``samples`` has cell_id, state and the features; ``categories`` is a small integer. Cells, not
-    samples, are split four to one by hash; the fit takes at most about ``fit_rows`` labelled rows of
-    the larger part. All rows whose features are known get ``probability``; ``held_out`` marks
+    ``samples`` has cell_id, state and the features; ``categories`` is a small integer, ``group`` (a chromosome, say) a text
+    that comes in as a category too. Cells, not samples, are split four to one by hash; the fit takes at most about ``fit_rows`` labelled rows of
+    the larger part, a tenth of whose cells say when further rounds don't help. All rows whose features are known get ``probability``; ``held_out`` marks
     labelled rows of the cells not fitted on. Needs both labels; otherwise it raises ValueError.
     """
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.feature import OneHotEncoder, StandardScaler, VectorAssembler
+    from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
     known = samples
     for c in features:
         known = known.where(F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")))
     known = known.where(F.col(categories) >= 0).withColumn("label", F.when(F.col("state") == "G1", 0.0).when(F.col("state") == "G2", 1.0))
-    test = F.pmod(F.xxhash64(F.coalesce("cell_id", F.lit("")), F.lit(seed)), F.lit(5)) == 0
-    known = known.withColumn("held_out", test & F.col("label").isNotNull())
+    draw = F.pmod(F.xxhash64(F.coalesce("cell_id", F.lit("")), F.lit(seed)), F.lit(50))
+    known = known.withColumn("held_out", (draw < 10) & F.col("label").isNotNull()).withColumn("_check", draw >= 46)
     train = known.where("label IS NOT NULL AND NOT held_out")
     sizes = {r["label"]: r["count"] for r in train.groupBy("label").count().collect()}
     if len(sizes) < 2:
         raise ValueError("both G1 and G2 samples are needed")
     least = min(min(sizes.values()), fit_rows // 2)
     balanced = train.sampleBy("label", {k: min(1.0, least / v) for k, v in sizes.items()}, seed)
-    model = Pipeline(stages=[OneHotEncoder(inputCols=[categories], outputCols=["_one_hot"], handleInvalid="keep"), VectorAssembler(inputCols=features, outputCol="_raw"), StandardScaler(inputCol="_raw", outputCol="_scaled", withMean=True), VectorAssembler(inputCols=["_scaled", "_one_hot"], outputCol="_v"), GBTClassifier(featuresCol="_v", labelCol="label", maxIter=rounds, maxDepth=4, seed=seed)]).fit(balanced)
+    both = balanced.groupBy("_check").agg(F.count_distinct("label").alias("n")).where("n = 2").count() == 2
+    index = [StringIndexer(inputCol=group, outputCol="_group", handleInvalid="keep")] if group else []
+    codes = [categories, *(["_group"] if group else [])]
+    trees = GBTClassifier(featuresCol="_v", labelCol="label", maxIter=rounds, maxDepth=4, seed=seed)
+    if both:
+        trees = trees.setValidationIndicatorCol("_check")
+    model = Pipeline(stages=[*index, OneHotEncoder(inputCols=codes, outputCols=[f"_hot{k}" for k in range(len(codes))], handleInvalid="keep"), VectorAssembler(inputCols=features, outputCol="_raw"), StandardScaler(inputCol="_raw", outputCol="_scaled", withMean=True), VectorAssembler(inputCols=["_scaled", *[f"_hot{k}" for k in range(len(codes))]], outputCol="_v"), trees]).fit(balanced)
     scored = model.transform(known).withColumn("probability", vector_to_array("probability")[1])
     return scored.select(*samples.columns, "label", "held_out", "probability"), model
 

@@ -17,7 +17,7 @@ from nucleoframe.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-WINDOW_CELLS, LEAST_VOLUME, PARTS, BLOCK = 20, 400.0, 10, 20
+WINDOW_CELLS, LEAST_VOLUME, PARTS, BLOCK = 20, 400.0, 100, 20
 EARLY, LATE = 0.05, 0.95
 THRESHOLDS = [0.1, 0.25, 0.5, 0.75, 0.9]
 _CLIP = "CASE WHEN {0} IS NOT NULL THEN greatest(0.0, least(1.0, {0})) END"
@@ -104,8 +104,13 @@ def _profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _add("l11_correlations", lambda k, d: cycle.correlations(_profiles(k, d).select("chrom", F.round("rt", 9).alias("rt"), F.round("t", 9).alias("t")), ["chrom"], "rt", "t").select("chrom", "n", *_r("pearson", "spearman")),
      "WITH p AS (SELECT chrom, locus, round(avg(CASE WHEN CAST(rt AS VARCHAR) <> 'nan' THEN rt END), 9) AS rt, round(avg(CASE WHEN CAST(t AS VARCHAR) <> 'nan' THEN t END), 9) AS t FROM sc_repliseq GROUP BY 1, 2), r AS (SELECT chrom, rt, t, rank() OVER (PARTITION BY chrom ORDER BY rt) + (count(*) OVER (PARTITION BY chrom, rt) - 1) / 2 AS a, rank() OVER (PARTITION BY chrom ORDER BY t) + (count(*) OVER (PARTITION BY chrom, t) - 1) / 2 AS b FROM p WHERE rt IS NOT NULL AND t IS NOT NULL) SELECT chrom, count(*) AS n, round(corr(rt, t), 6) AS pearson, round(corr(a, b), 6) AS spearman FROM r GROUP BY 1")
-_add("l13_volume_splits", lambda k, d: cycle.volume_splits(_counts(k, d), _cells(k, d), _profiles(k, d), PARTS).select("g1", "g2", "n", *_r("r")),
-     f"WITH {_N}, v AS (SELECT cell_id, CAST((row_number() OVER (ORDER BY volume, cell_id) - 1) * 10 // count(*) OVER () AS INTEGER) AS part FROM c WHERE volume IS NOT NULL), u AS (SELECT chrom, locus, part, sum(value) AS s, count(value) AS k FROM n JOIN v USING (cell_id) GROUP BY 1, 2, 3), g AS (SELECT a.range AS g1, b.range AS g2 FROM range(1, 5) a, range(1, 5) b), t AS (SELECT g1, g2, chrom, locus, sum(s) FILTER (part >= g1 AND part < 10 - g2) AS ss, sum(k) FILTER (part >= g1 AND part < 10 - g2) AS sk, sum(s) FILTER (part < g1 OR part >= 10 - g2) AS gs, sum(k) FILTER (part < g1 OR part >= 10 - g2) AS gk FROM u, g GROUP BY 1, 2, 3, 4), m AS (SELECT g1, g2, chrom, locus, CASE WHEN sk <> 0 AND gk <> 0 AND gs <> 0 THEN (ss / sk) / (gs / gk) END AS sim FROM t), tm AS (SELECT chrom, locus, avg(CASE WHEN CAST(rt AS VARCHAR) <> 'nan' THEN rt END) AS rt FROM sc_repliseq GROUP BY 1, 2) SELECT CAST(g1 AS INTEGER) AS g1, CAST(g2 AS INTEGER) AS g2, count(*) AS n, round(corr(sim, rt), 6) AS r FROM m JOIN tm USING (chrom, locus) WHERE sim IS NOT NULL AND rt IS NOT NULL GROUP BY 1, 2")
+_SPLITS = f"""{_N}, v AS (SELECT cell_id, CAST((row_number() OVER (ORDER BY volume, cell_id) - 1) * 100 // count(*) OVER () AS INTEGER) AS part FROM c WHERE volume IS NOT NULL), u AS (SELECT chrom, locus, part, sum(value) AS s, count(value) AS k FROM n JOIN v USING (cell_id) GROUP BY 1, 2, 3),
+ al AS (SELECT DISTINCT chrom, locus FROM u), ct AS (SELECT al.chrom, al.locus, i, coalesce(sum(s), 0) AS s, coalesce(sum(k), 0) AS k FROM al CROSS JOIN range(0, 101) r(i) LEFT JOIN u ON u.chrom = al.chrom AND u.locus = al.locus AND u.part < i GROUP BY 1, 2, 3),
+ t AS (SELECT a.chrom, a.locus, a.i AS g1, 100 - b.i AS g2, b.s - a.s AS ss, b.k - a.k AS sk, w.s - (b.s - a.s) AS gs, w.k - (b.k - a.k) AS gk FROM ct a JOIN ct b ON a.chrom = b.chrom AND a.locus = b.locus JOIN ct w ON w.chrom = a.chrom AND w.locus = a.locus AND w.i = 100 WHERE a.i <= 40 AND b.i >= 60),
+ mm AS (SELECT g1, g2, chrom, locus, CASE WHEN sk <> 0 AND gk <> 0 AND gs <> 0 THEN (ss / sk) / (gs / gk) END AS sim FROM t), tm AS (SELECT chrom, locus, avg(CASE WHEN CAST(rt AS VARCHAR) <> 'nan' THEN rt END) AS rt FROM sc_repliseq GROUP BY 1, 2), sp AS (SELECT g1, g2, count(*) AS n, corr(sim, rt) AS r FROM mm JOIN tm USING (chrom, locus) WHERE sim IS NOT NULL AND rt IS NOT NULL GROUP BY 1, 2)"""
+_add("l13_volume_splits", lambda k, d: cycle.volume_splits(_counts(k, d), _cells(k, d), _profiles(k, d), PARTS).select("g1", "g2", "n", *_r("r")), f"WITH {_SPLITS} SELECT CAST(g1 AS INTEGER) AS g1, CAST(g2 AS INTEGER) AS g2, n, round(r, 6) AS r FROM sp")
+_add("l13_best_states", lambda k, d: cycle.states_of_split(_cells(k, d), cycle.best_split(cycle.volume_splits(_counts(k, d), _cells(k, d), _profiles(k, d), PARTS)), PARTS),
+     f"WITH {_SPLITS}, bs AS (SELECT g1, g2 FROM sp WHERE r IS NOT NULL ORDER BY round(r, 9) DESC, g1, g2 LIMIT 1) SELECT cell_id, CASE WHEN part < g1 THEN 'G1' WHEN part >= 100 - g2 THEN 'G2' ELSE 'S' END AS state FROM v, bs")
 _add("l22_position_sensitivity", lambda k, d: cycle.position_sensitivity(table(k, d, "sc_repliseq").where("locale_no >= 0").select("chrom", F.floor(F.col("locus") / BLOCK).cast("int").alias("locus"), F.col("locale_no").alias("locale"), "t", F.col("rt").alias("y"))).select("chrom", "locus", "n", "n_locales", F.round("sensitivity", 5).alias("sensitivity"), F.round("f_stat", 4).alias("f_stat")),
      "WITH q AS (SELECT chrom, locus // 20 AS b, locale_no AS l, t, rt AS y FROM sc_repliseq WHERE locale_no >= 0 AND t IS NOT NULL AND rt IS NOT NULL AND CAST(t AS VARCHAR) <> 'nan' AND CAST(rt AS VARCHAR) <> 'nan'), i AS (SELECT chrom, b, l, var_pop(t) * count(*) AS tt, var_pop(y) * count(*) AS yy, covar_pop(t, y) * count(*) AS ty FROM q GROUP BY 1, 2, 3), w AS (SELECT chrom, b, count(*) AS k, sum(yy) - sum(ty) * sum(ty) / sum(tt) AS f FROM i GROUP BY 1, 2), r AS (SELECT chrom, b, count(*) AS n, var_pop(y) * count(*) - covar_pop(t, y) * count(*) * covar_pop(t, y) * count(*) / (var_pop(t) * count(*)) AS r FROM q GROUP BY 1, 2) SELECT chrom, CAST(b AS INTEGER) AS locus, n, k AS n_locales, round(sqrt((r - f) / r), 5) AS sensitivity, round(((r - f) / (k - 1)) / (f / (n - k - 1)), 4) AS f_stat FROM r JOIN w USING (chrom, b) WHERE n >= 10 AND k >= 3 AND n - k - 1 > 0")
 _add("l22_loci", lambda k, d: cycle.position_sensitivity(table(k, d, "sc_repliseq").where("locale_no >= 0").select("chrom", "locus", F.col("locale_no").alias("locale"), "t", F.col("rt").alias("y"))).select("chrom", "locus", "n", "n_locales", F.round("sensitivity", 5).alias("sensitivity"), F.round("f_stat", 4).alias("f_stat")),
@@ -130,7 +135,7 @@ def _classifier_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = table(spark, sf_dir, "sc_repliseq").where("NOT isnan(rt) AND NOT isnan(t)").select("sample_id", F.col("cellids").alias("cell_id"), clean_state(F.col("states")).alias("written"), "chrom", "locus", "copy_no", "locale_no", "z", "rt", "t")
     # Time tells which samples are surely labelled; it isn't a feature.
     sure = m.withColumn("state", F.when((F.col("written") == "G1") & (F.col("t") <= EARLY) | (F.col("written") == "G2") & (F.col("t") >= LATE), F.col("written")))
-    scored, _ = cycle.replication_classifier(sure, ["z", "rt"], "locale_no")
+    scored, _ = cycle.replication_classifier(sure, ["z", "rt"], "locale_no", group="chrom")
     return scored.withColumn("state", F.col("written"))
 
 
