@@ -13,12 +13,11 @@ from nucleoframe.model import TRACE_KEY
 from nucleoframe.operators.traces import distance, grid_pairs
 
 
-def intra_contacts(spots: DataFrame, states: DataFrame, resolution: int, threshold: float) -> DataFrame:
-    """Per state (and ``all``), chromosome and bin pair: traces sampled, contact frequency and its variance.
+def sample_contacts(spots: DataFrame, resolution: int, threshold: float, binarize: bool = False) -> DataFrame:
+    """Per trace and bin pair (bin1 < bin2): all spot pairs n and those within the threshold c, or 1 for any.
 
-    A sample is a trace. c counts spot pairs within the threshold, n all spot pairs of the bins;
-    absent pairs count 0, so means are sums over the number of samples with any pair at all. Pairs that are only present
-    together are products of the bins' counts in a trace; only those within the threshold are joined, over a grid.
+    Pairs that are only present together are products of the bins' counts in a trace; only those within
+    the threshold are joined, over a grid. Bin pairs without a spot pair have no row, and pairs in one bin don't count.
     """
     s = spots.select("row_id", *TRACE_KEY, "x", "y", "z", F.floor(F.col("start_bp") / resolution).cast("int").alias("bin"))
     bins = s.groupBy(*TRACE_KEY, "bin").agg(F.count(F.lit(1)).alias("k"))
@@ -27,7 +26,16 @@ def intra_contacts(spots: DataFrame, states: DataFrame, resolution: int, thresho
     none, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
     both = a.join(b, [*same, F.col("a.bin") < F.col("b.bin")]).select(*[F.col(f"a.{c}").alias(c) for c in TRACE_KEY], F.col("a.bin").alias("bin1"), F.col("b.bin").alias("bin2"), (F.col("a.k") * F.col("b.k")).alias("n"), none.alias("c"))
     near = grid_pairs(s, threshold, TRACE_KEY, ["bin"]).where("a.bin <> b.bin").select(*[F.col(f"a.{c}").alias(c) for c in TRACE_KEY], F.least("a.bin", "b.bin").alias("bin1"), F.greatest("a.bin", "b.bin").alias("bin2"), none.alias("n"), one.alias("c"))
-    sample = both.unionByName(near).groupBy(*TRACE_KEY, "bin1", "bin2").agg(F.sum("n").alias("n"), F.sum("c").alias("c")).join(states, "cell_id")
+    out = both.unionByName(near).groupBy(*TRACE_KEY, "bin1", "bin2").agg(F.sum("n").alias("n"), F.sum("c").alias("c"))
+    return out.withColumns({k: F.least(F.col(k), one) for k in ("n", "c")}) if binarize else out
+
+
+def intra_contacts(spots: DataFrame, states: DataFrame, resolution: int, threshold: float, binarize: bool = False) -> DataFrame:
+    """Per state (and ``all``), chromosome and bin pair: traces sampled, contact frequency and its variance.
+
+    A sample is a trace (see ``sample_contacts``). Absent pairs count 0, so means are sums over the number of samples with any pair at all.
+    """
+    sample = sample_contacts(spots, resolution, threshold, binarize).join(states, "cell_id")
     both = sample.select("*", F.explode(F.array("state", F.lit("all"))).alias("group")).where("group IS NOT NULL")
     total = both.select("group", *TRACE_KEY).distinct().groupBy("group", "chrom").agg(F.count(F.lit(1)).alias("nsamples"))
     sums = both.groupBy("group", "chrom", "bin1", "bin2").agg(*[F.sum(e).cast("double").alias(k) for k, e in (("n", F.col("n")), ("c", F.col("c")), ("nn", F.col("n") * F.col("n")), ("cc", F.col("c") * F.col("c")))])

@@ -164,6 +164,11 @@ _CT = f"""{_S}, {_C}, b AS (SELECT s.*, c.state, CAST(start_bp // 1000000 AS INT
  f AS (SELECT g AS state, chrom, bin1, bin2, ns AS nsamples, c / n AS f, CASE WHEN ns > 1 THEN ((cc - c * c / ns) / (ns - 1) - c / n * c / n * (nn - n * n / ns) / (ns - 1)) / (n * n / ns) END AS f_var FROM z JOIN t USING (g, chrom))"""
 _add("k9_contacts", f"WITH {_CT} SELECT state, chrom, bin1, bin2, nsamples, round(f, 6) AS f, round(f_var, 6) + 0.0 AS f_var FROM f",
      lambda k, d: pairwise.intra_contacts(_spots(k, d), _cells(k, d).select("cell_id", "state"), COARSE, RADIUS).select("state", "chrom", "bin1", "bin2", "nsamples", *_r("f", "f_var")))
+_add("k9_single_traces", f"WITH {_CT} SELECT cell_id, chrom, trace_id, bin1, bin2, n, c FROM q", lambda k, d: pairwise.sample_contacts(_spots(k, d).join(_cells(k, d).select("cell_id"), "cell_id", "left_semi"), COARSE, RADIUS))
+_add("k9_binarised", f"WITH {_CT.replace('count(*) AS n, count_if', '1 AS n, max(CASE WHEN ').replace('<= 0.6) AS c FROM b a', '<= 0.6 THEN 1 ELSE 0 END) AS c FROM b a').replace('WHEN (sqrt', 'WHEN sqrt')} SELECT state, chrom, bin1, bin2, nsamples, round(f, 6) AS f FROM f",
+     lambda k, d: pairwise.intra_contacts(_spots(k, d), _cells(k, d).select("cell_id", "state"), COARSE, RADIUS, True).select("state", "chrom", "bin1", "bin2", "nsamples", *_r("f")))
+
+
 def _bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "loci").groupBy("chrom").agg((F.max(F.floor(F.col("start_bp") / COARSE)) + 1).cast("int").alias("n_bins"))
 
