@@ -10,24 +10,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from nucleoframe.model import TRACE_KEY
-from nucleoframe.operators.traces import distance, grid_pairs
+from nucleoframe.operators.spatial import pair_counts
 
 
 def sample_contacts(spots: DataFrame, resolution: int, threshold: float, binarize: bool = False) -> DataFrame:
     """Per trace and bin pair (bin1 < bin2): all spot pairs n and those within the threshold c, or 1 for any.
 
     Pairs that are only present together are products of the bins' counts in a trace; only those within
-    the threshold are joined, over a grid. Bin pairs without a spot pair have no row, and pairs in one bin don't count.
+    the threshold are looked for. Bin pairs without a spot pair have no row, and pairs in one bin don't count.
     """
     s = spots.select("row_id", *TRACE_KEY, "x", "y", "z", F.floor(F.col("start_bp") / resolution).cast("int").alias("bin"))
     bins = s.groupBy(*TRACE_KEY, "bin").agg(F.count(F.lit(1)).alias("k"))
     a, b = bins.alias("a"), bins.alias("b")
     same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in TRACE_KEY]
-    none, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+    none = F.lit(0).cast("bigint")
     both = a.join(b, [*same, F.col("a.bin") < F.col("b.bin")]).select(*[F.col(f"a.{c}").alias(c) for c in TRACE_KEY], F.col("a.bin").alias("bin1"), F.col("b.bin").alias("bin2"), (F.col("a.k") * F.col("b.k")).alias("n"), none.alias("c"))
-    near = grid_pairs(s, threshold, TRACE_KEY, ["bin"]).where("a.bin <> b.bin").select(*[F.col(f"a.{c}").alias(c) for c in TRACE_KEY], F.least("a.bin", "b.bin").alias("bin1"), F.greatest("a.bin", "b.bin").alias("bin2"), none.alias("n"), one.alias("c"))
+    near = pair_counts(s, threshold, TRACE_KEY, ["bin"]).select(*TRACE_KEY, F.least("bin1", "bin2").alias("bin1"), F.greatest("bin1", "bin2").alias("bin2"), none.alias("n"), F.col("n").alias("c"))
     out = both.unionByName(near).groupBy(*TRACE_KEY, "bin1", "bin2").agg(F.sum("n").alias("n"), F.sum("c").alias("c"))
-    return out.withColumns({k: F.least(F.col(k), one) for k in ("n", "c")}) if binarize else out
+    return out.withColumns({k: F.least(F.col(k), F.lit(1)).cast("bigint") for k in ("n", "c")}) if binarize else out
 
 
 def intra_contacts(spots: DataFrame, states: DataFrame, resolution: int, threshold: float, binarize: bool = False) -> DataFrame:
@@ -124,16 +124,16 @@ def inter_contacts(spots: DataFrame, states: DataFrame, resolution: int, thresho
     """Per state (and ``all``) and bins of two chromosomes: spot pairs n, contacts c and frequency.
 
     Pairs that are only present together are products of the bins' counts in a cell; only pairs
-    within the threshold are joined, over a grid.
+    within the threshold are looked for.
     """
     s = spots.select("row_id", "cell_id", "chrom", "x", "y", "z", F.floor(F.col("start_bp") / resolution).cast("int").alias("bin"))
     bins = s.groupBy("cell_id", "chrom", "bin").agg(F.count(F.lit(1)).alias("k"))
     a, b = bins.alias("a"), bins.alias("b")
     both = a.join(b, [F.col("a.cell_id") == F.col("b.cell_id"), F.col("a.chrom") < F.col("b.chrom")]).select(F.col("a.cell_id").alias("cell_id"), *_ends(), (F.col("a.k") * F.col("b.k")).alias("n"), F.lit(0).cast("bigint").alias("c"))
-    pairs = grid_pairs(s, threshold, ["cell_id"], ["chrom", "bin"]).where(F.col("a.chrom") != F.col("b.chrom"))
-    ordered = F.col("a.chrom") < F.col("b.chrom")
-    ends = [F.when(ordered == first, F.col(f"a.{c}")).otherwise(F.col(f"b.{c}")).alias(f"{c}{i}") for i, first in ((1, True), (2, False)) for c in ("chrom", "bin")]
-    near = pairs.select(F.col("a.cell_id").alias("cell_id"), *ends, F.lit(0).cast("bigint").alias("n"), F.lit(1).cast("bigint").alias("c"))
+    pairs = pair_counts(s, threshold, ["cell_id"], ["chrom", "bin"]).where("chrom1 <> chrom2")
+    ordered = F.col("chrom1") < F.col("chrom2")
+    ends = [F.when(ordered == first, F.col(f"{c}1")).otherwise(F.col(f"{c}2")).alias(f"{c}{i}") for i, first in ((1, True), (2, False)) for c in ("chrom", "bin")]
+    near = pairs.select("cell_id", *ends, F.lit(0).cast("bigint").alias("n"), F.col("n").alias("c"))
     known = both.unionByName(near).groupBy("cell_id", "chrom1", "bin1", "chrom2", "bin2").agg(F.sum("n").alias("n"), F.sum("c").alias("c")).join(states, "cell_id")
     each = known.select("*", F.explode(F.array("state", F.lit("all"))).alias("group")).where("group IS NOT NULL")
     out = each.groupBy("group", "chrom1", "bin1", "chrom2", "bin2").agg(F.sum("n").alias("n"), F.sum("c").alias("c"))

@@ -124,6 +124,20 @@ def near_or_inside(
     return placed.groupBy("leaf").applyInArrow(found, _FOUND)
 
 
+def _spread(rows: DataFrame, radius: float, leaf_points: int):
+    """A tree, and the function that sends each point to every leaf within half the radius."""
+    margin = radius / 2 * (1 + 1e-9) + 1e-9
+    tree = plan_quadtree(rows, margin, leaf_points)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, leaves = tree.leaves_near(batch.column("x").to_numpy(), batch.column("y").to_numpy(), margin)
+            out = batch.take(pa.array(at))
+            yield pa.RecordBatch.from_arrays([pa.array(leaves.astype(np.int32)), *out.columns], names=["leaf", *batch.schema.names])
+
+    return tree, place
+
+
 _SPOT = "leaf int, id bigint, key bigint, chrom bigint, trace bigint, start bigint, source boolean, x double, y double, z double"
 _SUMS = "id bigint, n bigint, inter bigint, trans bigint, far bigint, same_place bigint, distance double, kernel double"
 
@@ -170,15 +184,7 @@ def neighbour_sums(spots: DataFrame, radius: float, far: int, sigma: float, sour
         F.col("row_id").alias("id"), F.xxhash64("cell_id").alias("key"), F.xxhash64("chrom").alias("chrom"), F.xxhash64("trace_id").alias("trace"), F.coalesce("start_bp", F.lit(0)).alias("start"),
         (F.lit(True) if source is None else F.coalesce(source, F.lit(False))).alias("source"), "x", "y", "z"
     )
-    margin = radius / 2 * (1 + 1e-9) + 1e-9
-    tree = plan_quadtree(rows, margin, leaf_points)
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at, leaves = tree.leaves_near(batch.column("x").to_numpy(), batch.column("y").to_numpy(), margin)
-            out = batch.take(pa.array(at))
-            yield pa.RecordBatch.from_arrays([pa.array(leaves.astype(np.int32)), *out.columns], names=["leaf", *batch.schema.names])
-
+    tree, place = _spread(rows, radius, leaf_points)
     work = _sums(tree, radius, far, sigma)
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,3 +192,60 @@ def neighbour_sums(spots: DataFrame, radius: float, far: int, sigma: float, sour
 
     found = rows.mapInArrow(place, _SPOT).groupBy("leaf").applyInArrow(fold, _SUMS)
     return found.groupBy(F.col("id").alias("row_id")).agg(*[F.sum(c).alias(c) for c in ("n", "inter", "trans", "far", "same_place", "distance", "kernel")])
+
+
+def _counted(tree: Quadtree, radius: float):
+    """Pairs of one key and different labels whose middle lies in a leaf, counted by their labels."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(list(batches))
+        leaf = t.column("leaf")[0].as_py()
+        points = np.column_stack([t.column(c).to_numpy() for c in "xyz"])
+        keys, key = np.unique(t.column("key").to_numpy(), return_inverse=True)
+        names, name = np.unique(t.column("name").to_numpy(), return_inverse=True)
+        order = z_order(points, key)
+        points, key, name = points[order], key[order], name[order]
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def fold() -> tuple[np.ndarray, np.ndarray]:
+            code, back = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
+            return code, np.bincount(back, np.concatenate([h[1] for h in held]), len(code))
+
+        for i, j, _ in PackedTree(points).pairs_within(radius, key):
+            mine = (name[i] != name[j]) & (tree.leaf_of((points[i, 0] + points[j, 0]) / 2, (points[i, 1] + points[j, 1]) / 2) == leaf)
+            i, j = i[mine], j[mine]
+            low, high = np.minimum(name[i], name[j]), np.maximum(name[i], name[j])
+            held.append(((key[i].astype(np.int64) * len(names) + low) * len(names) + high, np.ones(len(i))))
+            size += len(i)
+            if size > 2_000_000:
+                held, size = [fold()], 0
+        if held:
+            code, n = fold()
+            yield pa.RecordBatch.from_arrays([pa.array(keys[code // len(names) ** 2]), pa.array(names[code // len(names) % len(names)]), pa.array(names[code % len(names)]), pa.array(n.astype(np.int64))], names=["_key", "_a", "_b", "n"])
+
+    return counted
+
+
+def pair_counts(spots: DataFrame, radius: float, key: list[str], label: list[str], leaf_points: int = LEAF_POINTS) -> DataFrame:
+    """Pairs of spots at most ``radius`` apart with one key and different labels, counted: the key, both labels (ending in 1 and 2), n.
+
+    Which label comes first is not defined, but is the same for all pairs of two labels of a key. Pairs are
+    found in quadtree leaves with an R-tree each and counted there, so that only counts are shuffled. Spots with a null in
+    the key or an unknown place have no pair.
+    """
+    known = spots.dropna(subset=[*key, "x", "y", "z"])
+    rows = known.select(F.xxhash64(*key).alias("key"), F.xxhash64(*label).alias("name"), "x", "y", "z")
+    tree, place = _spread(rows, radius, leaf_points)
+    work = _counted(tree, radius)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+
+    found = rows.mapInArrow(place, "leaf int, key bigint, name bigint, x double, y double, z double").groupBy("leaf").applyInArrow(count, "_key bigint, _a bigint, _b bigint, n bigint")
+    sums = found.groupBy("_key", "_a", "_b").agg(F.sum("n").alias("n"))
+    own = [c for c in label if c not in key]
+    named = known.select(*key, *own).distinct().select(F.xxhash64(*key).alias("_key"), F.xxhash64(*label).alias("_name"), *key, *own)
+    one = named.select("_key", F.col("_name").alias("_a"), *key, *[F.col(c).alias(f"{c}1") for c in own])
+    two = named.select("_key", F.col("_name").alias("_b"), *[F.col(c).alias(f"{c}2") for c in own])
+    return sums.join(one, ["_key", "_a"]).join(two, ["_key", "_b"]).drop("_key", "_a", "_b")

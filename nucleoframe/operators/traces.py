@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nucleoframe.model import TRACE_KEY
+from nucleoframe.operators.spatial import pair_counts
 from nucleoframe.session import ranked
 
 
@@ -75,12 +76,11 @@ def sisters(spots: DataFrame) -> DataFrame:
 
 def homologue_proximity(spots: DataFrame, threshold: float) -> DataFrame:
     """Per chromosome the share of cells, of those with two traces or more, in which some pair of
-    traces comes within the threshold. Spots meet in grid cells as wide as the threshold, so no
-    cell's spots are all paired."""
+    traces comes within the threshold. Only spots that near are paired."""
     valid = spots.where(~is_noisy(F.col("trace_id")))
     several = valid.groupBy("cell_id", "chrom").agg(F.count_distinct("trace_id").alias("n")).where("n >= 2").select("cell_id", "chrom")
-    near = grid_pairs(valid.join(several, ["cell_id", "chrom"]), threshold, ["cell_id", "chrom"], ["trace_id"]).where(F.col("a.trace_id") != F.col("b.trace_id"))
-    hits = near.select(F.col("a.cell_id").alias("cell_id"), F.col("a.chrom").alias("chrom")).distinct().withColumn("hit", F.lit(1))
+    near = pair_counts(valid.join(several, ["cell_id", "chrom"]), threshold, ["cell_id", "chrom"], ["trace_id"])
+    hits = near.select("cell_id", "chrom").distinct().withColumn("hit", F.lit(1))
     return several.join(hits, ["cell_id", "chrom"], "left").groupBy("chrom").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("share"), F.count(F.lit(1)).alias("n_cells"))
 
 
@@ -92,15 +92,19 @@ def grid_pairs(spots: DataFrame, radius: float, key: list[str], columns: list[st
     """Pairs a, b of different spots with equal keys at most ``radius`` apart, each once.
 
     A spot waits in its cell of a grid as wide as the radius and asks there and in the 13
-    neighbouring cells behind it; the join is an equi-join on key and grid cell. Only the key, the id, the place and
-    ``columns`` are carried.
+    neighbouring cells behind it. The join is an equi-join on one number, a hash of key and grid cell; what it
+    matches is compared exactly. Side a has the key, both have the id, the place and ``columns``.
     """
-    thin = spots.select(*dict.fromkeys([*key, "row_id", "x", "y", "z", *columns]), *[F.floor(F.col(c) / radius).alias(f"g{c}") for c in "xyz"])
-    moves = F.array(*[F.struct(*[F.lit(v).alias(f"m{c}") for c, v in zip("xyz", m)]) for m in _HALF])
-    asking = thin.select("*", F.inline(moves)).withColumns({f"g{c}": F.col(f"g{c}") + F.col(f"m{c}") for c in "xyz"})
+    at = [F.floor(F.col(c) / radius) for c in "xyz"]
+    thin = spots.select(*dict.fromkeys([*key, "row_id", "x", "y", "z", *columns]), F.xxhash64(*key).alias("_key"))
+    moves = F.array(*[F.struct(*[F.lit(v).cast("tinyint").alias(f"m{c}") for c, v in zip("xyz", m)]) for m in _HALF])
+    there = [g + F.col(f"m{c}") for g, c in zip(at, "xyz")]
+    asking = thin.drop(*[k for k in key if k not in columns]).select("*", F.inline(moves)).withColumn("_at", F.xxhash64("_key", *there))
+    home = thin.withColumn("_at", F.xxhash64("_key", *at))
+    cell = lambda side, c: F.floor(F.col(f"{side}.{c}") / radius)
+    same = [F.col("a._at") == F.col("b._at"), F.col("a._key") == F.col("b._key"), *[cell("a", c) == cell("b", c) + F.col(f"b.m{c}") for c in "xyz"]]
     at_home = (F.col("b.mx") == 0) & (F.col("b.my") == 0) & (F.col("b.mz") == 0)
-    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in [*key, "gx", "gy", "gz"]]
-    return thin.alias("a").join(asking.alias("b"), [*same, ~at_home | (F.col("a.row_id") < F.col("b.row_id"))]).withColumn("dist", distance("a", "b")).where(F.col("dist") <= radius)
+    return home.alias("a").join(asking.alias("b"), [*same, ~at_home | (F.col("a.row_id") < F.col("b.row_id"))]).withColumn("dist", distance("a", "b")).where(F.col("dist") <= radius)
 
 
 def projection(spots: DataFrame, resolution: int) -> DataFrame:

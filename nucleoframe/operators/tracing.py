@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from nucleoframe.functions.rtree import PackedTree, z_order
 from nucleoframe.functions.runs import bounds, whole_groups
 from nucleoframe.model import TRACE_KEY
-from nucleoframe.operators.traces import grid_pairs
+from nucleoframe.operators.spatial import pair_counts
 
 _GROUP = ["cell_id", "chrom"]
 
@@ -187,9 +187,9 @@ def traced(
     chained = summary.repartition(*_GROUP).sortWithinPartitions(*_GROUP, "window", "cluster").mapInArrow(_chain(delta), "cell_id string, chrom string, window int, cluster int, trace int, born int")
     placed = found.join(chained, [*_GROUP, "window", "cluster"], "left")
     valid = placed.where("trace IS NOT NULL")
-    pairs = grid_pairs(valid, near_distance, _GROUP, ["trace"]).where("a.trace <> b.trace")
-    ends = F.array(*[F.struct(F.col(f"{p}.trace").alias("trace"), F.col(f"{q}.trace").alias("other")) for p, q in ("ab", "ba")])
-    near = pairs.select(F.col("a.cell_id").alias("cell_id"), F.col("a.chrom").alias("chrom"), F.inline(ends)).groupBy(*_GROUP, "trace").agg(F.collect_set("other").alias("near"))
+    pairs = pair_counts(valid, near_distance, _GROUP, ["trace"])
+    ends = F.array(*[F.struct(F.col(f"trace{p}").alias("trace"), F.col(f"trace{q}").alias("other")) for p, q in ("12", "21")])
+    near = pairs.select(*_GROUP, F.inline(ends)).groupBy(*_GROUP, "trace").agg(F.collect_set("other").alias("near"))
     starts = valid.groupBy(*_GROUP, "trace", F.col("start_bp").alias("start")).agg(F.count(F.lit(1)).alias("n"), F.min("born").alias("born"))
     # As many starts as the chromosome has loci, however many spots lie there.
     per_trace = starts.groupBy(*_GROUP, "trace").agg(F.min("born").alias("born"), F.collect_list(F.struct("start", "n")).alias("starts")).join(near, [*_GROUP, "trace"], "left").withColumn("near", F.coalesce("near", F.array().cast("array<int>")))
