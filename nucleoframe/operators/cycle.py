@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nucleoframe.operators.matrices import percentiles
-from nucleoframe.operators.replication import by_group, by_volume, moments, population, solve_known_eps
+from nucleoframe.operators.replication import by_group, by_volume, moments, population, solve_known_eps, solve_known_p
 from nucleoframe.session import ranked, with_once
 
 
@@ -61,6 +61,18 @@ def by_quantile(counts: DataFrame, quantile: str) -> DataFrame:
     return each.crossJoin(F.broadcast(mean)).crossJoin(F.broadcast(whole)).select(quantile, "n", "f", "eps", (F.col("p") + F.col("p_s") - F.col("p_mean")).alias("p"))
 
 
+def by_cell_and_quantile(counts: DataFrame, quantile: str, cells: DataFrame) -> DataFrame:
+    """Replication per cell and quantile of a feature: the cell's p times the quantile's over the quantiles' mean, clipped; efficiency and spots
+    per copy follow from it. ``cells`` has cell_id and p."""
+    q = by_quantile(counts, quantile).select(quantile, F.col("p").alias("p_q"))
+    mean = q.agg(F.avg("p_q").alias("p_mean"))
+    m = moments(counts.where(F.col(quantile).isNotNull()), ["cell_id", quantile]).select("cell_id", quantile, "nsamples", "n", "f")
+    known = m.join(q, quantile).crossJoin(F.broadcast(mean)).join(cells.select("cell_id", F.col("p").alias("p_c")), "cell_id")
+    known = known.withColumn("p", _clipped(F.try_divide(F.col("p_c") * F.col("p_q"), F.col("p_mean"))))
+    s = solve_known_p(F.col("n"), F.col("f"), F.col("p"))
+    return known.select("cell_id", quantile, "nsamples", "n", "f", "p", s["eps"].alias("eps"), s["beta"].alias("beta"))
+
+
 def masked(counts: DataFrame, mask: Column) -> DataFrame:
     """Moments by state of the samples of a mask."""
     return moments(counts.where(mask), ["state"])

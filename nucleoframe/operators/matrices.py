@@ -62,7 +62,11 @@ def z_scores(cube: DataFrame, by: list[str]) -> DataFrame:
     return cube.join(stats, same).select(*cube.columns, F.try_divide(F.col("value") - F.col("_mean"), spread).alias("zscore"))
 
 
-def normalised_by_cell(cube: DataFrame) -> DataFrame:
+def normalised_by_cell(cube: DataFrame, scalars: DataFrame | None = None) -> DataFrame:
+    """Values over their cell's mean, or over a number given per cell (cell_id, scalar); null where that is 0 or missing."""
+    if scalars is not None:
+        given = scalars.select(F.col("cell_id").alias("_cell"), "scalar")
+        return cube.join(given, F.col("cell_id") == F.col("_cell"), "left").select(*cube.columns, F.try_divide("value", "scalar").alias("norm"))
     mean = cube.groupBy(F.col("cell_id").alias("_cell")).agg(F.avg("value").alias("_mean"))
     return cube.join(mean, F.col("cell_id").eqNullSafe(F.col("_cell"))).select(*cube.columns, F.try_divide("value", "_mean").alias("norm"))
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from nucleoframe.model import clean_state
 from nucleoframe.operators import cycle, features, matrices, nearest, pairwise, tracing
 from nucleoframe.plans.reference import _C, _CT, _M, _N, _PLACED, _S, COARSE, RADIUS, _cells, _controlled, _counts, _cube, _means, _of_loci, _r, _spots
-from nucleoframe.session import shared_checkpoint_dir, table
+from nucleoframe.session import cut_lineage, shared_checkpoint_dir, table
 from nucleoframe.sources import markers
 from nucleoframe.streaming import ingest
 
@@ -83,7 +83,7 @@ def _feature_counts(spark: SparkSession, sf_dir: str, quantiles: int = 4) -> Dat
     whole = features.grid(spots, loci).withColumnRenamed("copy", "copy_no").join(height, ["cell_id", "locus", "copy_no"], "left")
     filled = matrices.interpolated(whole).select("cell_id", "chrom", "locus", "copy_no", F.round("filled", 9).alias("value"))
     q = matrices.quantised(filled, quantiles).select("cell_id", "locus", F.col("copy_no").alias("copy"), "q")
-    return _counts(spark, sf_dir).join(q, ["cell_id", "locus", "copy"])
+    return cut_lineage(_counts(spark, sf_dir).join(q, ["cell_id", "locus", "copy"]))
 
 
 _FILLED = "hm AS (SELECT g.cell_id, g.chrom, g.locus, g.copy, avg(p.z) AS value FROM gr g LEFT JOIN p ON p.cell_id = g.cell_id AND p.locus = g.locus AND p.copy = g.copy GROUP BY ALL), ha AS (SELECT *, max(CASE WHEN value IS NOT NULL THEN locus END) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS l, min(CASE WHEN value IS NOT NULL THEN locus END) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS r FROM hm WINDOW w AS (PARTITION BY cell_id, chrom, copy ORDER BY locus)), hf AS (SELECT a.cell_id, a.locus, a.copy, round(coalesce(a.value, x.value + (y.value - x.value) * ((a.locus - a.l) / (a.r - a.l)), x.value, y.value), 9) AS value FROM ha a LEFT JOIN hm x ON x.cell_id = a.cell_id AND x.chrom = a.chrom AND x.copy = a.copy AND x.locus = a.l LEFT JOIN hm y ON y.cell_id = a.cell_id AND y.chrom = a.chrom AND y.copy = a.copy AND y.locus = a.r)"

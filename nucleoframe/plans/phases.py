@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from nucleoframe.operators import containers, cycle, features, matrices, replication, traces
 from nucleoframe.plans.analyses import _classifier_rows, _CLIP, _E6, _FILLED, _OWN, LEAST_VOLUME, WINDOW_CELLS, _feature_counts
 from nucleoframe.plans.reference import _C, _M, _MOM, _N, _PLACED, _S, COARSE, ORACLES as _REF, _cells, _counts, _cube, _r, _spots
-from nucleoframe.session import table
+from nucleoframe.session import cut_lineage, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -89,3 +89,34 @@ _by_locus = lambda k, d: replication.by_group(_counts(k, d).where("state IS NOT
 _LOCI = _REF["l5_loci"].replace("round(n, 6)", "n").replace("round(f, 6)", "f").replace("round(es, 6)", "es")
 _add("l25d_quality", lambda k, d: cycle.good_loci(_by_locus(k, d), 10, 0.85, 0.15).select("chrom", "locus", *_r("f", "eps"), "good"), f"WITH b AS ({_LOCI}), w AS (SELECT chrom, locus, avg(f) OVER v AS f, avg(eps) OVER v AS eps FROM b WINDOW v AS (PARTITION BY chrom ORDER BY locus RANGE BETWEEN 5 PRECEDING AND 5 FOLLOWING)) SELECT chrom, locus, round(f, 6) AS f, round(eps, 6) AS eps, coalesce(f < 0.85 AND eps > 0.15, false) AS good FROM w")
 _add("l25i_sliding_probability", lambda k, d: cycle.sliding_probability(_by_locus(k, d).withColumn("beta", F.try_divide("n", (1 + F.col("p")) * F.col("eps"))), 10).select("chrom", "locus", *_r("p")), f"WITH b0 AS ({_LOCI.replace(', 6) AS p', ', 99) AS p')}), b AS (SELECT *, CASE WHEN (1 + p) * eps <> 0 THEN n / ((1 + p) * eps) END AS beta FROM b0), w AS (SELECT chrom, locus, avg(n) OVER v AS n, avg(eps) OVER v AS eps, avg(beta) OVER v AS beta FROM b WINDOW v AS (PARTITION BY chrom ORDER BY locus RANGE BETWEEN 5 PRECEDING AND 5 FOLLOWING)) SELECT chrom, locus, round(CASE WHEN eps * beta <> 0 THEN n / (eps * beta) - 1 END, 6) AS p FROM w")
+_add("e9_by_volume", lambda k, d: matrices.normalised_by_cell(_cube(k, d), _cells(k, d).select("cell_id", F.col("volume").alias("scalar"))).select(*_CUBE, *_r("norm")), f"WITH {_M}, {_C} SELECT m.cell_id, chrom, locus, copy_no, round(CASE WHEN volume <> 0 THEN value / volume END, 6) AS norm FROM m LEFT JOIN c ON c.cell_id = m.cell_id")
+
+
+def _solved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = replication.moments(_counts(spark, sf_dir).where("state = 'S'"), ["chrom"])
+    known_p, known_beta = replication.solve_known_p(F.col("n"), F.col("f"), F.lit(0.5)), replication.solve_known_beta(F.col("n"), F.col("f"), F.lit(0.9))
+    return m.select("chrom", *[F.round(c, 6).alias(n) for n, c in (("eps_of_p", known_p["eps"]), ("beta_of_p", known_p["beta"]), ("eps_of_beta", known_beta["eps"]), ("p_of_beta", known_beta["p"]))])
+
+
+_add("l1_solved", _solved, f"""WITH {_N}, w AS (SELECT chrom, {_MOM} FROM n WHERE state = 'S' GROUP BY 1), x AS (SELECT chrom, n, f, 2.25 - 2 * (1 - f) AS y, n / 0.9 AS d, 1 - 4 * (f + n / 0.9 - 1) / ((n / 0.9) * (n / 0.9)) AS x FROM w),
+ z AS (SELECT chrom, n, d, x, CASE WHEN y >= 0 THEN 1.5 - sqrt(y) END AS ep, CASE WHEN x < 0 THEN 1 - sqrt(f) ELSE d / 2 * (1 + sqrt(x)) END AS eb FROM x) SELECT chrom, round(ep, 6) AS eps_of_p, round(n / (1.5 * ep), 6) AS beta_of_p, round(eb, 6) AS eps_of_beta, round(CASE WHEN x < 0 THEN 1 ELSE d / eb - 1 END, 6) AS p_of_beta FROM z""")
+_NQ = f"{_PC}, {_FILLED}, ed AS (SELECT cell_id, quantile_cont(value, [0.25, 0.5, 0.75]) AS e FROM hf GROUP BY 1), nq0 AS (SELECT n.cell_id, n.chrom, CAST(hf.value >= e[1] AS INTEGER) + CAST(hf.value >= e[2] AS INTEGER) + CAST(hf.value >= e[3] AS INTEGER) AS q, n.state, n.value FROM n JOIN hf USING (cell_id, locus, copy) JOIN ed USING (cell_id) WHERE hf.value IS NOT NULL AND chrom NOT IN ('chrX', 'chrY') AND n.state IS NOT NULL)"
+_MEANS = "avg(value) AS n, avg(CASE WHEN value = 0 THEN 1.0 ELSE 0.0 END) AS f"
+_BQ = f"aq AS (SELECT q, state, {_MEANS} FROM nq GROUP BY 1, 2), gq AS (SELECT q, avg({_OWN}) AS es FROM aq GROUP BY 1), wq AS (SELECT state, {_MEANS} FROM nq GROUP BY 1), ws AS (SELECT avg({_OWN}) AS es FROM wq), ps AS (SELECT greatest(0.0, least(1.0, (1 - es - f) / (es * (1 - es)))) AS p FROM wq, ws WHERE state = 'S'), rq AS (SELECT q, n, f, es, greatest(0.0, least(1.0, (1 - es - f) / (es * (1 - es)))) AS p FROM aq JOIN gq USING (q) WHERE state = 'S'), pq AS (SELECT q, n, f, es, rq.p + ps.p - (SELECT avg(p) FROM rq) AS p FROM rq, ps)"
+
+
+def _quantised_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written once, as moments of states, quantiles and cells all read it."""
+    return cut_lineage(cycle.without_sex_chromosomes(_feature_counts(spark, sf_dir)).where("state IS NOT NULL AND q IS NOT NULL"))
+
+
+def _stage_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = _quantised_counts(spark, sf_dir)
+    kept = counts.where("state <> 'S'").unionByName(cycle.stage(counts, _rounded(spark, sf_dir), 0.0, 1.0))
+    return cycle.by_quantile(cut_lineage(kept), "q").select("q", *_r("n", "f", "eps", "p"))
+
+
+_add("l24_stage_and_quantile", _stage_quantiles,
+     f"WITH {_NQ}, nq AS (SELECT nq0.* FROM nq0 LEFT JOIN pc USING (cell_id) WHERE nq0.state <> 'S' OR (pc.state = 'S' AND p > 0 AND p < 1)), {_BQ} SELECT q, round(n, 6) AS n, round(f, 6) AS f, round(es, 6) AS eps, round(p, 6) AS p FROM pq")
+_add("l25b_cell_and_quantile", lambda k, d: cycle.by_cell_and_quantile(_quantised_counts(k, d), "q", _rounded(k, d)).select("cell_id", "q", "nsamples", *_r("n", "f", "p", "eps", "beta")),
+     f"WITH {_NQ}, nq AS (SELECT * FROM nq0), {_BQ}, mc AS (SELECT cell_id, q, count(value) AS ns, {_MEANS} FROM nq GROUP BY 1, 2), jc AS (SELECT mc.cell_id, mc.q, ns, mc.n, mc.f, CASE WHEN pc.p IS NOT NULL AND pq.p IS NOT NULL AND (SELECT avg(p) FROM pq) <> 0 THEN greatest(0.0, least(1.0, pc.p * pq.p / (SELECT avg(p) FROM pq))) END AS p FROM mc JOIN pq ON pq.q = mc.q JOIN pc ON pc.cell_id = mc.cell_id), ec AS (SELECT *, CASE WHEN p = 0 THEN 1 - f WHEN (1 + p) * (1 + p) - 4 * p * (1 - f) >= 0 THEN (1 + p - sqrt((1 + p) * (1 + p) - 4 * p * (1 - f))) / (2 * p) END AS eps FROM jc) SELECT cell_id, q, ns AS nsamples, round(n, 6) AS n, round(f, 6) AS f, round(p, 6) AS p, round(eps, 6) AS eps, round(CASE WHEN (1 + p) * eps <> 0 THEN n / ((1 + p) * eps) END, 6) AS beta FROM ec")
