@@ -133,7 +133,7 @@ def _contracted(points: DataFrame, id_col: str, key: Column, eps: float, min_poi
     finite = F.col(id_col).isNotNull()
     for c in ("x", "y", "z"):
         finite = finite & F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) < float("inf"))
-    spots = points.where(finite).select(F.col(id_col).cast("bigint").alias("id"), key.alias("key"), "x", "y", "z")
+    spots = points.where(finite).select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(key).alias("key"), *[F.col(c).cast("double").alias(c) for c in "xyz"])
     margin = (eps / 2 if min_points == 1 else 1.5 * eps) * (1 + 1e-9) + 2e-9
     tree = plan_quadtree(spots, margin, leaf_points)
     work = _local(tree, eps, min_points, edges_too, least_size)
