@@ -150,7 +150,7 @@ _add("e7_quantise", f"WITH {_M}, e AS (SELECT cell_id, quantile_cont(value, [0.2
      lambda k, d: matrices.quantised(_cube(k, d), 4).select(*_CUBE, "q"))
 _add("e8_z_score", f"WITH {_M} SELECT cell_id, chrom, locus, copy_no, round(CASE WHEN stddev_pop(value) OVER w > 1e-12 * (1 + abs(avg(value) OVER w)) THEN (value - avg(value) OVER w) / stddev_pop(value) OVER w END, 6) AS zscore FROM m WINDOW w AS (PARTITION BY cell_id)",
      lambda k, d: matrices.z_scores(_cube(k, d), ["cell_id"]).select(*_CUBE, *_r("zscore")))
-_add("e9_normalise", f"WITH {_M} SELECT cell_id, chrom, locus, copy_no, round(CASE WHEN avg(value) OVER w <> 0 THEN value / avg(value) OVER w END, 4) AS norm FROM m WINDOW w AS (PARTITION BY cell_id)", lambda k, d: matrices.normalised_by_cell(_cube(k, d)).select(*_CUBE, F.round("norm", 4).alias("norm")))
+_add("e9_normalise", f"WITH {_M} SELECT cell_id, chrom, locus, copy_no, round(CASE WHEN avg(value) OVER w <> 0 THEN value / avg(value) OVER w END, 4) + 0.0 AS norm FROM m WINDOW w AS (PARTITION BY cell_id)", lambda k, d: matrices.normalised_by_cell(_cube(k, d)).select(*_CUBE, F.round("norm", 4).alias("norm")))
 _add("e12_curate", "WITH n AS (SELECT cellids AS cell_id, chrom, locus, copy_no, sample_id, CAST(CASE WHEN locale_no >= 0 THEN locale_no END AS DOUBLE) AS value FROM sc_repliseq) SELECT sample_id, CASE WHEN min(CASE WHEN value = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY cell_id, chrom, copy_no) = 0 THEN value END AS value FROM n",
      lambda k, d: matrices.without_missing_chromosomes(table(k, d, "sc_repliseq").select("sample_id", F.col("cellids").alias("cell_id"), "chrom", "copy_no", F.when(F.col("locale_no") >= 0, F.col("locale_no").cast("double")).alias("value"))).select("sample_id", "value"))
 _add("f4_sorted_cells", f"WITH {_M} SELECT cell_id, round(avg(value) + 0.00001234, 3) AS mean, row_number() OVER (ORDER BY round(avg(value), 9) NULLS LAST, cell_id) AS place FROM m GROUP BY 1", lambda k, d: matrices.sorted_cells(_cube(k, d)).select("cell_id", F.round(F.col("mean") + 0.00001234, 3).alias("mean"), "place"))
