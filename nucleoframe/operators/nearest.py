@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from nucleoframe.functions.neighbours import Tally
+from nucleoframe.operators.tiles import parted
 from nucleoframe.session import cut_lineage
 
+_SUMS = "track string, near_track string, k int, raw bigint, copies bigint"
+
 
 def _square(a: str, b: str) -> Column:
     d = [F.col(f"{a}.{c}") - F.col(f"{b}.{c}") for c in "xyz"]
@@ -50,25 +57,66 @@ def closest(spots: DataFrame, k: int, radius: float = 0.6) -> DataFrame:
     return nearest_k(spots, k, radius, apart=True).groupBy("row_id").agg(F.avg(F.sqrt("dist2")).alias("value"))
 
 
-def in_tracks(spots: DataFrame, tracks: DataFrame) -> DataFrame:
-    """Spots with each track (chrom, lo, hi, track) whose half-open range holds their start."""
-    hit = (F.col("s.chrom") == F.col("t.chrom")) & (F.col("s.start_bp") >= F.col("t.lo")) & (F.col("s.start_bp") < F.col("t.hi"))
-    return spots.alias("s").join(tracks.alias("t"), hit).select("s.*", "t.track")
+def _marked(spots: DataFrame, tracks: DataFrame) -> DataFrame:
+    """Spots with ``tracks``, an array of the tracks that hold their start; the intervals of a chromosome are one broadcast row."""
+    known = tracks.where("chrom IS NOT NULL").groupBy(F.col("chrom").alias("_chrom")).agg(F.collect_list(F.struct("lo", "hi", "track")).alias("_parts"))
+    hit = F.filter("_parts", lambda t: (F.col("start_bp") >= t["lo"]) & (F.col("start_bp") < t["hi"]))
+    return spots.join(F.broadcast(known), F.col("chrom") == F.col("_chrom"), "left").withColumn("tracks", F.coalesce(F.transform(hit, lambda t: t["track"]), F.array().cast("array<string>")))
+
+
+def _codes(column: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
+    coded = pc.dictionary_encode(column.combine_chunks(), null_encoding="encode")
+    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+
+
+def _tallied(ks: list[int]):
+    """Sums of one unit: hits and copies by track, track of the neighbours and k; spots by track, where k is null."""
+
+    def tallied(unit: pa.Table) -> pa.Table:
+        n = unit.num_rows
+        cell, chrom, trace = (_codes(unit.column(c))[0] for c in ("cell_id", "chrom", "trace_id"))
+        none = unit.column("cell_id").is_null().to_numpy() | unit.column("row_id").is_null().to_numpy()
+        blank = unit.column("trace_id").is_null().to_numpy()
+        copy = chrom * (trace.max() + 1) + trace
+        rank = np.empty(n, np.int64)
+        rank[pc.sort_indices(unit.column("row_id")).to_numpy()] = np.arange(n)
+        of = unit.column("tracks").combine_chunks()
+        track, names = _codes(pa.chunked_array([pc.list_flatten(of)], of.type.value_type))
+        tracks = np.zeros((n, len(names)), np.int32)
+        np.add.at(tracks, (pc.list_parent_indices(of).to_numpy(), track), 1)
+        home = unit.column("home").to_numpy()
+        total = tracks[home].sum(axis=0)
+        tally = Tally(ks, len(names))
+        points = np.column_stack([unit.column(c).to_numpy() for c in "xyz"])
+        asked = home & (tracks > 0).any(axis=1)
+        order = np.lexsort((rank, copy, cell))
+        order = order[~none[order]]
+        for some in np.split(order, np.flatnonzero(np.diff(cell[order])) + 1):
+            if asked[some].any():
+                tally.add(points[some], rank[some], copy[some], chrom[some], blank[some], tracks[some], asked[some])
+        s, t, j = np.nonzero(tally.raw)
+        known = np.flatnonzero(total)
+        return pa.table({
+            "track": names.take(pa.array(np.append(known, s))),
+            "near_track": pa.concat_arrays([pa.nulls(len(known), names.type), names.take(pa.array(t))]),
+            "k": pa.concat_arrays([pa.nulls(len(known), pa.int32()), pa.array(tally.ks[j].astype(np.int32))]),
+            "raw": pa.array(np.append(total[known], tally.raw[s, t, j])),
+            "copies": pa.array(np.append(np.zeros_like(known), tally.copies[s, t, j])),
+        })
+
+    return tallied
 
 
-def composition(spots: DataFrame, tracks: DataFrame, ks: list[int], radius: float = 0.6) -> DataFrame:
+def composition(spots: DataFrame, tracks: DataFrame, ks: list[int]) -> DataFrame:
     """Per track, track of the neighbours and k: spots, and mean numbers of hits and of their distinct copies.
 
-    A hit is one of the k nearest spots that is in the neighbours' track and on another copy
-    (chromosome and trace) than the spot itself.
+    A hit is one of the k nearest spots (ties by row_id) that is in the neighbours' track and on another copy
+    (chromosome and trace) than the spot itself. Neighbours are found and counted where the spots of a cell, or
+    of a tile of a large one, lie together; only sums leave a task.
     """
-    marked = in_tracks(spots, tracks).select("row_id", "track", "chrom", "trace_id")
-    near = nearest_k(spots, max(ks), radius)
-    a, b = marked.alias("a"), marked.alias("b")
-    other = (F.col("a.chrom") != F.col("b.chrom")) | (F.col("a.trace_id") != F.col("b.trace_id"))
-    hits = near.join(a, near["row_id"] == F.col("a.row_id")).join(b, near["near_id"] == F.col("b.row_id")).where(other)
-    sized = hits.select(F.col("a.row_id").alias("row_id"), F.col("a.track").alias("track"), F.col("b.track").alias("near_track"), F.struct("b.chrom", "b.trace_id").alias("copy"), F.explode(F.filter(F.array(*[F.lit(k) for k in ks]), lambda k: k >= F.col("rank"))).alias("k"))
-    per_spot = sized.groupBy("row_id", "track", "near_track", "k").agg(F.count(F.lit(1)).alias("raw"), F.count_distinct("copy").alias("copies"))
-    total = marked.groupBy("track").agg(F.count(F.lit(1)).alias("n_spots"))
-    sums = per_spot.groupBy("track", "near_track", "k").agg(F.sum("raw").alias("raw"), F.sum("copies").alias("copies"))
-    return sums.join(total, "track").select("track", "near_track", "k", "n_spots", (F.col("raw") / F.col("n_spots")).alias("raw"), (F.col("copies") / F.col("n_spots")).alias("copies"))
+    ks = sorted(set(ks))
+    near = _marked(spots, tracks).select("row_id", "cell_id", "chrom", "trace_id", *[F.col(c).cast("double").alias(c) for c in "xyz"], "tracks")
+    sums = parted(near, ks[-1]).groupBy("unit").applyInArrow(_tallied(ks), _SUMS)
+    sums = sums.groupBy("track", "near_track", "k").agg(F.sum("raw").alias("raw"), F.sum("copies").alias("copies")).where("track IS NOT NULL")
+    sums = sums.withColumn("n_spots", F.max(F.when(F.col("k").isNull(), F.col("raw"))).over(Window.partitionBy("track"))).where("k IS NOT NULL")
+    return sums.select("track", "near_track", "k", "n_spots", (F.col("raw") / F.col("n_spots")).alias("raw"), (F.col("copies") / F.col("n_spots")).alias("copies"))
