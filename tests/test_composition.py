@@ -71,7 +71,7 @@ def on_disk(spark):
     return sum(shuffled.apply(i).length() for i in range(shuffled.size())) + sum(os.path.getsize(os.path.join(at, f)) for at, _, files in os.walk(kept or "") for f in files)
 
 
-@pytest.mark.parametrize("query", ["k15_composition"])
+@pytest.mark.parametrize("query", ["k15_composition", "k15_sweep"])
 def test_disk_stays_in_proportion(spark, tmp_path, query):
     rnd = random.Random(6)
     spots = [(i, f"c{i % 20}", "chr1", str(i % 9), str(i), *[rnd.uniform(1, 3) for _ in range(3)], 1000 * (i % 3000), 1000 * (i % 3000 + 1), 1.0) for i in range(20_000)]
