@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
-#: Points of a box, and elements of a block of distances.
-BOX_POINTS, BLOCK = 128, 400_000
+#: Points of a box, elements of a block of distances, boxes that are looked at together, and points whose neighbours are.
+BOX_POINTS, BLOCK, GROUP, FEW = 128, 400_000, 16, 16
 
 
 def gaps(lo: np.ndarray, hi: np.ndarray, to_lo: np.ndarray, to_hi: np.ndarray) -> np.ndarray:
@@ -30,14 +32,11 @@ def _spans(lo: np.ndarray, hi: np.ndarray, to_lo: np.ndarray, to_hi: np.ndarray)
     return out
 
 
-def reach(lo: np.ndarray, hi: np.ndarray, n: np.ndarray, need: int) -> np.ndarray:
-    """Per box the squared radius within which each of its points has ``need`` points, itself included; infinite if there are fewer."""
-    out = np.full(len(n), np.inf)
-    if n.sum() < need:
-        return out
+def _reach(lo: np.ndarray, hi: np.ndarray, to_lo: np.ndarray, to_hi: np.ndarray, n: np.ndarray, need: int) -> np.ndarray:
+    out = np.empty(len(lo))
     step = max(1, 2_000_000 // len(n))
-    for k in range(0, len(n), step):
-        spans = _spans(lo[k : k + step], hi[k : k + step], lo, hi)
+    for k in range(0, len(lo), step):
+        spans = _spans(lo[k : k + step], hi[k : k + step], to_lo, to_hi)
         todo, width = np.arange(len(spans)), 64
         while len(todo):
             width = min(4 * width, len(n))
@@ -53,6 +52,39 @@ def reach(lo: np.ndarray, hi: np.ndarray, n: np.ndarray, need: int) -> np.ndarra
     return out
 
 
+def _groups(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    starts = np.arange(0, len(lo), GROUP)
+    return starts, np.minimum.reduceat(lo, starts), np.maximum.reduceat(hi, starts)
+
+
+def reach(lo: np.ndarray, hi: np.ndarray, n: np.ndarray, need: int) -> np.ndarray:
+    """Per box the squared radius within which each of its points has ``need`` points, itself included; infinite if there are fewer.
+
+    A radius that does for a group of boxes bounds which others matter to each of them.
+    """
+    if n.sum() < need:
+        return np.full(len(n), np.inf)
+    if len(n) <= 2 * GROUP:
+        return _reach(lo, hi, lo, hi, n, need)
+    starts, g_lo, g_hi = _groups(lo, hi)
+    bound = _reach(g_lo, g_hi, g_lo, g_hi, np.add.reduceat(n, starts), need)
+    out = np.empty(len(n))
+    for g, a in enumerate(starts):
+        some = np.flatnonzero(gaps(g_lo[g : g + 1], g_hi[g : g + 1], lo, hi)[0] <= bound[g])
+        out[a : a + GROUP] = _reach(lo[a : a + GROUP], hi[a : a + GROUP], lo[some], hi[some], n[some], need)
+    return out
+
+
+def meeting(lo: np.ndarray, hi: np.ndarray, radius2: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of a box and a box within its radius, for a group of boxes at a time."""
+    starts, g_lo, g_hi = _groups(lo, hi)
+    most = np.maximum.reduceat(radius2, starts)
+    for g, a in enumerate(starts):
+        some = np.flatnonzero(gaps(g_lo[g : g + 1], g_hi[g : g + 1], lo, hi)[0] <= most[g])
+        i, j = np.nonzero(gaps(lo[a : a + GROUP], hi[a : a + GROUP], lo[some], hi[some]) <= radius2[a : a + GROUP, None])
+        yield a + i, some[j]
+
+
 def boxed(points: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(order, starts): points halved along their widest side until no part is larger than ``size``."""
     order = np.arange(len(points))
@@ -80,6 +112,30 @@ def _first_at_place(points: np.ndarray, rank: np.ndarray, most: int) -> np.ndarr
     return out
 
 
+def _narrowed(points: np.ndarray, rows: np.ndarray, near: np.ndarray, need: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Few of the rows at a time, and those of the points near them that can be among their ``need`` nearest, themselves included.
+
+    If the middle of some rows has that many points within r and the farthest of them is h away, each
+    has as many within r + h, none of which is farther from the middle than r + 2h.
+    """
+    todo = [(rows, near)]
+    while todo:
+        rows, near = todo.pop()
+        if len(near) > need:
+            lo, hi = points[rows].min(axis=0), points[rows].max(axis=0)
+            middle = (lo + hi) / 2
+            d2 = np.square(points[near] - middle).sum(axis=1)
+            far = np.sqrt(np.partition(d2, need - 1)[need - 1]) + 2 * np.sqrt(np.square(points[rows] - middle).sum(axis=1).max())
+            near = near[d2 <= np.square(far * (1 + 1e-9))]
+            if len(rows) > (FEW if len(near) <= 16 * need else 1):
+                d = int(np.argmax(hi - lo))
+                low = points[rows, d] < middle[d]
+                if low.any():
+                    todo += [(rows[~low], near), (rows[low], near)]
+                    continue
+        yield rows, near
+
+
 class Tally:
     """Sums over points of one cell, by their track, the track of the neighbours and k.
 
@@ -113,7 +169,8 @@ class Tally:
             near = np.concatenate([order[starts[m] : ends[m]] for m in met])
             near = near[kept[near]]
             near = near[gaps(points[near], points[near], lo[box : box + 1], hi[box : box + 1])[:, 0] <= radius2[box]]
-            self._blocks(columns, rows, np.sort(near))
+            for some, others in _narrowed(points, rows, np.sort(near), most + 1):
+                self._blocks(columns, some, others)
 
     def _blocks(self, columns: tuple[np.ndarray, ...], rows: np.ndarray, near: np.ndarray) -> None:
         step = max(1, BLOCK // max(1, len(near)))

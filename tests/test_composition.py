@@ -3,6 +3,7 @@ import os
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from nucleoframe.operators import nearest, tiles
 from nucleoframe.plans import analyses
@@ -81,3 +82,20 @@ def test_disk_stays_in_proportion(spark, tmp_path, query):
     before = on_disk(spark)
     assert len(analyses.QUERIES[query](spark, str(tmp_path)).collect()) > 0
     assert on_disk(spark) - before < 4 * size
+
+
+def test_composition_with_boxes_split_again(spark, monkeypatch):
+    monkeypatch.setattr(tiles, "COSTLY_ROWS", 30)
+    monkeypatch.setattr(tiles, "COSTLY_TIMES", 1)
+    monkeypatch.setattr("nucleoframe.functions.neighbours.GROUP", 4)
+    test_composition_whole_and_in_tiles(spark, monkeypatch, 40, 60)
+
+
+def test_strays_do_not_multiply_tiles(spark, monkeypatch):
+    """A heap and one far spot in a hundred: a tile doesn't get most of the cell."""
+    monkeypatch.setattr(tiles, "TILE_ROWS", 20_000)
+    stray = F.col("id") % 100 == 0
+    spots = spark.range(200_000, numPartitions=4).select(F.lit("c").alias("cell_id"), *[F.when(stray, 1 + 1_200 * F.rand(i)).otherwise(50 + 5 * F.randn(i)).alias(c) for i, c in enumerate("xyz")])
+    units = tiles.parted(spots, 100).groupBy("unit").agg(F.count("*").alias("n"), F.count_if("home").alias("own")).collect()
+    assert sum(u["own"] for u in units) == 200_000 and len(units) > 6
+    assert sum(u["n"] for u in units) < 7 * 200_000
